@@ -1,0 +1 @@
+"""The engine is batch only: what it rebuilds has no streams, so nothing lives here yet."""
