@@ -59,5 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     while clashes(docs, text_col, seed):
         seed += 1
     table = saved(recipes(docs, id_col, text_col, seed).withColumn("key", F.xxhash64("recipe")), "recipes")
-    groups = table.groupBy("key", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return table.join(groups, ["key", "recipe"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = table.groupBy("key", "recipe").agg(F.max("doc_id").alias("top"), F.count("*").alias("n")).filter("n > 1")
+    both = table.join(saved(groups, "groups"), ["key", "recipe"], "left")  # from a table, so that Spark may split a hot group's side
+    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top"))
+    return both.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
