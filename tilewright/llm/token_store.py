@@ -24,6 +24,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,22 @@ from .store import fresh, mapped, put
 
 MAGIC = b"TWIDS01\n"
 DICT_DOCS, DICT_IDS, DICT_BYTES = 1000, 8192, 64 << 10
-_HELD = 400_000
+_HELD = 500_000
 
 #: A blank or line feed whose neighbour before is visible starts a new piece: no token of a byte-level BPE spans it.
-_VISIBLE = r"[!-~À-ɏ]"
-_CUT = re.compile(rf"(?<={_VISIBLE})(?=[ \n])")
-_OTHER = re.compile(r"(?:[^!-~À-ɏ]|\A)[ \n]|\x00")
+_CUT = re.compile(r"(?<=[!-~À-ɏ])(?=[ \n])")
+#: ASCII punctuation. Behind a letter it starts a new token.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _plain(text: str) -> bool:
+    """Whether every blank and line feed follows a visible character, and there is no NUL."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(c):
+        return True
+    gap = (c == 32) | (c == 10)
+    before = c[:-1][gap[1:]]
+    return not gap[0] and bool((((before > 32) & (before < 127)) | ((before >= 0xC0) & (before < 0x250))).all()) and "\0" not in text
 
 
 class Encoder:
@@ -62,35 +73,61 @@ class Encoder:
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        if _OTHER.search(text):
+        if not _plain(text):
             return _CUT.split(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
+    def _learn(self, missing: set[str]) -> None:
+        """Hold the ids of pieces; marks at the end of a word are encoded apart from it."""
+        split, ask = [], set()
+        for p in missing:
+            stem = p.rstrip(_MARKS)
+            if len(stem) < len(p) and stem and (stem[-1].isascii() and stem[-1].isalpha() or "À" <= stem[-1] <= "ɏ" and stem[-1] not in "×÷"):
+                split.append((p, stem, p[len(stem) :]))
+                ask.update(split[-1][1:])
+            else:
+                ask.add(p)
+        todo = [p for p in ask if p not in self.held]
+        for p, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
+            ids = e.ids
+            self.held[p] = struct.pack(f"<{len(ids)}I", *ids)
+        for p, stem, tail in split:
+            self.held[p] = self.held[stem] + self.held[tail]
+
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """One uint32 array per text, the end id last."""
         at = 0
         while at < len(texts):
-            some, size = [], 0
+            some, ends, size = [], [], 0
             while at < len(texts) and (not some or size + len(texts[at] or "") < 1 << 20):
                 size += len(texts[at] or "")
-                some.append(self.pieces(texts[at] or ""))
+                some += self.pieces(texts[at] or "")
+                ends.append(len(some))
                 at += 1
             if len(self.held) > _HELD:
                 self.held.clear()
-            held = self.held
-            if missing := [p for p in set().union(*some) if p not in held]:
-                for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                    held[p] = np.array(e.ids, "<u4").tobytes()
-            for parts in some:
-                yield np.frombuffer(b"".join([held[p] for p in parts]) + self.end, "<u4")
+            ids = list(map(self.held.get, some))
+            if None in ids:
+                self._learn({p for p, i in zip(some, ids, strict=True) if i is None})
+                held = self.held
+                ids = [held[p] if i is None else i for p, i in zip(some, ids, strict=True)]
+            for a, b in zip([0, *ends], ends, strict=False):
+                yield np.frombuffer(b"".join(ids[a:b]) + self.end, "<u4")
+
+
+@lru_cache(2)
+def encoder_of(path: str, end_id: int | None) -> Encoder:
+    """The process's encoder: what it holds serves all tasks of a worker."""
+    return Encoder(path, end_id)
 
 
 def train_dictionary(docs: DataFrame, encoder_path: str, end_id: int, id_col: str, text_col: str) -> bytes:
     """A zstandard dictionary from a bounded sample of the documents, the same at every run."""
-    order = F.xxhash64(F.lit(9), F.col(id_col))
+    order = F.xxhash64(F.lit(9), F.col(id_col)).alias("o")
+    last = docs.select(order).orderBy("o").limit(DICT_DOCS).agg(F.max("o")).first()[0]
     part = F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 8 * DICT_IDS).alias("text")
-    rows = docs.select(order.alias("o"), part).orderBy("o", "text").limit(DICT_DOCS).collect()
-    encoder = Encoder(encoder_path, end_id)
+    rows = docs.select(order, part).filter(F.col("o") <= F.lit(last)).orderBy("o", "text").limit(DICT_DOCS).collect()
+    encoder = encoder_of(encoder_path, end_id)
     samples = [ids[:DICT_IDS].astype(f"<u{encoder.width}").tobytes() for ids in encoder.encode([r.text for r in rows])]
     try:
         return zstandard.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, samples)) // 16)), samples).as_bytes()
@@ -153,7 +190,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, out: str
     put(f"{out}/dictionary", dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held = Encoder(tokenizer_path, end_id), []
+        encoder, held = encoder_of(tokenizer_path, end_id), []
         for b in batches:
             held += zip(b.column(0).to_pylist(), (x.astype(f"<u{encoder.width}") for x in encoder.encode(b.column(1).to_pylist())), strict=True)
         if held:
