@@ -37,7 +37,7 @@ from .store import fresh, mapped, put
 
 MAGIC = b"TWIDS01\n"
 DICT_DOCS, DICT_IDS, DICT_BYTES = 1000, 8192, 64 << 10
-_HELD = 500_000
+_HELD = 450_000
 
 #: A blank or line feed whose neighbour before is visible starts a new piece: no token of a byte-level BPE spans it.
 _CUT = re.compile(r"(?<=[!-~À-ɏ])(?=[ \n])")
@@ -70,6 +70,9 @@ class Encoder:
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id or 0) <= 1 << 16 else 4
         self.held: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        tokens = (self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size()))
+        self.sizes = np.fromiter((len(t or "") for t in tokens), np.int64)  # a byte-level token has a character for each byte
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -87,13 +90,30 @@ class Encoder:
                 ask.update(split[-1][1:])
             else:
                 ask.add(p)
-        todo = [p for p in ask if p not in self.held]
-        for p, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.held[p] = struct.pack(f"<{len(ids)}I", *ids)
+        todo = []
+        for p in ask:
+            if (ids := self.older.get(p)) is None:
+                todo.append(p)
+            else:
+                self.held[p] = ids
+        joint = [p for p in todo if p and p[0] in " \n" and ("!" <= p[-1] <= "~" or "À" <= p[-1] <= "ɏ")]
+        for at in range(0, len(joint), 4096):
+            self._learn_joint(joint[at : at + 4096])
+        rest = [p for p in todo if p not in self.held]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.held[p] = np.array(e.ids, "<u4").tobytes()
         for p, stem, tail in split:
             self.held[p] = self.held[stem] + self.held[tail]
 
+    def _learn_joint(self, pieces: list[str]) -> None:
+        """Encode pieces as one text: each starts where no token can span. Their ids are told apart by their bytes."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in pieces])) + 1
+        raw, start = ids.tobytes(), 0
+        for p, end in zip(pieces, (4 * ends).tolist(), strict=True):
+            self.held[p] = raw[start:end]
+            start = end
+
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """One uint32 array per text, the end id last."""
         at = 0
@@ -105,7 +125,7 @@ class Encoder:
                 ends.append(len(some))
                 at += 1
             if len(self.held) > _HELD:
-                self.held.clear()
+                self.older, self.held = self.held, {}
             ids = list(map(self.held.get, some))
             if None in ids:
                 self._learn({p for p, i in zip(some, ids, strict=True) if i is None})
