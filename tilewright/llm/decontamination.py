@@ -56,11 +56,11 @@ def normalise(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _hashes(chars: np.ndarray, q: int) -> np.ndarray:
     """A 64-bit hash of each q-gram (q a power of two)."""
-    h, base, width = chars.astype(np.uint64) * _MIX, np.uint64(0x100000001B3), 1
+    h, base, width = chars.astype(np.uint64) * _MIX, 0x100000001B3, 1
     while width < q:
-        h = h[: len(h) - width] * base + h[width:] if len(h) > width else h[:0]
+        h = h[: len(h) - width] * np.uint64(base) + h[width:] if len(h) > width else h[:0]
         h ^= h >> np.uint64(29)
-        base, width = base * base | np.uint64(1), 2 * width
+        base, width = (base * base | 1) & 0xFFFFFFFFFFFFFFFF, 2 * width
     return h
 
 
@@ -125,39 +125,54 @@ class Index:
         low = diagonal // half
         keys = np.concatenate([(item << 40) + low + (1 << 30), (item << 40) + low - 1 + (1 << 30)])
         bands, counts = np.unique(keys, return_counts=True)
-        for band in bands[counts >= self.least_of[bands >> 40]].tolist():
+        done = -1
+        reached = bands[counts >= self.least_of[bands >> 40]].tolist()
+        for band, after in zip(reached, [*reached[1:], -1], strict=False):
+            if band == done:
+                continue
             i, b = band >> 40, (band & ((1 << 40) - 1)) - (1 << 30)
-            e = int(self.edits_of[i])
-            yield i, b * (e + 1), (b + 2) * (e + 1) - 1
+            e, m = int(self.edits_of[i]), len(self.chars[i])
+            two = after == band + 1 and 6 * e + 3 < m  # passages of both bands overlap: one alignment finds the best
+            done = after if two else -1
+            yield i, b * (e + 1), (b + 2 + two) * (e + 1) - 1
 
 
 def align(item: np.ndarray, text: np.ndarray, first: int, last: int, edits: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best alignment of the whole item within the diagonals, None if it takes too many edits."""
-    low, width = first - edits, last - first + 1 + 2 * edits
+    low, width, far = first - edits, last - first + 1 + 2 * edits, 1 << 20
     cols = np.arange(width)
-    cost, origin = np.zeros(width, np.int64), low + cols  # at row i, column c stands for text position low + c + i
-    at = low + cols
-    cost[(at < 0) | (at > len(text))] = 1 << 20
+    reach = low + np.arange(width + len(item) + 1)  # at row i, column c stands for text position reach[c + i]
+    inside = (reach >= 0) & (reach < len(text))
+    used = np.zeros(len(reach), text.dtype)  # no comparable character is 0
+    used[inside] = text[reach[inside]]
+    wall = np.where((reach < 0) | (reach > len(text)), far, 0)
+    cost, origin = wall[:width].copy(), reach[:width].copy()
+    skip, begun = np.full(width, far), np.zeros(width, np.int64)
     for i, c in enumerate(item):
-        at = low + cols + i + 1  # text characters used
-        ok = (at >= 1) & (at <= len(text))
-        same = np.zeros(width, bool)
-        same[ok] = text[at[ok] - 1] == c
-        straight = cost + ~same
-        skip = np.r_[cost[1:], 1 << 20] + 1  # an item character that the text lacks
-        best = np.where(straight <= skip, straight, skip)
-        begun = np.where(straight <= skip, origin, np.r_[origin[1:], 0])
-        best[(at < 0) | (at > len(text))] = 1 << 20
+        straight = cost + (used[i : i + width] != c)
+        skip[:-1] = cost[1:] + 1  # an item character that the text lacks
+        begun[:-1] = origin[1:]
+        best = np.minimum(straight, skip) + wall[i + 1 : i + 1 + width]
+        begun = np.where(straight <= skip, origin, begun)
         run = np.minimum.accumulate(best - cols) + cols  # text characters that the item lacks
         changed = run < best
         if changed.any():
-            src = np.maximum.accumulate(np.where(~changed, cols, -1))
-            begun = np.where(changed & (src >= 0), begun[np.maximum(src, 0)], begun)
-        cost, origin = run, begun
+            begun = begun[np.maximum.accumulate(np.where(changed, 0, cols))]
+        cost, origin = run, begun.copy()
     k = int(cost.argmin())
     return (int(cost[k]), max(0, int(origin[k])), low + k + len(item)) if cost[k] <= edits else None
 
 
+def exact(item: np.ndarray, text: np.ndarray, first: int, last: int) -> int:
+    """Where the item stands unchanged on one of the diagonals, -1 if nowhere."""
+    first = max(first, 0)
+    window, sought, at = text[first : max(first, last + len(item))].tobytes(), item.tobytes(), -1
+    while (at := window.find(sought, at + 1)) >= 0:
+        if at % item.itemsize == 0:
+            return first + at // item.itemsize
+    return -1
+
+
 def matches(index: Index, text: str) -> list[tuple[int, int, int, int]]:
     """(item id, start, end, edits) of a text's passages, in code points; the best of those that overlap."""
     chars, places = normalise(text)
@@ -166,7 +181,10 @@ def matches(index: Index, text: str) -> list[tuple[int, int, int, int]]:
     for at in range(0, max(1, len(chars)), BLOCK_TEXT):
         block = chars[at : at + BLOCK_TEXT + 2 * longest + 64]
         for i, first, last in index.regions(block):
-            if hit := align(index.chars[i], block, first, last, index.edits[i]):
+            e, item = index.edits[i], index.chars[i]
+            if (same := exact(item, block, first - e, last + e)) >= 0:
+                found.setdefault(i, []).append((0, at + same, at + same + len(item)))
+            elif hit := align(item, block, first, last, e):
                 found.setdefault(i, []).append((hit[0], at + hit[1], at + hit[2]))
         if at + len(block) >= len(chars):
             break
