@@ -105,6 +105,29 @@ def test_near_duplicates(odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_verified_copies_by_brute_force(spark, odd, none):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(12):
+        base = rng.choice(words, 120).tolist()
+        texts += [base, base, rng.permutation(base).tolist()]  # an equal text, and the same words in another order
+        for edits in (1, 2, 3, 8):
+            t = list(base)
+            for at in rng.choice(120, edits, replace=False):
+                t[at] = "x"
+            texts.append(t)
+    docs = ship(spark).createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = {b for b in range(len(texts)) if any(near(a, b) for a in range(b - b % 7, b))}
+    got = [r.doc_id for r in simhash.verified_copies(docs).collect()]
+    assert len(got) == len(set(got)) and set(got) <= want and {7 * g + 1 for g in range(12)} <= set(got)
+    assert len(got) >= 0.9 * len(want) < len(texts) * 0.7
+    assert {r.doc_id for r in simhash.verified_copies(odd).collect()} == {2}
+    assert simhash.verified_copies(none).count() == 0
+
+
 def test_secrets_at_every_layer():
     import base64
     import gzip

@@ -40,20 +40,27 @@ SAMPLE = 4096
 #: Home points that a shard is to have, about.
 SHARD = 16_000
 LEAF = 96
+#: Parts that a large group is verified in.
+SLOTS = 64
 
 
-def fingerprint(text: str | None, width: int = 3, distinct: bool = False, block: int = 1 << 18) -> int:
-    """SimHash of the word shingles (of the distinct ones, if asked): a bit is 1 if over half the XXH64 hashes have it."""
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of each word shingle, repeats included; a shorter text is one shingle, a word-less one has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     n = max(1, len(words) - width + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1][:n].tolist()
     stops = ends[min(width, len(words)) - 1 :].tolist()
     view, hash_of = memoryview(joined), xxhash.xxh64_intdigest
-    hashes = np.fromiter((hash_of(view[i:j], 42) for i, j in zip(starts, stops, strict=True)), np.uint64, n)
+    return np.fromiter((hash_of(view[i:j], 42) for i, j in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, width: int = 3, distinct: bool = False, block: int = 1 << 18) -> int:
+    """SimHash of the word shingles (of the distinct ones, if asked): a bit is 1 if over half the XXH64 hashes have it."""
+    hashes = shingles(text, width)
     if distinct:
         hashes = np.unique(hashes)
     ones = np.zeros(64, np.int64)
@@ -62,16 +69,20 @@ def fingerprint(text: str | None, width: int = 3, distinct: bool = False, block:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distinct: bool = False) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long) per row."""
-    kind = docs.select(F.col(id_col).alias("doc_id"), F.lit(0).cast("long").alias("fp")).schema
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distinct: bool = False, copies: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long) per row; copy too, if asked: a hash of the text, which equal texts share."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if copies:
+        rows = rows.withColumn("copy", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kind = rows.drop("text").withColumn("fp", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t, width, distinct) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            kept = [b.column(i) for i in range(b.num_columns) if i != 1]
+            yield pa.record_batch([*kept, pa.array(fps.view(np.int64))], names=kind.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, kind)
+    return rows.mapInArrow(run, kind)
 
 
 def shard_tree(sample: np.ndarray, depth: int, seed: int = 7) -> list[tuple[int, int, int, int]]:
@@ -190,12 +201,59 @@ def links(points: DataFrame, radius: int = 2) -> DataFrame:
     return spread.mapInArrow(deal, "shard int, home boolean, fp long").groupBy("shard").applyInPandas(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, distinct: bool = False) -> DataFrame:
-    """doc_id, fp, component_id: one row per input row."""
-    each = saved(fingerprints(docs, id_col, text_col, width, distinct), "fingerprints")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, distinct: bool = False, copies: bool = False) -> DataFrame:
+    """doc_id, fp, component_id, least (the least doc_id that has the fingerprint), and copy if asked: one row per input row."""
+    each = saved(fingerprints(docs, id_col, text_col, width, distinct, copies), "fingerprints")
     points = saved(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     roots = components(links(points.select("fp"), radius))
     tied = points.join(roots, points["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     tied = saved(tied, "roots")
-    named = tied.join(tied.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return each.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = tied.join(tied.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "least")
+    return each.join(named, "fp").select("doc_id", "fp", "component_id", "least", *(["copy"] if copies else []))
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets (sorted distinct hashes) have a Jaccard similarity of ``least``; two empty sets have."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= least * (len(a) + len(b) - shared)
+
+
+def verified_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 1, radius: int = 4, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id of each document that repeats one with a lesser id, distinct.
+
+    Fingerprints of the set of ``width``-word shingles propose groups; a document
+    is in the result if its text equals that of a lesser id (same fingerprint and
+    hash), or if its set of ``shingle``-word shingles has a Jaccard similarity of
+    ``least`` to that of its group's first document or of the first one with its
+    fingerprint. So a group that a chain of links made can't take unlike texts
+    along. Equal texts are judged once. Each text is compared with two others at
+    most; a first document's text is dealt to as many of ``SLOTS`` slots as its
+    group fills. Rows without an id are never in it; rows that share an id are
+    judged together. An empty table gives an empty result.
+    """
+    each = saved(near_duplicates(docs, id_col, text_col, width, radius, True, True).filter("doc_id IS NOT NULL"), "groups")
+    firsts = saved(each.groupBy("component_id", "least", "fp", "copy").agg(F.min("doc_id").alias("doc_id")), "firsts")
+    leader = F.explode(F.array_distinct(F.array("component_id", "least"))).alias("leader")
+    pairs = firsts.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"), leader).filter("leader <> doc_id").distinct()
+    pairs = saved(pairs, "proposed")
+    asked = pairs.select("doc_id").union(pairs.select(F.col("leader").alias("doc_id"))).distinct()
+    texts = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(asked, "doc_id", "left_semi"), "texts")
+    own = pairs.join(texts, "doc_id")
+    first = pairs.select("leader", "slot").distinct().join(texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("first")), "leader")
+    kind = pairs.select("doc_id").schema
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        was, of_first = None, np.unique(shingles(None, shingle))
+        for b in batches:
+            found = []
+            for t, f in zip(b.column(1), b.column(2), strict=True):
+                if (f := f.as_py()) != was:
+                    was, of_first = f, np.unique(shingles(f, shingle))
+                found.append(similar(np.unique(shingles(t.as_py(), shingle)), of_first, least))
+            yield pa.record_batch([b.column(0).filter(pa.array(found, pa.bool_()))], names=["doc_id"])
+
+    near = own.join(first, ["leader", "slot"]).select("doc_id", "text", "first").mapInArrow(judge, kind)
+    equal = each.join(firsts.select("fp", "copy", "doc_id"), ["fp", "copy", "doc_id"], "left_anti").select("doc_id")
+    return equal.union(near).distinct()
