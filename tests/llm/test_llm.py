@@ -128,6 +128,28 @@ def test_verified_copies_by_brute_force(spark, odd, none):
     assert simhash.verified_copies(none).count() == 0
 
 
+def _similar_pairs(texts):
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    return {(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
+def test_verified_copies_beyond_the_radius(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for size in (120, 400, 700):
+        for g in range(6):
+            base = [f"w{i}" for i in rng.integers(0, 5000, size)]
+            t = list(base)
+            at = int(rng.integers(size - size // 16))
+            t[at : at + size // 16] = [f"new{g}x{i}" for i in range(size // 16)]  # a passage of other words in one place
+            texts += [base, t]
+    near = _similar_pairs(texts)
+    fps = [simhash.fingerprint(" ".join(t), 1, True) for t in texts]
+    assert len(near) == 18 and sum((fps[a] ^ fps[b]).bit_count() > 4 for a, b in near) >= 5
+    docs = ship(spark).createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.verified_copies(docs).collect()) == sorted({b for _, b in near})
+
+
 def test_secrets_at_every_layer():
     import base64
     import gzip

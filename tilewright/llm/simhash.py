@@ -18,7 +18,8 @@ hashed whole, in blocks of shingles. Other columns are ignored.
 
 Cost: two points lie 32 +- 4 bits apart, so at radius 2 a split spares a point
 one side in about half the cases, and pair tests grow as the number of different
-fingerprints to the power of about 1.55; larger radii lose the pruning.
+fingerprints to the power of about 1.55; larger radii lose the pruning. ``verified_copies``
+doesn't rely on the radius: prefixes of the texts' shingle sets find the rest.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -42,6 +43,12 @@ SHARD = 16_000
 LEAF = 96
 #: Parts that a large group is verified in.
 SLOTS = 64
+#: Documents that tell which shingles are frequent, about, and the most frequent ones that are remembered.
+SAMPLED, MOST_OFTEN = 20_000, 100_000
+#: Pairs a row beyond which rounds take copies out before all rows of a key are compared.
+PAIRS = 4
+#: Rows of a key that one part of its comparison has, about.
+HOT = 256
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -220,40 +227,130 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return shared >= least * (len(a) + len(b) - shared)
 
 
-def verified_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 1, radius: int = 4, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """doc_id of each document that repeats one with a lesser id, distinct.
-
-    Fingerprints of the set of ``width``-word shingles propose groups; a document
-    is in the result if its text equals that of a lesser id (same fingerprint and
-    hash), or if its set of ``shingle``-word shingles has a Jaccard similarity of
-    ``least`` to that of its group's first document or of the first one with its
-    fingerprint. So a group that a chain of links made can't take unlike texts
-    along. Equal texts are judged once. Each text is compared with two others at
-    most; a first document's text is dealt to as many of ``SLOTS`` slots as its
-    group fills. Rows without an id are never in it; rows that share an id are
-    judged together. An empty table gives an empty result.
+def _near(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """doc_id, leader: the ``pairs`` of these columns whose texts (doc_id, text of ``docs``) have the similarity ``least``.
+
+    A leader's text is dealt to as many of ``SLOTS`` slots as its documents fill.
     """
-    each = saved(near_duplicates(docs, id_col, text_col, width, radius, True, True).filter("doc_id IS NOT NULL"), "groups")
-    firsts = saved(each.groupBy("component_id", "least", "fp", "copy").agg(F.min("doc_id").alias("doc_id")), "firsts")
-    leader = F.explode(F.array_distinct(F.array("component_id", "least"))).alias("leader")
-    pairs = firsts.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"), leader).filter("leader <> doc_id").distinct()
+    pairs = pairs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"), "leader")
     pairs = saved(pairs, "proposed")
     asked = pairs.select("doc_id").union(pairs.select(F.col("leader").alias("doc_id"))).distinct()
-    texts = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(asked, "doc_id", "left_semi"), "texts")
+    texts = saved(docs.join(asked, "doc_id", "left_semi"), "texts")
     own = pairs.join(texts, "doc_id")
     first = pairs.select("leader", "slot").distinct().join(texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("first")), "leader")
-    kind = pairs.select("doc_id").schema
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         was, of_first = None, np.unique(shingles(None, shingle))
         for b in batches:
             found = []
-            for t, f in zip(b.column(1), b.column(2), strict=True):
+            for t, f in zip(b.column(2), b.column(3), strict=True):
                 if (f := f.as_py()) != was:
                     was, of_first = f, np.unique(shingles(f, shingle))
                 found.append(similar(np.unique(shingles(t.as_py(), shingle)), of_first, least))
-            yield pa.record_batch([b.column(0).filter(pa.array(found, pa.bool_()))], names=["doc_id"])
+            yield b.select([0, 1]).filter(pa.array(found, pa.bool_()))
+
+    return own.join(first, ["leader", "slot"]).select("doc_id", "leader", "text", "first").mapInArrow(judge, pairs.select("doc_id", "leader").schema)
+
+
+def prefix(hashes: np.ndarray, least: float, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first hashes (distinct) by one order for all texts: two sets of the similarity ``least`` share one of theirs.
+
+    ``often`` (sorted hashes, their ranks) puts frequent ones last; any order is right.
+    """
+    rank = np.zeros(len(hashes), np.int64)
+    if len(often[0]):
+        at = np.minimum(np.searchsorted(often[0], hashes), len(often[0]) - 1)
+        rank = np.where(often[0][at] == hashes, often[1][at], 0)
+    kept = len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1
+    return hashes[np.lexsort((hashes, rank))[:kept]]
+
+
+def _often(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in about ``SAMPLED`` documents, sorted, and their counts there; they only order the prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.record_batch([pa.array(np.unique(shingles(t, shingle)).view(np.int64))], names=["h"])
+
+    some = docs.filter(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(max(1, n // SAMPLED))) == 0).select("text")
+    top = some.mapInArrow(run, "h long").groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(MOST_OFTEN).collect()
+    hashes, counts = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
 
-    near = own.join(first, ["leader", "slot"]).select("doc_id", "text", "first").mapInArrow(judge, kind)
+def sharing(docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """key, doc_id, n (the text's distinct shingles), g (rows of the key): prefix shingles that several rows of doc_id, text have."""
+    often = _often(docs, docs.count(), shingle)
+    kind = docs.select(F.lit(0).cast("long").alias("key"), "doc_id", F.lit(0).cast("long").alias("n")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, sizes = [], []
+            for t in b.column(1).to_pylist():
+                own = np.unique(shingles(t, shingle))
+                keys.append(prefix(own, least, often) if len(own) else own)
+                sizes.append(len(own))
+            per = [len(k) for k in keys]
+            rows = pa.array(np.repeat(np.arange(len(keys)), per))
+            yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), b.column(0).take(rows), pa.array(np.repeat(np.array(sizes, np.int64), per))], names=kind.names)
+
+    return _counted(docs.select("doc_id", "text").mapInArrow(run, kind))
+
+
+def _counted(keys: DataFrame) -> DataFrame:
+    return keys.withColumn("g", F.count("*").over(Window.partitionBy("key"))).filter("g > 1")
+
+
+def remaining_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, leader: pairs of doc_id, text rows of the similarity ``least``, so that no two rows without a pair have it.
+
+    Two such texts share a shingle of their prefixes (see ``prefix``), so all
+    rows of a key are compared. While that would be over ``PAIRS`` pairs a row,
+    rounds compare each row with the first one of each of its keys only and take
+    the copies out, until a round finds none.
+    """
+    shared, found = saved(sharing(docs, shingle, least), "shared"), []
+    alike = (F.col("leader") < F.col("doc_id")) & (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9)
+    while True:
+        pairs, rows = shared.agg(F.sum(F.col("g") - 1) / 2, F.count("*")).first()
+        if not rows or pairs <= PAIRS * rows:
+            break
+        heads = shared.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("head")).select("key", F.col("head.doc_id").alias("leader"), F.col("head.n").alias("m"))
+        near = saved(_near(shared.join(heads, "key").filter(alike).select("doc_id", "leader").distinct(), docs, shingle, least), "near")
+        if near.isEmpty():
+            break
+        found.append(near)
+        shared = saved(_counted(shared.join(near.select("doc_id").distinct(), "doc_id", "left_anti").drop("g")), "shared")
+    parts = F.ceil(F.col("g") / HOT)
+    own = shared.select("key", "doc_id", "n", F.pmod(F.xxhash64("doc_id"), parts).alias("part"))
+    other = shared.select("key", F.col("doc_id").alias("leader"), F.col("n").alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    near = _near(own.join(other, ["key", "part"]).filter(alike).select("doc_id", "leader").distinct(), docs, shingle, least)
+    for more in found:
+        near = near.union(more)
+    return near
+
+
+def verified_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 1, radius: int = 4, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id of each document that repeats one with a lesser id, distinct; no two of the other documents are that similar.
+
+    A document repeats another if their texts are equal or their sets of
+    ``shingle``-word shingles have a Jaccard similarity of ``least``.
+    Fingerprints of the set of ``width``-word shingles propose groups, whose
+    documents are compared with the group's first one and the first one with
+    their fingerprint. That takes most copies out; what it leaves is compared by
+    ``remaining_copies``, which is exact at any distance of the fingerprints. So
+    a group that a chain of links made can't take unlike texts along. Equal
+    texts are judged once. Rows without an id are never in it; rows that share
+    an id are judged together. An empty table gives an empty result.
+    """
+    each = saved(near_duplicates(docs, id_col, text_col, width, radius, True, True).filter("doc_id IS NOT NULL"), "groups")
+    firsts = saved(each.groupBy("component_id", "least", "fp", "copy").agg(F.min("doc_id").alias("doc_id")), "firsts")
+    leader = F.explode(F.array_distinct(F.array("component_id", "least"))).alias("leader")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    near = saved(_near(firsts.select("doc_id", leader).filter("leader <> doc_id").distinct(), texts, shingle, least).select("doc_id").distinct(), "near")
+    left = firsts.select("doc_id").distinct().join(near, "doc_id", "left_anti")
+    rest = remaining_copies(saved(texts.join(left, "doc_id", "left_semi"), "rest"), shingle, least).select("doc_id")
     equal = each.join(firsts.select("fp", "copy", "doc_id"), ["fp", "copy", "doc_id"], "left_anti").select("doc_id")
-    return equal.union(near).distinct()
+    return equal.union(near).union(rest).distinct()
