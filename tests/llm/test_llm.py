@@ -150,6 +150,22 @@ def test_verified_copies_beyond_the_radius(spark):
     assert sorted(r.doc_id for r in simhash.verified_copies(docs).collect()) == sorted({b for _, b in near})
 
 
+def test_verified_copies_inside_a_group(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(100)]
+        other = rng.permutation(base).tolist()  # of the same words, so of the same group, but unlike its first document
+        texts += [base, other, [*other[:-1], "x"], ["y", *other[1:]], [*other, "z"]]
+    docs = ship(spark).createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = sorted({b for _, b in _similar_pairs(texts)})
+    assert want == [5 * g + i for g in range(4) for i in (2, 3, 4)]
+    assert sorted(r.doc_id for r in simhash.verified_copies(docs).collect()) == want
+    monkeypatch.setattr(simhash, "PAIRS", 0)  # rounds of leaders until none finds a copy
+    monkeypatch.setattr(simhash, "HOT", 2)
+    assert sorted({r.doc_id for r in simhash.remaining_copies(docs).collect()}) == want
+
+
 def test_secrets_at_every_layer():
     import base64
     import gzip
