@@ -311,3 +311,17 @@ def test_pipeline_of_odd_rows(spark, odd, none, tmp_path):
             docs = stage(spark, docs, str(tmp_path))
             assert docs.columns == odd.columns
         corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count()
+
+
+def test_pipeline_keeps_learned_languages_only(spark):
+    import corpus_pipeline
+
+    docs = ship(spark).read.parquet("/root/testdata/sf0.01/documents.parquet")
+    noise = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "xqzv kjwp bgtr zzkq wvxj hqpl mnbv qwrt zxcv plkj",
+    ]
+    rows = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(noise)], "doc_id long, text string")
+    kept = corpus_pipeline.identify_language(spark, docs.unionByName(rows, allowMissingColumns=True), "")
+    assert kept.filter("doc_id < 0").count() == 0 and kept.count() == docs.count()
