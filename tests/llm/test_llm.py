@@ -185,6 +185,33 @@ def test_secrets_at_every_layer():
     assert secrets.find_all(None) == ([], [])
 
 
+def test_secrets_in_wrapped_and_long_layers(monkeypatch):
+    import base64
+    import gzip
+    import zlib
+
+    rng = np.random.default_rng(8)
+    junk = " ".join(f"{i:x}" for i in rng.integers(0, 1 << 30, 60))
+    plain = f'{junk} password = "hunter22" y'
+    for raw in (plain.encode(), gzip.compress(plain.encode())):
+        code = base64.encodebytes(raw).decode()
+        for lines in (code, code.replace("\n", "\r\n  ")):
+            assert ("assign", 5, 5 + len(lines.rstrip())) in secrets.find_all(f"see:\n{lines}\nthere")[1]
+    body = base64.encodebytes((plain + "z" * (-len(plain) % 3)).encode()).decode().strip()
+    assert ("assign", 20, 20 + len(body)) in secrets.find_all(f"---BEGIN MESSAGE---\n{body}\n-----END MESSAGE-----")[1]
+    for mark in ("\u00a0", "\u200b", "\f"):
+        code = base64.b64encode(f"{mark} secret: abcdefgh".encode()).decode()
+        assert secrets.find_all(code)[1] == [("assign", 0, len(code))]
+    deep = plain.encode()
+    for _ in range(20):
+        deep = zlib.compress(deep)
+    many = gzip.compress(b"nothing here ") + gzip.compress(plain.encode())
+    monkeypatch.setattr(secrets, "PIECE", 1 << 18)
+    for raw in (deep, many, gzip.compress(b"a few words " * 400_000 + plain.encode())):
+        code = base64.b64encode(raw).decode()
+        assert secrets.find_all(code)[1] == [("assign", 0, len(code))]
+
+
 def test_secret_scan_of_odd_rows(odd, none):
     assert secrets.secret_scan(odd).count() == len(ODD) and secrets.secret_scan(none).count() == 0
 
