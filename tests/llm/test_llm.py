@@ -317,6 +317,23 @@ def test_licences(spark, odd, none):
     assert license_scan.license_scan(odd).count() == 0 and license_scan.license_scan(none).count() == 0
 
 
+def test_licence_headers_have_their_own_name():
+    gpl = next(t for n, k, t in license_scan.TEMPLATES if (n, k) == ("GPL-3.0", "header"))
+    known = license_scan.Templates(license_scan.TEMPLATES, 0.8)
+    cases = {
+        "GPL-3.0": gpl,
+        "GPL-2.0": gpl.replace("version 3", "version 2"),
+        "AGPL-3.0": gpl.replace("GNU General", "GNU Affero General"),
+        "LGPL-3.0": gpl.replace("GNU General", "GNU Lesser General"),
+        "LGPL-2.1": gpl.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1").replace("program", "library"),
+        "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt or copy at\nhttp://www.boost.org/LICENSE_1_0.txt)",
+        "EPL-2.0": "are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/ SPDX-License-Identifier: EPL-2.0",
+    }
+    for name, text in cases.items():
+        found = known.find(f"some words before it. {text} and some after")
+        assert [known.names[f[0]][0] for f in found] == [name]
+
+
 def test_mixing(spark, odd, none):
     rows = [(i, "w " * 10, "big" if i < 900 else "small") for i in range(1000)]
     docs = ship(spark).createDataFrame(rows, "doc_id long, text string, source string")
