@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tilewright.llm import decontamination, exact_dedup, language_id, license_scan, line_dedup, mixing, ngram_trie, queries, secrets, simhash, token_store
 from tilewright.plans.session import ship
@@ -245,7 +246,7 @@ def test_alignment_by_full_table():
 
 def test_language(odd, none):
     known = language_id.train(odd, folds=1000)
-    got = {r.doc_id: r["__lang_pred"] for r in language_id.identify(odd, known).collect()}
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(odd, known).collect()}
     assert got[1] == got[2] == got[8] == "und" and got[9] == "de" and got[7] == "en"
     assert language_id.identify(none, language_id.train(none)).count() == 0
     a, b = language_id.grams("ab cd " * 400_000), language_id.grams("ab cd " * 4)
@@ -286,26 +287,43 @@ def test_trie_of_odd_rows(odd, none):
     assert ngram_trie.score(odd, ngram_trie.train(none), F.lit(True)).filter("n_known = 0").count() == len(ODD)
 
 
-def test_token_files(spark, odd, none):
-    out, files = token_store.write_tokens(odd, queries.tokenizer_path())
-    got = token_store.read_tokens(spark, out, files).orderBy("start").collect()
-    plain = token_store.Encoder(queries.tokenizer_path()).tokenizer
+def test_token_files(spark, odd, none, monkeypatch):
+    monkeypatch.setattr(token_store, "FILE_BYTES", 200)  # several files a part
+    stored = token_store.write_tokens(odd, queries.tokenizer_path())
+    got = token_store.read_tokens(stored).orderBy("start", "n_tokens").collect()
+    plain = Tokenizer.from_file(queries.tokenizer_path())
     rows = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     ids = [[*plain.encode(r[1] or "", add_special_tokens=False).ids, 2] for r in rows]
     assert [r.doc_id for r in got] == [r[0] for r in rows] and [r.n_tokens for r in got] == list(map(len, ids))
+    assert [r.start for r in got] == np.cumsum([0, *map(len, ids)])[:-1].tolist()
     assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
-    dictionary = token_store.mapped_or_empty(f"{out}/dictionary")
-    readers = [token_store.Reader(f["path"], dictionary) for f in files]
+    dictionary = token_store.contents(f"{stored.folder}/dictionary")
+    files = stored.files.orderBy("part", "seq").collect()
+    assert sum(f.docs for f in files) == len(ODD) and len(files) == stored.n_files > 1
+    readers = [token_store.Reader(f.path, dictionary) for f in files]
     assert [r.find(9).tolist() for r in readers if r.find(9) is not None] == [ids[-1]]
     with pytest.raises(ValueError):
-        token_store.Reader(files[0]["path"], dictionary + b"x")
-    assert token_store.read_tokens(spark, *token_store.write_tokens(none, queries.tokenizer_path())).count() == 0
+        token_store.Reader(files[0].path, dictionary + b"x")
+    named = odd.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
+    texts = token_store.write_tokens(named, queries.tokenizer_path())
+    assert [r.doc_id for r in token_store.read_tokens(texts).orderBy("start", "n_tokens").collect()] == [None, "d1", "d2", "d4", "d5", "d6", "d7", "d7", "d8", "d9"]
+    assert token_store.read_tokens(token_store.write_tokens(none, queries.tokenizer_path())).count() == 0
 
 
-def test_pieces_keep_the_ids():
-    e = token_store.Encoder(queries.tokenizer_path())
-    texts = ["  a  b\n\n c  d  x", "there's a 'test' don't!!! 12,3 .. ,a\x85\tb\x00c \x1c d", "", "   ", "a　b c", "é ü× ÷a _b. ", "x <|endoftext|> y", "naïve, (Café)! 3.5\nwords;\nmore..."]
-    assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+TRICKY = ["  a  b\n\n c  d  x", "there's a 'test' don't!!! 12,3 .. ,a\x85\tb\x00c \x1c d", "", "   ", "a　b c", "é ü× ÷a _b. ", "x <|endoftext|> y", "naïve, (Café)! 3.5\nwords;\nmore...", "<|endoftext|><|endoftext|>a<|endof", "text|>"]
+
+
+@pytest.mark.parametrize("window", [1 << 20, 64])
+def test_ids_are_those_of_the_plain_library(window, monkeypatch):
+    monkeypatch.setattr(token_store, "WINDOW", window)
+    monkeypatch.setattr(token_store, "HELD", 40)
+    plain, e = Tokenizer.from_file(queries.tokenizer_path()), token_store.Encoder(queries.tokenizer_path())
+    rng = np.random.default_rng(1)
+    marks = [*"abcAB 12  \n\n\t\r.,;'!-_<|>", "<|endoftext|>", "<|endoftext", "|>", "é", "×", "÷", "ß", "ɏ", "ж", "中", "　", "\xa0", "\u0301", "'s", "'ll", "\0", "😀", "ª"]
+    texts = TRICKY + ["".join(rng.choice(marks, n)) for n in rng.integers(0, 400, 200)]
+    assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+    as_text = token_store.Encoder(queries.tokenizer_path(), special_as_text=True)
+    assert 50256 in next(e.encode(["x <|endoftext|> y"])) and 50256 not in next(as_text.encode(["x <|endoftext|> y"]))
 
 
 def test_licences(spark, odd, none):
@@ -344,6 +362,46 @@ def test_mixing(spark, odd, none):
     assert abs(even["big"] - 0.5) < 1e-3
     assert mixing.mixed_documents(docs, max_repeats=2.0).count() == mixing.mix(docs, max_repeats=2.0).count()
     assert mixing.mix(odd).count() > 0 and mixing.mix(none).count() == 0 and mixing.mixed_documents(odd).columns == odd.columns
+    for bad in ({"budget_ratio": 6.0, "max_repeats": 2.0}, {"target_entropy": 1.0, "max_repeats": None}):
+        with pytest.raises(ValueError):
+            mixing.mix(docs, **bad)
+
+
+def test_mixing_by_brute_force(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, "w " * int(rng.choice([1, 3, 10, 200])), f"s{int(rng.integers(0, 4)) ** 2}") for i in range(1500)]
+    docs = ship(spark).createDataFrame(rows, "doc_id long, text string, source string")
+    size = {i: len(t.split()) for i, t, _ in rows}
+    by = Counter()
+    for i, _, s in rows:
+        by[s] += size[i]
+    total = sum(by.values())
+    powers = {s: (n / total) ** 0.5 for s, n in by.items()}
+    entropy = -sum(p / sum(powers.values()) * math.log(p / sum(powers.values())) for p in powers.values())
+    got = mixing.mix(docs, target_entropy=entropy, max_repeats=None, budget_ratio=1.5).collect()
+    assert abs(sum({r.source: r.budget for r in got}.values()) - 1.5 * total) <= len(by)
+    for s, n in by.items():
+        mine = [r for r in got if r.source == s]
+        assert abs(mine[0].weight - powers[s] / sum(powers.values())) < 1e-4
+        drawn = sum(r.tokens for r in mine)
+        assert drawn + mine[0].short == mine[0].budget and 0 <= mine[0].short < 200
+        times = Counter(r.doc_id for r in mine)
+        full = mine[0].budget // n  # every document once an epoch, and in the last one at most once more
+        assert all(full <= times[i] <= full + 1 for i, _, x in rows if x == s)
+        slots = {(r.epoch, r.block): r.slot for r in mine}
+        assert len(set(slots.values())) == len(slots) and sorted(slots, key=slots.get) == sorted(slots, key=lambda k: (k[0], slots[k]))
+    assert Counter(r.doc_id for r in mixing.mixed_documents(docs, target_entropy=entropy, max_repeats=None, budget_ratio=1.5).collect()) == Counter(r.doc_id for r in got)
+
+
+def test_columns_of_any_name_pass_through(spark, odd):
+    names = ["__block", "__ord", "__source", "__lang_pred", "__dirty", "block", "ord", "source_", "cuts", "_block", "lang_pred", "h", "leader"]
+    docs = odd.select("*", *[F.lit(700 + i).alias(n) for i, n in enumerate(names)])
+    bench = spark.createDataFrame([(1, "a passage that is nowhere in these documents at all")], "item_id long, text string")
+    for kept in (mixing.mixed_documents(docs), decontamination.decontaminated(docs, bench), language_id.recognised(docs, language_id.train(docs, folds=1000), 0.1)):
+        assert kept.columns == docs.columns and kept.count() > 0
+        assert [[r[n] for n in names] for r in kept.select(*names).distinct().collect()] == [list(range(700, 700 + len(names)))]
+    with pytest.raises(ValueError):
+        language_id.identify(docs, {})
 
 
 def test_pipeline_of_odd_rows(spark, odd, none, tmp_path):

@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BLOCK_CHARS = 8_000_000
 BLOCK_TEXT = 1 << 20
@@ -243,18 +242,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` without a passage of the benchmark; repeated and null ids are told apart by row, not by id."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__dirty", T.BooleanType())])
-    at, out = docs.columns.index(text_col), docs.withColumn("__dirty", F.lit(False))
-    for block in blocks(benchmark, how.pop("item_col", "item_id"), how.pop("item_text_col", "text")):
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edit_rate: float = 0.08, q: int = 8) -> DataFrame:
+    """The rows of ``docs`` without a passage of the benchmark: rows, not ids, are judged, and no column is added."""
+    at, out = docs.columns.index(text_col), docs
+    for block in blocks(benchmark, item_col, item_text_col):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, how.get("edit_rate", 0.08), how.get("q", 8))
+            index = Index(sent.value, edit_rate, q)
             for b in batches:
-                dirty = [d or (t is not None and bool(matches(index, t))) for t, d in zip(b.column(at).to_pylist(), b.column(len(schema) - 1).to_pylist(), strict=True)]
-                yield pa.record_batch([*b.columns[:-1], pa.array(dirty, pa.bool_())], names=b.schema.names)
+                clean = [t is None or not matches(index, t) for t in b.column(at).to_pylist()]
+                yield b.filter(pa.array(clean, pa.bool_()))
 
-        out = out.mapInArrow(run, schema)
-    return out.filter("NOT __dirty").select(*docs.columns)
+        out = out.mapInArrow(run, docs.schema)
+    return out

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK = 1 << 20
+#: n-grams that a task holds at a time while it counts, and those it keeps to count on.
+WAITING, HELD = 1_000_000, 250_000
 
 
 @lru_cache(1)
@@ -83,11 +85,11 @@ def gram_counts(docs: DataFrame, lang: Column, text: Column) -> DataFrame:
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(name, []).append(g := grams(t))
                 size += len(g[0])
-                if size > 4_000_000:  # pre-aggregate, so that what waits here stays bounded
+                if size > WAITING:  # pre-aggregate, so that what waits here stays bounded
                     for k, parts in held.items():
                         held[k] = [_merge([p[0] for p in parts], [p[1] for p in parts])]
                     size = sum(len(p[0][0]) for p in held.values())
-                    if size > 2_000_000:
+                    if size > HELD:
                         yield from flush()
                         size = 0
         yield from flush()
@@ -129,22 +131,35 @@ class Ranker:
         return self.names[i], float(1 - far[i] / (self.size * len(own)))
 
 
-def identify(docs: DataFrame, known: dict[str, np.ndarray], text_col: str = "text", size: int = 400) -> DataFrame:
-    """``docs`` with lang_pred and score added (as ``__lang_pred`` and ``__lang_score``)."""
-    schema = T.StructType(list(docs.schema.fields))
-    for name, kind in (("__lang_pred", "string"), ("__lang_score", "double")):
-        schema = schema.add(name, kind)
+def identify(docs: DataFrame, known: dict[str, np.ndarray], text_col: str = "text", size: int = 400, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with the prediction and its score added under ``names``, which must not be columns of ``docs``."""
+    if clash := set(names) & set(docs.columns):
+        raise ValueError(f"columns that exist already: {', '.join(sorted(clash))}")
+    schema = T.StructType(list(docs.schema.fields)).add(names[0], "string").add(names[1], "double")
     at = docs.columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(known, size)
         for batch in batches:
             best = [ranker.best(t) for t in batch.column(at).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.float64())], names=[*batch.schema.names, "__lang_pred", "__lang_score"])
+            yield pa.record_batch([*batch.columns, pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.float64())], names=schema.names)
 
     return docs.mapInArrow(predict, schema)
 
 
+def recognised(docs: DataFrame, known: dict[str, np.ndarray], least: float, text_col: str = "text", size: int = 400) -> DataFrame:
+    """The rows of ``docs`` whose text has a learned language with a score of ``least``; no column is added, so none can clash."""
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranker = Ranker(known, size)
+        for batch in batches:
+            best = (ranker.best(t) for t in batch.column(at).to_pylist())
+            yield batch.filter(pa.array([name != "und" and score >= least for name, score in best], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = 400, folds: int = 5) -> dict[str, np.ndarray]:
     """Profiles of the rows whose crc32 of the id leaves a remainder; the others are held out."""
     return profiles(gram_counts(docs.filter(~held_out(F.col(id_col), folds)), F.col(lang_col), F.col(text_col)), size)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,26 +55,21 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    found = language_id.identify(docs.select("doc_id", "text"), language_id.train(docs))
-    return found.select("doc_id", language_id.held_out(F.col("doc_id"), 5).alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"))
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.train(docs), names=("lang_pred", "score"))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id"), 5).alias("held_out"), "lang_pred", "score")
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.read_tokens(spark, *token_store.write_tokens(documents(spark, sf_dir), tokenizer_path()))
+    return token_store.read_tokens(token_store.write_tokens(documents(spark, sf_dir), tokenizer_path()))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_mixing, op2_ngram_trie, op3_simhash, op4_line_dedup, op5_secrets, op6_decontamination, op7_exact_dedup, op8_language_id, op9_token_store, op10_license_scan]
-    importlib.import_module("corpus_pipeline")
-    return {f.__name__: f for f in found} | {"pipeline": pipeline}
+    return {f.__name__: f for f in found}
 
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

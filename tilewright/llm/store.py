@@ -1,14 +1,16 @@
 """Shared storage for intermediate tables and files.
 
 Everything an operator needs twice is written below the folder that the
-cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on
-one machine) a temporary folder is made and set.
+cluster names in ``spark.checkpoint.dir``; only where that is unset and all runs
+in one process (tests) a temporary folder is made and set. Results are lazy and
+read these tables, so they stay until ``clear`` is called.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,21 +22,31 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tilewright-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
 
 
+_made: list[str] = []
+
+
 def fresh(spark: SparkSession, tag: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def saved_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back (cuts lineage, survives lost executors); and where it is."""
     path = fresh(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame, tag: str) -> DataFrame:
+    return saved_at(df, tag)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -44,6 +56,31 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def mark() -> int:
+    """What has been made so far; for ``clear``."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: Iterable[str] = ()) -> None:
+    """Delete what was made after ``since``, but for the paths in ``keep``."""
+    keep = set(keep)
+    for path in _made[since:]:
+        if path not in keep:
+            remove(spark, path)
+    _made[since:] = [path for path in _made[since:] if path in keep]
+
+
+def spare(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from all of ``taken``."""
+    taken, found = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI; used on executors, where there is no session."""
     import pyarrow.fs as pafs
