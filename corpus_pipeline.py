@@ -8,10 +8,8 @@ A null or clashing column passes through; empty tables give empty results.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tilewright.llm import decontamination, language_id, mixing, queries, simhash, token_store
-from tilewright.llm.store import saved
+from tilewright.llm import decontamination, language_id, mixing, queries, simhash, store, token_store
 from tilewright.plans.session import ship
 
 #: Least share of rank agreement with the best profile. The least of the training fold has 0.478 on the 0.01 tables and 0.417
@@ -22,8 +20,7 @@ LEAST_LANGUAGE_SCORE = 0.35
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or unlike every learned language, go. Profiles are learned from the stage's own rows."""
     ship(spark)
-    found = language_id.identify(docs, language_id.train(docs))
-    return found.filter((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    return language_id.recognised(docs, language_id.train(docs), LEAST_LANGUAGE_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     an id stay.
     """
     ship(spark)
-    lost = simhash.verified_copies(docs).select(F.col("doc_id").alias("__lost"))
-    return docs.join(lost, docs["doc_id"] == lost["__lost"], "left_anti")
+    return docs.join(simhash.verified_copies(docs).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each stored document, read back from the files."""
     ship(spark)
-    return token_store.read_tokens(spark, *token_store.write_tokens(docs, queries.tokenizer_path()))
+    return token_store.read_tokens(token_store.write_tokens(docs, queries.tokenizer_path()))
 
 
 STAGES = [
@@ -71,7 +67,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents; what a stage needed only while it ran is deleted behind it."""
+    docs, start = spark.read.parquet(f"{sf_dir}/documents.parquet"), store.mark()
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        docs, path = store.saved_at(stage(spark, docs, sf_dir), name)
+        store.clear(spark, start, [path])
     return STAGES[-1][1](spark, docs, sf_dir)
