@@ -78,14 +78,15 @@ def test_fingerprint_by_definition():
         assert simhash.fingerprint(text) == want
 
 
-@pytest.mark.parametrize("depth", [0, 3])
-def test_links_by_brute_force(depth):
+@pytest.mark.parametrize("depth, levels", [(0, 0), (3, 0), (0, 3), (2, 3)])
+def test_links_by_brute_force(depth, levels):
     rng = np.random.default_rng(5)
     fps = rng.integers(0, 1 << 63, 800, dtype=np.uint64)
     near = fps[:200] ^ (np.uint64(1) << rng.integers(0, 63, 200, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 200, dtype=np.uint64))
     fps = np.unique(np.r_[fps, near])
     tree = simhash.shard_tree(fps[::2], depth)
-    idx, shard, home = simhash.route(fps, tree, 2)
+    deeper = {leaf: levels for leaf in range(0, 8, 2)}
+    idx, shard, home = simhash.route(fps, tree, 2, deeper)
     assert home.sum() == len(fps)
     forest = simhash.Forest(len(fps))
     for s in np.unique(shard):
@@ -99,6 +100,24 @@ def test_links_by_brute_force(depth):
     assert (forest.label == want.label).all() and len(set(want.label)) < len(fps)
 
 
+def test_links_of_many_shards_by_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 40)
+    monkeypatch.setattr(simhash, "SAMPLE", 64)
+    rng = np.random.default_rng(9)
+    fps = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
+    bit = lambda n: np.uint64(1) << rng.integers(0, 63, n, dtype=np.uint64)
+    fps = np.unique(np.r_[fps, fps[:300] ^ bit(300) ^ bit(300), fps[:50] ^ bit(50)])
+    points = ship(spark).createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    found, forest = simhash.links(points, 2), simhash.Forest(len(fps))
+    place = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    for r in found.collect():
+        forest.link(np.array([place[r.a]]), np.array([place[r.b]]))
+    want = simhash.Forest(len(fps))
+    a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2, 1))
+    want.link(a, b)
+    assert (forest.label == want.label).all() and len(a) > 300
+
+
 def test_near_duplicates(odd, none):
     got = {r.doc_id: r for r in simhash.near_duplicates(odd).collect()}
     assert got[1].fp == 0 and got[1].component_id == got[2].component_id == 1
@@ -164,7 +183,7 @@ def test_verified_copies_inside_a_group(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.verified_copies(docs).collect()) == want
     monkeypatch.setattr(simhash, "PAIRS", 0)  # rounds of leaders until none finds a copy
     monkeypatch.setattr(simhash, "HOT", 2)
-    assert sorted({r.doc_id for r in simhash.remaining_copies(docs).collect()}) == want
+    assert sorted({r.doc_id for r in simhash.remaining_copies(docs, docs.select("doc_id")).collect()}) == want
 
 
 def test_secrets_at_every_layer():

@@ -2,10 +2,13 @@
 
 Fingerprints are grouped first, so that copies are one point. A shallow
 vantage-point tree over a bounded sample (``SAMPLE`` fingerprints) splits the
-space of 64-bit fingerprints into shards by Hamming distance; each fingerprint
-goes to its home shard and, by the triangle bound, visits the shards beyond each
-boundary that its ball overlaps (only from the near to the far side: every pair
-meets in the home shard of one of its two). A shard's task builds a vantage-point
+space of 64-bit fingerprints into shards by Hamming distance. Shards that still
+hold too many points are split again as deep as their counts ask for, at vantage
+points drawn from the shard's number, which need no sample: so a shard doesn't
+grow with the data. Each fingerprint goes to its home shard and, by the triangle
+bound, visits the shards beyond each boundary that its ball overlaps (only from
+the near to the far side: every pair meets in the home shard of one of its two).
+A shard's task builds a vantage-point
 tree over its home points and runs all points through it at once, pruning
 branches by the triangle bound, and returns a spanning forest of the exact links,
 so that dense groups never leave as all pairs. The forests' components are found
@@ -34,26 +37,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import saved
+from .store import clear, mark, saved, saved_at
 
 #: Fingerprints that the shard tree is fitted on; every fingerprint is routed through it.
 SAMPLE = 4096
-#: Home points that a shard is to have, about.
-SHARD = 16_000
+#: Points that a shard is to have, about, and the most levels below a leaf of the sampled tree.
+SHARD, MOST_LEVELS = 8_000, 24
 LEAF = 96
 #: Parts that a large group is verified in.
 SLOTS = 64
 #: Documents that tell which shingles are frequent, about, and the most frequent ones that are remembered.
-SAMPLED, MOST_OFTEN = 20_000, 100_000
+SAMPLED, MOST_OFTEN = 8_000, 100_000
 #: Pairs a row beyond which rounds take copies out before all rows of a key are compared.
 PAIRS = 4
 #: Rows of a key that one part of its comparison has, about.
 HOT = 256
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """A-Z in lower case, cut at white space of ASCII."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def shingles(text: str | None, width: int) -> np.ndarray:
     """XXH64 (seed 42) of each word shingle, repeats included; a shorter text is one shingle, a word-less one has none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = words_of(text)
     if not words:
         return np.empty(0, np.uint64)
     n = max(1, len(words) - width + 1)
@@ -67,9 +75,13 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 3, distinct: bool = False, block: int = 1 << 18) -> int:
     """SimHash of the word shingles (of the distinct ones, if asked): a bit is 1 if over half the XXH64 hashes have it."""
-    hashes = shingles(text, width)
-    if distinct:
-        hashes = np.unique(hashes)
+    if distinct and width == 1:
+        words = set(words_of(text))
+        hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)))
+    else:
+        hashes = shingles(text, width)
+        if distinct:
+            hashes = np.unique(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), block):
         ones += np.unpackbits(hashes[at : at + block].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -113,8 +125,20 @@ def shard_tree(sample: np.ndarray, depth: int, seed: int = 7) -> list[tuple[int,
     return nodes
 
 
-def route(points: np.ndarray, tree: list[tuple[int, int, int, int]], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(point index, shard, home): each point's home shard and the shards that it visits."""
+def _drawn(cells: np.ndarray) -> np.ndarray:
+    """A vantage point for each cell below a leaf, from its number."""
+    x = (cells.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def route(points: np.ndarray, tree: list[tuple[int, int, int, int]], radius: int, deeper: dict[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(point index, shard, home): each point's home shard and the shards that it visits.
+
+    ``deeper`` has the levels below a leaf. A shard's number is its leaf, then
+    its path of near (0) and far (1) sides behind a leading 1.
+    """
     found: list[tuple[np.ndarray, int, bool]] = []
     stack = [(0 if tree else -1, np.arange(len(points)), True)]
     while stack:
@@ -130,9 +154,19 @@ def route(points: np.ndarray, tree: list[tuple[int, int, int, int]], radius: int
             stack += [(near, idx[d <= mu], True), (far, idx[d > mu], True), (far, idx[(d <= mu) & (d + radius > mu)], False)]
         else:
             stack += [(near, idx[d - radius <= mu], False), (far, idx[d + radius > mu], False)]
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-    return np.concatenate([f[0] for f in found]), np.concatenate([np.full(len(f[0]), f[1]) for f in found]), np.concatenate([np.full(len(f[0]), f[2]) for f in found])
+    every = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
+    for idx, leaf, home in found:
+        cell, homes, mu = np.full(len(idx), (leaf << MOST_LEVELS + 1) | 1), np.full(len(idx), home), 31
+        for _ in range((deeper or {}).get(leaf, 0)):
+            d = np.bitwise_count(points[idx] ^ _drawn(cell)).astype(np.int64)
+            path = (cell & ((1 << MOST_LEVELS + 1) - 1)) << 1
+            low, high = (leaf << MOST_LEVELS + 1) | path, (leaf << MOST_LEVELS + 1) | path | 1
+            near, far = np.where(homes, d <= mu, d - radius <= mu), np.where(homes, d > mu, d + radius > mu)
+            visit = homes & (d <= mu) & (d + radius > mu)
+            idx, cell, homes = np.concatenate([idx[near], idx[far], idx[visit]]), np.concatenate([low[near], high[far], high[visit]]), np.concatenate([homes[near], homes[far], np.zeros(int(visit.sum()), bool)])
+        for held, more in zip(every, (idx, cell, homes), strict=True):
+            held.append(more)
+    return np.concatenate(every[0]), np.concatenate(every[1]), np.concatenate(every[2])
 
 
 class Forest:
@@ -188,13 +222,18 @@ def links(points: DataFrame, radius: int = 2) -> DataFrame:
     sample = np.array([r.fp for r in points.orderBy(F.xxhash64(F.lit(1), "fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64) if depth else np.empty(0, np.uint64)
     tree = shard_tree(sample, depth)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            idx, shard, home = route(fps.view(np.uint64), tree, radius)
-            for at in range(0, len(idx), 1 << 18):
-                s = slice(at, at + (1 << 18))
-                yield pa.record_batch([pa.array(shard[s].astype(np.int32)), pa.array(home[s]), pa.array(fps[idx[s]])], names=["shard", "home", "fp"])
+    def deal(deeper: dict[int, int]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                fps = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                idx, shard, home = route(fps.view(np.uint64), tree, radius, deeper)
+                for at in range(0, len(idx), 1 << 18):
+                    s = slice(at, at + (1 << 18))
+                    yield pa.record_batch([pa.array(shard[s]), pa.array(home[s]), pa.array(fps[idx[s]])], names=["shard", "home", "fp"])
+
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        spread = points.select("fp").repartition(parts) if depth else points.select("fp")
+        return spread.mapInArrow(run, "shard long, home boolean, fp long")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("home", ascending=False, kind="stable")
@@ -203,9 +242,11 @@ def links(points: DataFrame, radius: int = 2) -> DataFrame:
         tied = root != np.arange(len(fps))
         return pd.DataFrame({"a": fps[root[tied]], "b": fps[tied]})
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = points.select("fp").repartition(parts) if depth else points.select("fp")
-    return spread.mapInArrow(deal, "shard int, home boolean, fp long").groupBy("shard").applyInPandas(search, "a long, b long")
+    deeper = {}
+    if depth:  # a count per leaf of the sampled tree, a few hundred at most
+        for r in deal({}).groupBy("shard").count().filter(F.col("count") > 2 * SHARD).collect():
+            deeper[r.shard >> MOST_LEVELS + 1] = min(MOST_LEVELS, int(np.ceil(np.log2(r["count"] / SHARD))))
+    return deal(deeper).groupBy("shard").applyInPandas(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, distinct: bool = False, copies: bool = False) -> DataFrame:
@@ -269,21 +310,35 @@ def _often(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarra
     """Shingles that are frequent in about ``SAMPLED`` documents, sorted, and their counts there; they only order the prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            h, counts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.record_batch([pa.array(h.view(np.int64)), pa.array(counts.astype(np.int64))], names=["h", "some"])
+
         for b in batches:
             for t in b.column(0).to_pylist():
-                yield pa.record_batch([pa.array(np.unique(shingles(t, shingle)).view(np.int64))], names=["h"])
+                held.append(np.unique(shingles(t, shingle)))
+                if len(held) >= 512:
+                    yield flush()
+        if held:
+            yield flush()
 
     some = docs.filter(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(max(1, n // SAMPLED))) == 0).select("text")
-    top = some.mapInArrow(run, "h long").groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(MOST_OFTEN).collect()
+    counted = some.mapInArrow(run, "h long, some long").groupBy("h").agg(F.sum("some").alias("count"))
+    top = counted.filter("count > 2").orderBy(F.desc("count"), "h").limit(MOST_OFTEN).collect()
     hashes, counts = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
     order = np.argsort(hashes)
     return hashes[order], counts[order]
 
 
-def sharing(docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """key, doc_id, n (the text's distinct shingles), g (rows of the key): prefix shingles that several rows of doc_id, text have."""
-    often = _often(docs, docs.count(), shingle)
-    kind = docs.select(F.lit(0).cast("long").alias("key"), "doc_id", F.lit(0).cast("long").alias("n")).schema
+def sharing(docs: DataFrame, chosen: DataFrame, often: tuple[np.ndarray, np.ndarray], shingle: int, least: float) -> DataFrame:
+    """key, doc_id, n (the text's distinct shingles), g (rows of the key): prefix shingles that several of the ``chosen`` rows of doc_id, text have.
+
+    A document's keys move as one array, and only those that the choice leaves are dealt by key.
+    """
+    kind = docs.select("doc_id", F.lit(0).cast("long").alias("n"), F.array(F.lit(0).cast("long")).alias("keys")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -292,33 +347,39 @@ def sharing(docs: DataFrame, shingle: int, least: float) -> DataFrame:
                 own = np.unique(shingles(t, shingle))
                 keys.append(prefix(own, least, often) if len(own) else own)
                 sizes.append(len(own))
-            per = [len(k) for k in keys]
-            rows = pa.array(np.repeat(np.arange(len(keys)), per))
-            yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), b.column(0).take(rows), pa.array(np.repeat(np.array(sizes, np.int64), per))], names=kind.names)
+            ends = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys).view(np.int64)))
+            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), lists], names=kind.names)
 
-    return _counted(docs.select("doc_id", "text").mapInArrow(run, kind))
+    own = docs.select("doc_id", "text").mapInArrow(run, kind).join(chosen, "doc_id", "left_semi")
+    return _counted(own.select(F.explode("keys").alias("key"), "doc_id", "n"))
 
 
 def _counted(keys: DataFrame) -> DataFrame:
     return keys.withColumn("g", F.count("*").over(Window.partitionBy("key"))).filter("g > 1")
 
 
-def remaining_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """doc_id, leader: pairs of doc_id, text rows of the similarity ``least``, so that no two rows without a pair have it.
+def remaining_copies(docs: DataFrame, chosen: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, leader: pairs of the similarity ``least``, so that no two of the ``chosen`` documents (doc_id) without a pair have it.
 
     Two such texts share a shingle of their prefixes (see ``prefix``), so all
     rows of a key are compared. While that would be over ``PAIRS`` pairs a row,
-    rounds compare each row with the first one of each of its keys only and take
-    the copies out, until a round finds none.
+    rounds compare each document only with the one that is first in most of its
+    keys, and take the copies out, until a round finds none. At last all pairs of
+    a key are formed. Shingles outside both prefixes can be shared by as many as
+    the longer rest has, so pairs that have too few keys in common for that are
+    left out before any text is fetched.
     """
-    shared, found = saved(sharing(docs, shingle, least), "shared"), []
+    shared, found = saved(sharing(docs, chosen, _often(docs, docs.count(), shingle), shingle, least), "shared"), []
     alike = (F.col("leader") < F.col("doc_id")) & (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9)
     while True:
         pairs, rows = shared.agg(F.sum(F.col("g") - 1) / 2, F.count("*")).first()
         if not rows or pairs <= PAIRS * rows:
             break
         heads = shared.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("head")).select("key", F.col("head.doc_id").alias("leader"), F.col("head.n").alias("m"))
-        near = saved(_near(shared.join(heads, "key").filter(alike).select("doc_id", "leader").distinct(), docs, shingle, least), "near")
+        often = shared.join(heads, "key").filter(alike).groupBy("doc_id", "leader").count()
+        best = often.groupBy("doc_id").agg(F.max(F.struct("count", "leader")).alias("best")).select("doc_id", F.col("best.leader").alias("leader"))
+        near = saved(_near(best, docs, shingle, least), "near")
         if near.isEmpty():
             break
         found.append(near)
@@ -326,7 +387,10 @@ def remaining_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> D
     parts = F.ceil(F.col("g") / HOT)
     own = shared.select("key", "doc_id", "n", F.pmod(F.xxhash64("doc_id"), parts).alias("part"))
     other = shared.select("key", F.col("doc_id").alias("leader"), F.col("n").alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-    near = _near(own.join(other, ["key", "part"]).filter(alike).select("doc_id", "leader").distinct(), docs, shingle, least)
+    rest = F.greatest(F.ceil(least * F.col("n") - 1e-9), F.ceil(least * F.col("m") - 1e-9)) - 1
+    enough = F.col("count") + rest >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9
+    pairs = own.join(other, ["key", "part"]).filter(alike).groupBy("doc_id", "leader", "n", "m").count().filter(enough)
+    near = _near(pairs.select("doc_id", "leader"), docs, shingle, least)
     for more in found:
         near = near.union(more)
     return near
@@ -343,14 +407,18 @@ def verified_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``remaining_copies``, which is exact at any distance of the fingerprints. So
     a group that a chain of links made can't take unlike texts along. Equal
     texts are judged once. Rows without an id are never in it; rows that share
-    an id are judged together. An empty table gives an empty result.
+    an id are judged together. An empty table gives an empty result. What was
+    written on the way is deleted; the ids stay.
     """
+    start = mark()
     each = saved(near_duplicates(docs, id_col, text_col, width, radius, True, True).filter("doc_id IS NOT NULL"), "groups")
     firsts = saved(each.groupBy("component_id", "least", "fp", "copy").agg(F.min("doc_id").alias("doc_id")), "firsts")
     leader = F.explode(F.array_distinct(F.array("component_id", "least"))).alias("leader")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
     near = saved(_near(firsts.select("doc_id", leader).filter("leader <> doc_id").distinct(), texts, shingle, least).select("doc_id").distinct(), "near")
     left = firsts.select("doc_id").distinct().join(near, "doc_id", "left_anti")
-    rest = remaining_copies(saved(texts.join(left, "doc_id", "left_semi"), "rest"), shingle, least).select("doc_id")
+    rest = remaining_copies(texts, saved(left, "left"), shingle, least).select("doc_id")
     equal = each.join(firsts.select("fp", "copy", "doc_id"), ["fp", "copy", "doc_id"], "left_anti").select("doc_id")
-    return equal.union(near).union(rest).distinct()
+    lost, path = saved_at(equal.union(near).union(rest).distinct(), "copies")
+    clear(docs.sparkSession, start, [path])
+    return lost
