@@ -35,6 +35,5 @@ def test_equals_sql(spark, duck, name):
     assert sorted(repr([value(row[c]) for c in cols]) for row in df.collect()) == want
 
 
-def test_queries_without_sql(spark):
-    for name in set(QUERIES) - set(ORACLES):
-        assert QUERIES[name](spark, SF).limit(5).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)

@@ -12,6 +12,16 @@ TRUE_NARROW = ("1", "true", "yes")
 TRUE_WIDE = ("1", "true", "yes", "y")
 
 
+def among(c: Column, values: list[str]) -> Column:
+    """Whether the trimmed text is one of the values, in any case; null is not."""
+    return normal(c).isin([str(v).strip().lower() for v in values])
+
+
+def present(c: Column) -> Column:
+    """Neither null nor, for numbers, NaN."""
+    return c.isNotNull() & ~F.coalesce(F.isnan(c.try_cast("double")), F.lit(False))
+
+
 def normal(c: Column) -> Column:
     """Trimmed lower case; null as ''."""
     return F.lower(F.trim(F.coalesce(c.cast("string"), F.lit(""))))
@@ -59,6 +69,18 @@ def basename(c: Column) -> Column:
     return F.element_at(F.split(c, "/"), -1)
 
 
+def named(name: Column, path: Column) -> Column:
+    """A file name, taken from the path where it is null or blank."""
+    return F.coalesce(filled(name.cast("string")), basename(path))
+
+
+def slide_path(path: Column, name: Column, root: str | None = None, strict: bool = False) -> Column:
+    """The path if there is one, else the name below ``root``; null, or an error if strict, where neither will do."""
+    below = F.lit(None).cast("string") if root is None else F.concat(F.lit(root.rstrip("/") + "/"), filled(name))
+    none = F.raise_error(F.lit("a row needs a path, or a name and a root folder")).cast("string") if strict else F.lit(None).cast("string")
+    return F.coalesce(filled(path), below, none)
+
+
 def stem(c: Column) -> Column:
     """File name without its last suffix, in lower case."""
     return F.lower(F.regexp_replace(basename(c), r"(?<=.)\.[^.]*$", ""))
@@ -89,6 +111,27 @@ def mapped(c: Column, table: dict[str, int], allowed: list[int] | None = None) -
     return found if allowed is None else F.when(found.isin(*allowed), found)
 
 
+def label_index(c: Column, labels: list[int]) -> Column:
+    """The 0-based place of a label in the list; null for others."""
+    place = F.array_position(F.array(*map(F.lit, labels)), c).cast("int")
+    return F.when(place > 0, place - 1)
+
+
+def thumbnail_scale(width: Column, height: Column, most: int, capped: bool = True) -> Column:
+    """The factor that brings the longer side to ``most``; at most 1 if capped."""
+    scale = F.lit(float(most)) / F.greatest(width, height)
+    return F.least(scale, F.lit(1.0)) if capped else scale
+
+
+def thumbnail_side(side: Column, scale: Column) -> Column:
+    return F.greatest(half_even(side * scale), F.lit(1).cast("long"))
+
+
+def level_extent(size: int, downsample: Column) -> Column:
+    """What a tile of ``size`` covers at level 0 when it is read in whole pixels of a level."""
+    return half_even(F.greatest(F.ceil(F.lit(float(size)) / downsample), F.lit(1)) * downsample)
+
+
 def half_even(c: Column) -> Column:
     """Rounded to the nearest whole number, halves to the even one."""
     return F.rint(c).cast("long")
@@ -110,6 +153,11 @@ def argmax(values: list[Column]) -> Column:
     return F.array_position(F.array(*values), F.greatest(*values)).cast("int")
 
 
+def linear(features: list[Column], weights: list[list[float]], bias: list[float]) -> list[Column]:
+    """A linear scorer's logits: one per row of weights."""
+    return [reduce(lambda a, b: a + b, [f * w for f, w in zip(features, row, strict=True)], F.lit(b0)) for row, b0 in zip(weights, bias, strict=True)]
+
+
 def softmax(logits: list[Column]) -> list[Column]:
     top = F.greatest(*logits)
     parts = [F.exp(x - top) for x in logits]

@@ -19,9 +19,42 @@ def columns_first(df: DataFrame, first: list[str]) -> DataFrame:
 
 
 def normal_names(df: DataFrame, strict: bool = True) -> DataFrame:
-    """Lower-case names; other characters (or, if not strict, blanks only) become one underscore each."""
-    name = (lambda c: re.sub(r"[^0-9a-z]+", "_", c.strip().lower()).strip("_")) if strict else (lambda c: c.strip().lower().replace(" ", "_"))
-    return df.toDF(*map(name, df.columns))
+    """Lower-case names; what isn't a letter or digit (or, if not strict, blanks only) becomes an underscore. Names that would become one are an error."""
+    name = (lambda c: re.sub(r"[\W_]", "_", c.strip().lower()).strip("_")) if strict else (lambda c: c.strip().lower().replace(" ", "_"))
+    names = [*map(name, df.columns)]
+    if twice := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError(f"columns that become one: {', '.join(twice)}")
+    return df.toDF(*names)
+
+
+def renamed(df: DataFrame, aliases: dict[str, list[str]], kind: str = "string") -> DataFrame:
+    """Each wanted name: its column, else the first of its aliases renamed, else a null column."""
+    for name, others in aliases.items():
+        if name not in df.columns:
+            found = next((o for o in others if o in df.columns), None)
+            df = df.withColumnRenamed(found, name) if found else df.withColumn(name, F.lit(None).cast(kind))
+    return df
+
+
+def with_default(df: DataFrame, name: str, default: str) -> DataFrame:
+    """The column with its nulls filled; a new one where it is missing."""
+    return df.withColumn(name, F.coalesce(F.col(name).cast("string"), F.lit(default)) if name in df.columns else F.lit(default))
+
+
+def keep_list(df: DataFrame, core: list[str], passed: list[str]) -> DataFrame:
+    """The core columns, then those of ``passed`` that exist, each name once, in order."""
+    required(df, core)
+    return df.select(*dict.fromkeys([*core, *[c for c in passed if c in df.columns]]))
+
+
+def merged(df: DataFrame, new: dict[str, Column]) -> DataFrame:
+    """The record with new fields; they override old ones in place and come last otherwise."""
+    return df.withColumns(new)
+
+
+def in_order(values: Column, order: Column) -> Column:
+    """Aggregates the different values of a group by their first place. ``values`` should be grouped before, so that the array is short."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), values.alias("v")))), lambda x: x["v"])
 
 
 def required(df: DataFrame, names: list[str]) -> DataFrame:
@@ -40,9 +73,10 @@ def probabilities(df: DataFrame, prefix: str = "prob_class_") -> list[str]:
     return sorted((c for c in df.columns if re.fullmatch(re.escape(prefix) + r"\d+", c)), key=lambda c: int(c[len(prefix) :]))
 
 
-def conditions(df: DataFrame, wanted: dict[str, Column]) -> DataFrame:
+def conditions(df: DataFrame, wanted: dict[str, Column | None]) -> DataFrame:
     """Filter by the conditions whose column exists."""
-    held = [c for name, c in wanted.items() if name in df.columns]
+    held = [c for name, c in wanted.items() if name in df.columns]  # a condition may be None: switched off
+    held = [c for c in held if c is not None]
     return df.filter(reduce(lambda a, b: a & b, held)) if held else df
 
 
@@ -56,6 +90,31 @@ def base_filter(df: DataFrame, exclude_suspect: bool = False, contains: str | No
     return df.filter(ok)
 
 
+def check_all(df: DataFrame, holds: Column, message: str) -> DataFrame:
+    """The rows, if the condition holds for all of them (null is a failure)."""
+    if bad := df.filter(~F.coalesce(holds, F.lit(False))).count():
+        raise ValueError(f"{message}: {bad} rows")
+    return df
+
+
+def with_files(df: DataFrame, path: str, files: DataFrame, drop: bool = True) -> DataFrame:
+    """The rows whose file is in the listing (its column ``path``); missing ones are dropped, or an error."""
+    listed = files.select(F.col("path").alias(path)).distinct()
+    if not drop and (n := df.join(listed, path, "left_anti").count()):
+        raise FileNotFoundError(f"{n} files of the manifest don't exist")
+    return df.join(listed, path, "left_semi")
+
+
+def unused(files: DataFrame, rows: DataFrame, path: str = "path", used: str = "match") -> DataFrame:
+    """The files that no row took."""
+    return files.join(rows.select(F.col(used).alias(path)).filter(F.col(path).isNotNull()).distinct(), path, "left_anti")
+
+
+def large_enough(components: DataFrame, least: Column) -> DataFrame:
+    """Components of at least an area."""
+    return components.filter(F.col("area") >= least)
+
+
 def valid_box(x: str = "bbox_x", y: str = "bbox_y", w: str = "bbox_w", h: str = "bbox_h") -> Column:
     """Four numbers, origin not negative, extent positive; never null."""
     return F.coalesce((F.col(x) >= 0) & (F.col(y) >= 0) & (F.col(w) > 0) & (F.col(h) > 0), F.lit(False))
@@ -84,6 +143,29 @@ def metadata_join(left: DataFrame, right: DataFrame, on: str, columns: list[str]
     return left.join(right, on, how)
 
 
+def map_values(df: DataFrame, key: str, table: DataFrame, value: str) -> DataFrame:
+    """``value`` of each row by its key; null where the table (key, value; a key once) has none."""
+    return df.join(table.select(key, value), key, "left")
+
+
+def by_driver(driving: DataFrame, results: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Results of parallel jobs at their rows, in the driving order; a row without a result has ``ok`` false and an ``error``."""
+    found = driving.join(results.withColumn("ok", F.coalesce("ok", F.lit(True))), key, "left")
+    missing = F.col("ok").isNull()
+    return found.withColumns({"ok": F.coalesce("ok", F.lit(False)), "error": F.when(missing, F.lit("no result")).otherwise(F.col("error"))}).orderBy(*order)
+
+
+def outcomes(df: DataFrame, value: Column, checks: list[tuple[str, Column]]) -> DataFrame:
+    """``ok``, ``error`` and ``value``: failures are data (the first failing check), never exceptions."""
+    failed = reasons(df, checks).withColumn("error", F.col("reason")).drop("reason")
+    return failed.withColumns({"ok": F.col("error").isNull(), "value": F.when(F.col("error").isNull(), value)})
+
+
+def concatenated(*frames: DataFrame) -> DataFrame:
+    """All rows; a column that a frame lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def leakage(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys that both sides have."""
     return a.select(key).intersect(b.select(key))
@@ -117,3 +199,30 @@ def match_files(rows: DataFrame, key: str, files: DataFrame, path: str = "path")
     equal = f.withColumnRenamed("__stem", "__key").join(keys, "__key").groupBy("__key").agg(F.min("__file").alias("__file")).select("__key", "__file", F.lit(1).alias("tier"))
     best = equal.union(one(in_stem, 2)).union(one(in_key, 3)).groupBy("__key").agg(F.min(F.struct("tier", "__file")).alias("b"))
     return r.join(best, "__key", "left").withColumns({"match": F.col("b.__file"), "tier": F.col("b.tier")}).drop("b", "__key")
+
+
+#: The keys of the tile order and of the extraction order.
+TILE_ORDER = ["task", "split", "analysis_unit_id", "read_level", "tile_y_level0", "tile_x_level0", "tile_path"]
+EXTRACTION_ORDER = TILE_ORDER[:4]
+
+
+def output_order(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Sorted by the keys; null or missing text counts as '', a null or missing number as -1."""
+    texts = {"task", "split", "analysis_unit_id", "tile_path"}
+    have = lambda k: F.col(k) if k in df.columns else F.lit(None)
+    return df.orderBy(*[F.coalesce(have(k).cast("string"), F.lit("")) if k in texts else F.coalesce(have(k).cast("long"), F.lit(-1)) for k in keys])
+
+
+#: Columns of the box that become numbers.
+BOX_NUMBERS = ["bbox_x", "bbox_y", "bbox_w", "bbox_h"]
+
+
+def master_metadata(df: DataFrame, needed: list[str], key: str = "analysis_unit_id", numbers: tuple[str, ...] = ("is_evaluable",)) -> DataFrame:
+    """Checked metadata, one row a unit: needed columns, keys neither null nor twice; box columns and ``numbers`` as doubles, bad ones null."""
+    required(df, [key, *needed])
+    bad = df.groupBy(key).agg(F.count("*").alias("rows")).filter(F.col(key).isNull() | (F.col("rows") > 1)).limit(10).collect()
+    if any(r[key] is None for r in bad):
+        raise ValueError(f"{key} is null in some rows")
+    if bad:
+        raise ValueError(f"{key} comes more than once: {sorted(str(r[key]) for r in bad)}")
+    return df.withColumns({c: C.number(F.col(c)) for c in [*BOX_NUMBERS, *numbers] if c in df.columns})

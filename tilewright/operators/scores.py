@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,33 +9,46 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 
 
-def _add(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, cols)
+#: The methods' names.
+METHODS = ("mean", "topk_mean", "proportion_above_threshold")
 
 
-def unit_scores(tiles: DataFrame, method: str = "topk_mean", top_k: int = 10, threshold: float = 0.5, decision: float = 0.5, keep: tuple[str, ...] = ("study", "split", "target")) -> DataFrame:
-    """unit, kept columns (of the first tile), tile_count, score, pred_label, confidence.
+def method_scores(tiles: DataFrame, methods: tuple[str, ...] = METHODS, top_k: int = 10, threshold: float = 0.5, keep: tuple[str, ...] = ("study", "split", "target")) -> DataFrame:
+    """unit, kept columns (of the first tile), tile_count and a column for each method.
 
-    Ties at the k-th place don't matter to a mean. NaN scores are a data error and become null.
+    The tiles are read once for the sums; the top ones come from a branch of
+    their own, so that only ``top_k`` of a unit's tiles of a task are shuffled.
+    Ties at the k-th place don't matter to a mean. NaN scores are a data error
+    and become null.
     """
-    p = F.when(~F.isnan("prob"), F.col("prob"))
-    if method == "mean":
-        score = F.avg(p)
-    elif method == "proportion_above_threshold":
-        score = F.avg((p >= threshold).cast("int"))
-    elif method == "topk_mean":
-        if top_k < 1:
-            raise ValueError("top_k must be 1 at least")
-        rn = F.row_number().over(W.partitionBy("unit").orderBy(F.col("prob").desc_nulls_last(), "tile"))
-        tiles = tiles.withColumn("prob", p).withColumn("__rn", rn)
-        score = F.avg(F.when(F.col("__rn") <= top_k, F.col("prob")))
-    else:
-        raise ValueError(f"unknown method {method}")
+    if unknown := set(methods) - set(METHODS):
+        raise ValueError(f"unknown method {', '.join(sorted(unknown))}")
+    if top_k < 1:
+        raise ValueError("top_k must be 1 at least")
+    tiles = tiles.withColumn("prob", F.when(~F.isnan("prob"), F.col("prob")))
+    sums = {"mean": F.avg("prob"), "proportion_above_threshold": F.avg((F.col("prob") >= threshold).cast("int"))}
     firsts = [F.min_by(c, "tile").alias(c) for c in keep if c in tiles.columns]
-    out = tiles.groupBy("unit").agg(*firsts, F.count("*").alias("tile_count"), score.alias("score"))
+    out = tiles.groupBy("unit").agg(*firsts, F.count("*").alias("tile_count"), *[c.alias(m) for m, c in sums.items() if m in methods])
+    if "topk_mean" in methods:
+        rank = F.row_number().over(W.partitionBy("unit").orderBy(F.col("prob").desc_nulls_last(), "tile"))
+        top = tiles.select("unit", "prob", "tile").withColumn("rank", rank).filter(F.col("rank") <= top_k)
+        out = out.join(top.groupBy("unit").agg(F.avg("prob").alias("topk_mean")), "unit", "left")
+    return out
+
+
+def unit_scores(tiles: DataFrame, method: str = "topk_mean", top_k: int = 10, threshold: float = 0.5, decision: float = 0.5, keep: tuple[str, ...] = ("study", "split", "target")) -> DataFrame:
+    """unit, kept columns (of the first tile), tile_count, score, pred_label, confidence by one method."""
+    out = method_scores(tiles, (method,), top_k, threshold, keep).withColumnRenamed(method, "score")
     return out.withColumns({"pred_label": (F.col("score") >= decision).cast("int"), "confidence": F.greatest("score", 1 - F.col("score"))})
 
 
+def method_comparison(tiles: DataFrame, decisions: dict[str, float], **how) -> DataFrame:
+    """The binary metrics of each method, from one table of scores; ``decisions`` has each method's threshold."""
+    scores = method_scores(tiles, tuple(decisions), **how)
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), (F.col(m) >= t).cast("int").alias("pred_label")) for m, t in decisions.items()]))
+    return binary_metrics(scores.select("target", each.alias("m")).select("target", "m.*"), ["method"])
+
+
 def unit_classes(tiles: DataFrame, probs: list[str]) -> DataFrame:
     """Mean probability per class and unit, the first largest class (1-based), its probability."""
     means = tiles.groupBy("unit").agg(F.min_by("target", "tile").alias("target"), F.count("*").alias("tile_count"), *[F.avg(p).alias(p) for p in probs])
@@ -62,12 +73,32 @@ def confusion(df: DataFrame, labels: list[int], truth: str = "target", pred: str
     return grid.join(counts, ["target", "pred_label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def running(df: DataFrame, by: list[str], order: str, sums: dict[str, str], parts: int = 64) -> DataFrame:
+    """For each column of ``sums``: the sum over the group's rows with a smaller ``order``, under the given name. ``order`` comes once a group.
+
+    A group is cut at quantiles of ``order`` into ``parts`` ranges that are summed
+    apart, so that no task holds a whole group; the ranges' totals (a few rows a
+    group) are then added. The quantiles come to the driver once, so that they
+    are the same wherever they are used: a row per group (splits, variables).
+    """
+    quantiles = df.groupBy(*by).agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("__at"))
+    bounds = df.sparkSession.createDataFrame(quantiles.collect(), quantiles.schema)
+    dealt = df.join(bounds, by) if by else df.crossJoin(bounds)
+    dealt = dealt.withColumn("__range", F.size(F.filter("__at", lambda b: b < F.col(order)))).drop("__at")
+    before = W.partitionBy(*by, "__range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    ranges_before = W.partitionBy(*by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    totals = dealt.groupBy(*by, "__range").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    totals = totals.withColumns({f"__{n}": F.coalesce(F.sum(f"__{n}").over(ranges_before), F.lit(0)) for n in sums})
+    out = dealt.withColumns({n: F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in sums.items()}).join(totals, [*by, "__range"])
+    return out.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__range", *[f"__{n}" for n in sums])
+
+
 def cuts(df: DataFrame, by: list[str], truth: str = "target", score: str = "score") -> DataFrame:
-    """Per distinct score: positives and negatives at it and above it. Counts are summed before the window."""
+    """Per distinct score: positives and negatives at it (p, q), at it and above it (tp, fp), and in all (pos, neg)."""
     at = df.groupBy(*by, F.col(score).alias("cut")).agg(F.sum(F.col(truth).cast("long")).alias("p"), F.sum(1 - F.col(truth).cast("long")).alias("q"))
-    down = W.partitionBy(*by).orderBy(F.desc("cut")).rowsBetween(W.unboundedPreceding, 0)
-    all_rows = W.partitionBy(*by)
-    return at.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("q").over(down), "pos": F.sum("p").over(all_rows), "neg": F.sum("q").over(all_rows)})
+    below = running(at, by, "cut", {"__p": "p", "__q": "q"})
+    both = below.join(at.groupBy(*by).agg(F.sum("p").alias("pos"), F.sum("q").alias("neg")), by)
+    return both.withColumns({"tp": F.col("pos") - F.col("__p"), "fp": F.col("neg") - F.col("__q")}).drop("__p", "__q")
 
 
 def ranking_metrics(df: DataFrame, by: list[str], truth: str = "target", score: str = "score") -> DataFrame:
@@ -80,10 +111,30 @@ def ranking_metrics(df: DataFrame, by: list[str], truth: str = "target", score:
     return safe.groupBy(*by).agg(F.when(ok, area).alias("auroc"), F.when(ok, steps).alias("average_precision"))
 
 
-def curve_points(df: DataFrame, truth: str = "target", score: str = "score") -> DataFrame:
-    """cut, tpr, fpr, precision, recall at each distinct score."""
+def curve_points(df: DataFrame, truth: str = "target", score: str = "score", ends: bool = False) -> DataFrame:
+    """cut, tpr, fpr, precision, recall at each distinct score; with ``ends`` also the points above the largest (cut null): nothing is found there, with a precision of 1."""
     c = cuts(df.withColumn("__all", F.lit(1)), ["__all"], truth, score)
-    return c.select("cut", (F.col("tp") / F.col("pos")).alias("tpr"), (F.col("fp") / F.col("neg")).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("pos")).alias("recall"))
+    out = c.select("cut", (F.col("tp") / F.col("pos")).alias("tpr"), (F.col("fp") / F.col("neg")).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("pos")).alias("recall"))
+    if ends:
+        first = df.sparkSession.createDataFrame([(None, 0.0, 0.0, 1.0, 0.0)], "cut double, tpr double, fpr double, precision double, recall double")
+        out = first.unionByName(out)
+    return out
+
+
+def curve_areas(df: DataFrame, by: list[str], truth: str = "target", score: str = "score") -> DataFrame:
+    """auroc_curve, auprc_curve per group: trapezoids under both curves with their end points; null where there is one class only.
+
+    A trapezoid needs a cut's counts and those above it only, so no order is
+    needed once the running counts are there.
+    """
+    c = cuts(df, by, truth, score).withColumns({"tp0": F.col("tp") - F.col("p"), "fp0": F.col("fp") - F.col("q")})
+    precision = F.col("tp") / (F.col("tp") + F.col("fp"))
+    above = F.when(F.col("tp0") + F.col("fp0") == 0, 1.0).otherwise(F.try_divide(F.col("tp0"), F.col("tp0") + F.col("fp0")))
+    roc = F.sum(F.col("q") * (F.col("tp") + F.col("tp0")) / 2) / (F.max("pos") * F.max("neg"))
+    pr = F.sum(F.col("p") * (precision + above) / 2) / F.max("pos")
+    ok = (F.max("pos") > 0) & (F.max("neg") > 0)
+    safe = c.withColumns({"pos": F.nullif("pos", F.lit(0)), "neg": F.nullif("neg", F.lit(0))})
+    return safe.groupBy(*by).agg(F.when(ok, roc).alias("auroc_curve"), F.when(ok, pr).alias("auprc_curve"))
 
 
 def binary_metrics(df: DataFrame, by: list[str], truth: str = "target", pred: str = "pred_label") -> DataFrame:
@@ -156,3 +207,19 @@ def losses(df: DataFrame, prob: Column, weight: Column, gamma: float | None = No
     if gamma is None:
         return df.agg((F.sum(-weight * F.log(p)) / F.sum(weight)).alias("loss"))
     return df.agg(F.avg(-weight * F.pow(1 - p, F.lit(gamma)) * F.log(p)).alias("loss"))
+
+
+def task_summary(units: DataFrame, tiles: DataFrame, levels: list[int], label: str = "target") -> DataFrame:
+    """A row per task and level: units in all and by split, classes by split as JSON, tiles by split.
+
+    ``units`` has task, split and the label; ``tiles`` task, split and read_level.
+    """
+    spark, split = units.sparkSession, F.col("split")
+    per = units.groupBy("task").agg(F.count("*").alias("n_analysis_units_total"), F.count_if(split == "train").alias("n_analysis_units_train"), F.count_if(split == "val").alias("n_analysis_units_val"))
+    classes = units.filter(F.col(label).isNotNull()).groupBy("task", "split", label).agg(F.count("*").alias("n"))
+    pair = F.struct(F.col(label).alias("o"), F.col(label).cast("string").alias("key"), F.col("n").alias("value"))
+    of = lambda s: F.to_json(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.when(split == s, pair))), lambda x: F.struct(x["key"], x["value"]))))
+    counts = classes.groupBy("task").agg(of("train").alias("class_counts_train"), of("val").alias("class_counts_val"))
+    held = tiles.groupBy("task", "read_level").agg(F.count_if(split == "train").alias("n_tiles_train"), F.count_if(split == "val").alias("n_tiles_val"))
+    grid = per.join(counts, "task", "left").crossJoin(spark.createDataFrame([(x,) for x in levels], "read_level int"))  # tasks times levels
+    return grid.join(held, ["task", "read_level"], "left").fillna(0, ["n_tiles_train", "n_tiles_val"])

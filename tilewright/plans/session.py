@@ -9,10 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch, unless the session names another number than Spark's default: rows hold whole documents.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b")
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable in the executors' Python workers, whatever their path; once per application."""
+    """Make this package importable in the executors' Python workers, whatever their path; once per application. Arrow batches stay small."""
+    key, default, small = BATCH
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, small)
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]

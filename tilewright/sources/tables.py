@@ -3,41 +3,64 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import columns as C
 
 
 def sniff(head: str) -> str:
     """The delimiter of a header line: the most frequent of comma, semicolon and tab, comma if there is none."""
-    line = head.lstrip("﻿").split("\n", 1)[0]
+    line = head.lstrip("\ufeff").split("\n", 1)[0]
     return max(",;\t", key=lambda d: (line.count(d), d == ","))
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """All columns as text; the delimiter is sniffed, a byte-order mark dropped, empty fields are null."""
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, schema: str | T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+    """All columns as text (or by ``schema``; what doesn't fit is null); the delimiter is sniffed, a byte-order mark dropped, empty fields are null.
+
+    Fields with line breaks need ``multi_line``, which reads a file in one task.
+    """
     if sep is None:
         first = spark.read.text(path).limit(1).collect()
         sep = sniff(first[0].value if first else "")
-    df = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", True).csv(path)
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multi_line)
+    df = (reader.schema(schema).option("enforceSchema", True) if schema else reader).csv(path)
+    return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """With a header also where there are no rows."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    out = df if df.head(1) else df.coalesce(1)
+    out.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+
+
+def write_json(spark: SparkSession, payload: dict, path: str) -> None:
+    """One file with sorted keys, on any file system that Spark reaches."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(json.dumps(payload, sort_keys=True, indent=2).encode()))
+    out.close()
+
 
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A nested mapping from a YAML file (JSON is YAML too); anything else in it is an error."""
+    import yaml
 
-def write_json(payload: dict, path: str) -> None:
-    Path(path).write_text(json.dumps(payload, sort_keys=True, indent=2))
+    text = "\n".join(r.value for r in spark.read.text(path).coalesce(1).toLocalIterator())
+    found = yaml.safe_load(text) or {}
+    if not isinstance(found, dict):
+        raise ValueError("a configuration must be a mapping")
+    return found
 
 
-def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """path, length of the files of a folder, by name pattern."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path", "length")
+def list_files(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
+    """path, length of the files of a folder whose suffix is this one in any case, by path; contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    return found.filter(F.lower("path").endswith(suffix.lower())).orderBy("path")
 
 
-def tile_path(task, split, level, study, name):
-    """tiles/task/split/level_N/study/name."""
-    return F.concat_ws("/", F.lit("tiles"), task, split, F.concat(F.lit("level_"), level), study, name)
+def tile_path(task: Column, split: Column, level: Column, study: Column, name: Column) -> Column:
+    """tiles/task/split/level_N/study/name; the study as a safe token."""
+    return F.concat_ws("/", F.lit("tiles"), task, split, F.concat(F.lit("level_"), level), C.token(study), name)
