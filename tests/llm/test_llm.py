@@ -272,33 +272,83 @@ def test_language(odd, none):
     assert len(a[0]) == len(b[0]) and (a[1] == 100_000 * b[1]).all()
 
 
-def test_trie_by_brute_force(spark):
-    rng = np.random.default_rng(2)
-    texts = [" ".join(rng.choice(["a", "B", "c", "d", "e"], 12)) for _ in range(60)] + [None, ""]
-    docs = ship(spark).createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model = ngram_trie.train(docs, order=3)
-    grams = Counter()
+def _witten_bell(texts, order):
+    """(tokens, vocabulary size, log10 score of a text, known tokens of a text) by counting n-grams in a dictionary."""
+    grams, kids, after = Counter(), {}, Counter()
     for t in texts:
         w = [*low(t).split(), "."]
-        grams.update((x,) for x in w)
-        grams.update(zip([".", *w], w))
-        grams.update(zip([".", *w][: len(w) - 1], w, w[1:]))
-    n, v = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+        for k in range(1, order + 1):
+            padded = w if k == 1 else [".", *w]  # the end token stands before the first word
+            grams.update(zip(*[padded[i:] for i in range(k)], strict=False))
+    for g, c in grams.items():
+        kids[g[:-1]] = kids.get(g[:-1], 0) + 1
+        after[g[:-1]] += c
+    n, v = after[()], kids.get((), 0)
 
     def p(h, w):
         if not h:
             return (grams[(w,)] + 0.1) / (n + 0.1 * (v + 1))
-        kids = [c for g, c in grams.items() if g[:-1] == h]
-        return (grams[(*h, w)] + len(kids) * p(h[1:], w)) / (sum(kids) + len(kids)) if kids else p(h[1:], w)
+        return (grams[(*h, w)] + kids[h] * p(h[1:], w)) / (after[h] + kids[h]) if h in kids else p(h[1:], w)
+
+    def scored(t):
+        w = [*low(t).split(), "."]
+        base = sum(math.log10(p((), x)) for x in w)
+        score = sum(math.log10(p(tuple([".", *w[:k]][-(order - 1) :]) if order > 1 else (), x)) for k, x in enumerate(w))
+        return base, score, len(w), sum(grams[(x,)] > 0 for x in w)
+
+    return n, scored
+
 
-    asked = ["a b zz c", "", "e d c b a a"]
+@pytest.mark.parametrize("order, tokens", [(2, 6_000_000), (3, 6_000_000), (3, 60), (4, 90)])
+def test_trie_by_brute_force(spark, monkeypatch, order, tokens):
+    monkeypatch.setattr(ngram_trie, "SHARD_TOKENS", tokens)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["a", "B", "c", "d", "e", "averyveryverylongword"], 12)) for _ in range(60)] + [None, ""]
+    docs = ship(spark).createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = ngram_trie.train(docs, order=order)
+    assert (len(model.levels[-1].numbers) > 3) == (tokens < 1000)
+    n, scored = _witten_bell(texts, order)
+    asked = ["a b zz c", "", "e d c b a a", "Averyveryverylongword averyveryverylongwordx d"]
     sizes, known, base, score = model.score(asked)
-    assert (model.tokens, sizes.tolist(), known.tolist()) == (n, [5, 1, 7], [4, 1, 7])
-    for i, t in enumerate(asked):
-        w = [*t.split(), "."]
-        assert math.isclose(base[i], sum(math.log10(p((), x)) for x in w), abs_tol=1e-9)
-        want = sum(math.log10(p(tuple([".", *w[:k]][-2:]) if k else (".",), x)) for k, x in enumerate(w))
-        assert abs(score[i] - want) < 0.02 * len(w)
+    want = [scored(t) for t in asked]
+    assert (model.tokens, sizes.tolist(), known.tolist()) == (n, [w[2] for w in want], [w[3] for w in want])
+    assert np.allclose(base, [w[0] for w in want], atol=1e-9)
+    assert all(abs(s - w[1]) < 0.02 * w[2] for s, w in zip(score, want, strict=True))
+
+
+def test_trie_query_by_brute_force(spark, monkeypatch, tmp_path):
+    """The query itself, over documents of which it learns nine tenths, with several shards."""
+    monkeypatch.setattr(ngram_trie, "SHARD_TOKENS", 400)
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice([f"w{j}" for j in range(80)], int(rng.integers(0, 60)))) if i % 9 else None) for i in range(150)]
+    ship(spark).createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
+    n, scored = _witten_bell([t for i, t in rows if not out[i]], 3)
+    got = {r.doc_id: r for r in queries.op2_ngram_trie(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and any(out.values())
+    for i, t in rows:
+        r, (base, score, size, known) = got[i], scored(t)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], size, known, n)
+        assert math.isclose(r.base_score, base, abs_tol=1e-7) and abs(r.score - score) < 0.02 * size
+
+
+def test_children_lie_inside_their_context():
+    """Every (context, word) pair against a dictionary: pointers and context-relative values."""
+    rng = np.random.default_rng(6)
+    pairs = sorted({(int(c), int(w)) for c, w in zip(rng.integers(0, 300, 2000), rng.integers(0, 50, 2000), strict=True) if c % 7})
+    context, word = np.array(pairs).T
+    kinds = np.bincount(context, minlength=300)
+    span = np.zeros(300, np.int64)
+    span[kinds > 0] = word[np.cumsum(kinds)[kinds > 0] - 1] + 1
+    shard = ngram_trie.Shard.__new__(ngram_trie.Shard)
+    shard.base, shard.n_contexts = 0, 300
+    coded = lambda x, u: (lambda h, a: ngram_trie.EliasFano(h[0], h[1], *a))(*ngram_trie.EliasFano.parts(x.astype(np.uint64), u))
+    shard.pointers = coded(np.r_[0, np.cumsum(kinds)], len(pairs) + 1)
+    shard.keys = coded((np.cumsum(span) - span)[context] + word, int(span.sum()) + 1)
+    place = {p: i for i, p in enumerate(pairs)}
+    c, w = (x.ravel() for x in np.meshgrid(np.arange(300), np.arange(60)))
+    assert shard.children(c, w).tolist() == [place.get((int(a), int(b)), -1) for a, b in zip(c, w, strict=True)]
+    assert [tuple(x) for x in np.column_stack(shard.parents(np.arange(len(pairs)))).tolist()] == pairs
 
 
 def test_trie_of_odd_rows(odd, none):

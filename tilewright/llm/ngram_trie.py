@@ -2,17 +2,22 @@
 
 Level 1 is the vocabulary: the sorted 64-bit hashes of the training words, Elias-
 Fano coded, with exact counts; a word's id is its rank. Level k holds, for each
-(k-1)-gram in order, the ids of the words seen after it. Such a child is stored
-as context * V + word, which makes the whole level one monotone Elias-Fano
-sequence; monotone pointers give each context's range, and a child is found by a
-successor search relative to its context. Each child has an 8-bit code of its
-smoothed probability, each context one of its back-off weight.
+(k-1)-gram in order, the ids of the words seen after it. Monotone pointers give
+each context's range of children. The ids of a range are stored on top of the
+last value of the range before, so that a whole level is one increasing Elias-
+Fano sequence, no larger than what its contexts use of the vocabulary. A child is
+found by a successor search relative to its context: the pointers tell where the
+range begins and ends, the value before it is added to the word's id, and the
+sum is searched for and must lie inside the range. Each child has an 8-bit code
+of its smoothed probability, each context one of its back-off weight.
 
 The model is interpolated Witten-Bell: P(w|h) = (c(hw) + T(h) P(w|h')) / (c(h) + T(h)),
 T(h) being the number of different words after h, over the unigram distribution
 of the base score. The end token also stands before a text's first word. Levels
-are written in shards of the shared folder and memory-mapped by the scorers;
-counts reach a shard as sorted, packed arrays, pre-aggregated by each task.
+are written in shards of the shared folder and memory-mapped by the scorers
+(where the folder is no file system of the machine, the shards in use are read
+and at most ``MOST_OPEN`` are held); counts reach a shard as sorted, packed
+arrays, pre-aggregated by each task. A batch's n-grams are looked up once each.
 
 Defined results: null text is the empty text, one end token. Rows with a null
 doc_id train and are scored as if the id were the empty text. Repeated rows
@@ -39,21 +44,36 @@ U64 = np.uint64
 SHARD_TOKENS = 6_000_000
 END = xxhash.xxh64_intdigest(b"\n", 0)  # a line feed is never a word
 BATCH_CHARS = 1 << 22
+#: Shards of a level that a worker keeps open.
+MOST_OPEN = 256
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
+    return x ^ (x >> U64(31))
 
 
 def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all tokens with an end token after each text, tokens per text)."""
-    hash_of, out, sizes = xxhash.xxh64_intdigest, [], np.empty(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        w = words_of(t)
-        out.append(np.fromiter(map(hash_of, w), U64, len(w)))
-        out.append(np.array([END], U64))
-        sizes[i] = len(w) + 1
-    return (np.concatenate(out) if out else np.empty(0, U64)), sizes
+    """(hashes of all tokens with an end token after each text, tokens per text). Words up to 16 bytes are hashed as arrays, longer ones one by one."""
+    parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    data = b"\n".join([*parts, b""])
+    raw = np.frombuffer(data, np.uint8)
+    space = _SPACE[raw]
+    starts = np.flatnonzero(~space & np.r_[True, space[:-1]]) if len(raw) else np.empty(0, np.int64)
+    size = np.flatnonzero(space & np.r_[False, ~space[:-1]]) - starts if len(raw) else np.empty(0, np.int64)
+    padded = np.concatenate([raw, np.zeros(16, np.uint8)])
+    key = np.lib.stride_tricks.sliding_window_view(padded, 16)[starts].view("<u8")
+    mask = lambda n: np.where(n >= 8, U64(0xFFFFFFFFFFFFFFFF), (U64(1) << (8 * np.clip(n, 0, 7)).astype(U64)) - U64(1))
+    low, high = key[:, 0] & mask(size), key[:, 1] & mask(size - 8)
+    words = _mixed(_mixed(low + size.astype(U64) * U64(0x9E3779B97F4A7C15)) ^ (high * U64(0xC2B2AE3D27D4EB4F)))
+    for i in np.flatnonzero(size > 16).tolist():
+        words[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + size[i]], 1)
+    ends = np.cumsum([len(p) + 1 for p in parts], dtype=np.int64) if parts else np.empty(0, np.int64)
+    upto = np.searchsorted(starts, ends)  # words before the end of each text
+    return np.insert(words, upto, U64(END)), np.diff(np.r_[0, upto]) + 1
 
 
 def portions(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -162,10 +182,10 @@ class EliasFano:
 
 
 def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(8-bit codes, their values): bins of equal counts, each with its mean."""
+    """(8-bit codes, their values): 256 bins of equal width, each with the mean of its values, so no value is off by more than a 256th of the range."""
     if not len(x):
         return np.zeros(0, np.uint8), np.zeros(256)
-    edges = np.unique(np.quantile(x[:: max(1, len(x) // 200_000)], np.linspace(0, 1, 257)[1:-1]))
+    edges = np.linspace(x.min(), x.max(), 257)[1:-1]
     code = np.searchsorted(edges, x)
     n = np.bincount(code, minlength=256)
     return code.astype(np.uint8), np.bincount(code, x, 256) / np.maximum(n, 1)
@@ -202,12 +222,36 @@ class Shard:
             self.codes, self.values = take(np.uint8, head[7]), take(np.float64, 256)
             self.back, self.back_values = take(np.uint8, self.n_contexts), take(np.float64, 256)
 
+    def children(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The place of each context's child, -1 where there is none: a successor search inside the context's range."""
+        begin, end = self.pointers.get(context), self.pointers.get(context + 1).astype(np.int64)
+        before = begin > 0
+        base = np.zeros(len(begin), U64)
+        base[before] = self.keys.get(begin[before].astype(np.int64) - 1) + U64(1)
+        at = self.keys.find(base + word.astype(U64))
+        return np.where(at < end, at, -1)
+
+    def parents(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(context, word) of each child."""
+        if not hasattr(self, "_ends"):
+            self._ends = self.pointers.get(np.arange(1, self.n_contexts + 1)).astype(np.int64)
+        context = np.searchsorted(self._ends, nodes, "right")
+        begin = np.where(context > 0, self._ends[context - 1], 0)
+        base = np.zeros(len(nodes), U64)
+        base[begin > 0] = self.keys.get(begin[begin > 0] - 1) + U64(1)
+        return context, (self.keys.get(nodes) - base).astype(np.int64)
+
+
+def shard_path(folder: str, level: int, number: int) -> str:
+    return f"{folder}/level{level}-{number:07d}"
+
 
 class Level:
-    """The shards of a level; ``firsts`` are the smallest hash (level 1) or context of each, ``starts`` the nodes before it."""
+    """The shards of a level, by number; ``firsts`` are the smallest hash (level 1) or context of each, ``starts`` the nodes before it."""
 
-    def __init__(self, level: int, paths: list[str], firsts: list[int], starts: list[int], size: int) -> None:
-        self.level, self.paths, self.starts, self.size = level, paths, np.array(starts, np.int64), size
+    def __init__(self, level: int, folder: str, numbers: list[int], firsts: list[int], starts: list[int], size: int) -> None:
+        self.level, self.folder, self.size = level, folder, size
+        self.numbers, self.starts = np.array(numbers, np.int32), np.array(starts, np.int64)
         self.firsts = np.array(firsts, U64 if level == 1 else np.int64)
         self.open: dict[int, Shard] = {}
 
@@ -216,19 +260,23 @@ class Level:
 
     def shard(self, i: int) -> Shard:
         if i not in self.open:
-            self.open[i] = Shard(self.paths[i], self.level)
+            if len(self.open) >= MOST_OPEN:
+                del self.open[next(iter(self.open))]
+            self.open[i] = self._opened(i)
         return self.open[i]
 
+    def _opened(self, i: int) -> Shard:
+        return Shard(shard_path(self.folder, self.level, int(self.numbers[i])), self.level)
+
     def by_shard(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(shard, places of the keys that it may hold)."""
-        if not len(self.paths):
+        if not len(self.numbers):
             return
-        s = np.maximum(np.searchsorted(self.firsts, keys, "right") - 1, 0).astype(np.int32)
+        s = np.maximum(np.searchsorted(self.firsts, keys, "right") - 1, 0)
         order = np.argsort(s, kind="stable")
-        cut = np.searchsorted(s[order], np.arange(len(self.paths) + 1))
-        for i in range(len(self.paths)):
-            if cut[i] < cut[i + 1]:
-                yield i, order[cut[i] : cut[i + 1]]
+        for part in np.split(order, np.flatnonzero(np.diff(s[order])) + 1):
+            if len(part):
+                yield int(s[part[0]]), part
 
 
 class Model:
@@ -239,14 +287,15 @@ class Model:
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of words; -1 and 0 where unknown."""
-        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for i, at in self.vocabulary.by_shard(hashes):
+        each, back = np.unique(hashes, return_inverse=True)
+        ids, counts = np.full(len(each), -1, np.int64), np.zeros(len(each), np.int64)
+        for i, at in self.vocabulary.by_shard(each):
             shard = self.vocabulary.shard(i)
-            found = shard.keys.find(hashes[at])
+            found = shard.keys.find(each[at])
             known = found >= 0
             ids[at[known]] = found[known] + self.vocabulary.starts[i]
             counts[at[known]] = shard.counts[found[known]]
-        return ids, counts
+        return ids[back], counts[back]
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         """log10 of the unigram probabilities."""
@@ -261,21 +310,40 @@ class Model:
             before[first] = self._end if level.level == 2 else -1
             node = np.full(len(ids), -1, np.int64)
             usable = np.flatnonzero(before >= 0)
-            for i, part in level.by_shard(before[usable]):
-                at, shard = usable[part], level.shard(i)
-                ctx = before[at] - shard.base
-                inside = (ctx >= 0) & (ctx < shard.n_contexts)
-                at, ctx = at[inside], ctx[inside]
-                known = ids[at] >= 0
-                found = np.full(len(at), -1, np.int64)
-                found[known] = shard.keys.find(ctx[known].astype(U64) * U64(self.vocabulary.size) + ids[at[known]].astype(U64))
-                hit = found >= 0
-                if score is not None:
-                    score[at] += shard.back_values[shard.back[ctx]]
-                    score[at[hit]] = shard.values[shard.codes[found[hit]]]
-                node[at[hit]] = found[hit] + level.starts[i]
+            context, word, back = self._pairs(before[usable], ids[usable])
+            found, weight, prob = self.step(level, context, word)
+            node[usable] = found[back]
+            if score is not None:
+                hit = found[back] >= 0
+                score[usable] += weight[back]
+                score[usable[hit]] = prob[back][hit]
         return node
 
+    def _pairs(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different (context, word) pairs, and each pair's place among them."""
+        v = self.vocabulary.size + 1
+        if not len(context) or (int(context.max()) + 1) * v >= 1 << 64:  # the pairs don't fit a number: they stay as they are
+            return context, word, np.arange(len(context))
+        each, back = np.unique(context.astype(U64) * U64(v) + (word + 1).astype(U64), return_inverse=True)
+        return (each // U64(v)).astype(np.int64), (each % U64(v)).astype(np.int64) - 1, back
+
+    def step(self, level: Level, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(node or -1, back-off weight, log10 probability where there is a node) of words after contexts of a level."""
+        node, weight, prob = np.full(len(word), -1, np.int64), np.zeros(len(word)), np.zeros(len(word))
+        for i, at in level.by_shard(context):
+            shard = level.shard(i)
+            c = context[at] - shard.base
+            inside = (c >= 0) & (c < shard.n_contexts)
+            at, c = at[inside], c[inside]
+            weight[at] = shard.back_values[shard.back[c]]
+            known = word[at] >= 0
+            at, c = at[known], c[known]
+            found = shard.children(c, word[at])
+            hit = found >= 0
+            node[at[hit]] = found[hit] + level.starts[i]
+            prob[at[hit]] = shard.values[shard.codes[found[hit]]]
+        return node, weight, prob
+
     @property
     def _end(self) -> int:
         if not hasattr(self, "_end_id"):
@@ -314,45 +382,46 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _dealt(keys_of, texts: DataFrame, width: int, n_shards: int) -> DataFrame:
-    """shard, packed counts: ``keys_of(texts)`` gives (context, word) arrays; each task sums what it can hold."""
+def _dealt(keys_of, texts: DataFrame) -> DataFrame:
+    """shard, packed counts: ``keys_of(texts)`` gives (shard, key inside it) arrays; each task sums what it can hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys, counts = _summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            for shard, parts in held.items():
+                keys, counts = _summed(np.concatenate([h[0] for h in parts]), np.concatenate([h[1] for h in parts]))
+                yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([_packed(keys, counts)], pa.binary())], names=["shard", "counts"])
             held.clear()
-            cut = np.r_[np.searchsorted(keys, np.array([s * width for s in range(n_shards)], U64)), len(keys)]
-            some = [i for i in range(n_shards) if cut[i] < cut[i + 1]]
-            for i in some:
-                yield pa.record_batch([pa.array([i], pa.int32()), pa.array([_packed(keys[cut[i] : cut[i + 1]], counts[cut[i] : cut[i + 1]])], pa.binary())], names=["shard", "counts"])
 
         for _, part in portions(batches, 0):
-            keys = keys_of(part)
-            u, n = np.unique(keys, return_counts=True)
-            held.append((u, n.astype(np.int64)))
-            size += len(u)
-            if size > 5_000_000:
+            shards, keys = keys_of(part)
+            order = np.argsort(shards, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(shards[order])) + 1):
+                if len(at):
+                    u, n = np.unique(keys[at], return_counts=True)
+                    held.setdefault(int(shards[at[0]]), []).append((u, n.astype(np.int64)))
+                    size += len(u)
+            if size > 4_000_000:
                 yield from flush()
                 size = 0
-        if held:
-            yield from flush()
+        yield from flush()
 
     return texts.mapInArrow(run, "shard int, counts binary")
 
 
 def _built(dealt: DataFrame, make) -> list:
-    """Sum a shard's counts and store it; returns rows of (shard, path, nodes, tokens), in order."""
+    """Sum a shard's counts and store it; returns rows of (shard, nodes, tokens), in order."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         shard = int(group["shard"].iloc[0])
         parts = [_unpacked(b) for b in group["counts"]]
         keys, counts = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        path = make(shard, keys, counts)
-        return pd.DataFrame({"shard": [shard], "path": [path], "nodes": [len(keys)], "tokens": [int(counts.sum())]})
+        make(shard, keys, counts)
+        return pd.DataFrame({"shard": [shard], "nodes": [len(keys)], "tokens": [int(counts.sum())]})
 
-    return sorted(dealt.groupBy("shard").applyInPandas(run, "shard int, path string, nodes long, tokens long").collect())
+    return sorted(dealt.groupBy("shard").applyInPandas(run, "shard int, nodes long, tokens long").collect())
 
 
 def train(docs: DataFrame, text_col: str = "text", order: int = 2, out: str | None = None) -> Model:
@@ -363,84 +432,79 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, out: str | No
     out = out or fresh(spark, "trie")
     texts = docs.select(F.col(text_col).alias("text"))
     chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n_shards = max(1, min(100_000, int(chars / 6 / SHARD_TOKENS) + 1))
-    step = (1 << 64) // n_shards + 1
+    step = (1 << 64) // (int(chars / 6 / SHARD_TOKENS) + 1) + 1
+
+    def words_of(part: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        hashes, _ = hashed(part)
+        shards = hashes // U64(step) if step < 1 << 64 else np.zeros(len(hashes), U64)
+        return shards.astype(np.int32), hashes - shards * U64(min(step, (1 << 64) - 1))
 
-    def vocabulary_shard(shard: int, keys: np.ndarray, counts: np.ndarray) -> str:
-        head, arrays = EliasFano.parts(keys - U64(shard * step), step)
-        put(path := f"{out}/level1-{shard:06d}", _blob(head, [*arrays, counts]))
-        return path
+    def vocabulary_shard(shard: int, keys: np.ndarray, counts: np.ndarray) -> None:
+        head, arrays = EliasFano.parts(keys, step)
+        put(shard_path(out, 1, shard), _blob(head, [*arrays, counts]))
 
-    rows = _built(_dealt(lambda part: hashed(part)[0], texts, step, n_shards), vocabulary_shard)
+    rows = _built(_dealt(words_of, texts), vocabulary_shard)
     starts = np.r_[0, np.cumsum([r.nodes for r in rows])].tolist()
-    vocabulary = _Vocabulary([r.path for r in rows], [r.shard * step for r in rows], starts[:-1], starts[-1])
+    vocabulary = _Vocabulary(1, out, [r.shard for r in rows], [r.shard * step for r in rows], starts[:-1], starts[-1])
     model = Model(sum(r.tokens for r in rows), vocabulary, [])
-    contexts = starts[-1]
     for level in range(2, order + 1):
-        rows = _level(model, texts, level, contexts, out)
-        starts = np.r_[0, np.cumsum([r.nodes for r in rows])].tolist()
-        per = _contexts_a_shard(model, contexts)
-        model.levels.append(Level(level, [r.path for r in rows], [r.shard * per for r in rows], starts[:-1], starts[-1]))
         contexts = starts[-1]
+        per = max(1, -(-contexts // max(1, model.tokens // SHARD_TOKENS + 1)))
+        rows = _level(model, texts, level, contexts, per, out)
+        starts = np.r_[0, np.cumsum([r.nodes for r in rows])].tolist()
+        model.levels.append(Level(level, out, [r.shard for r in rows], [r.shard * per for r in rows], starts[:-1], starts[-1]))
     return model
 
 
 class _Vocabulary(Level):
     """Level 1: keys are hashes less the shard's first."""
 
-    def __init__(self, paths: list[str], firsts: list[int], starts: list[int], size: int) -> None:
-        super().__init__(1, paths, firsts, starts, size)
-
-    def shard(self, i: int) -> Shard:
-        if i not in self.open:
-            s = Shard(self.paths[i], 1)
-            find, first = s.keys.find, self.firsts[i]
-            s.keys.find = lambda q: find(q - first)
-            self.open[i] = s
-        return self.open[i]
-
-
-def _contexts_a_shard(model: Model, contexts: int) -> int:
-    return max(1, -(-contexts // max(1, model.tokens // SHARD_TOKENS + 1)))
+    def _opened(self, i: int) -> Shard:
+        s = super()._opened(i)
+        find, first = s.keys.find, self.firsts[i]
+        s.keys.find = lambda q: find(q - first)
+        return s
 
 
-def _level(model: Model, texts: DataFrame, level: int, contexts: int, out: str) -> list:
-    """Count and store the children of the nodes of the level before."""
-    v, per = model.vocabulary.size, _contexts_a_shard(model, contexts)
-    if contexts * v >= 1 << 64:
-        raise ValueError("context times vocabulary doesn't fit 64 bits")
+def _level(model: Model, texts: DataFrame, level: int, contexts: int, per: int, out: str) -> list:
+    """Count and store the children of the nodes of the level before, ``per`` of them a shard."""
+    v = model.vocabulary.size
+    if per * v >= 1 << 64:
+        raise ValueError("a shard's contexts times the vocabulary must fit 64 bits")
 
-    def keys_of(part: list[str | None]) -> np.ndarray:
+    def keys_of(part: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         hashes, sizes = hashed(part)
         ids, _ = model.ids(hashes)
         node = model.contexts(ids, sizes, level - 1)
         before = np.r_[np.int64(-1), node[:-1]]
         before[np.cumsum(sizes) - sizes] = model._end if level == 2 else -1
         ok = before >= 0
-        return before[ok].astype(U64) * U64(v) + ids[ok].astype(U64)
+        return (before[ok] // per).astype(np.int32), (before[ok] % per).astype(U64) * U64(v) + ids[ok].astype(U64)
 
-    def make(shard: int, keys: np.ndarray, counts: np.ndarray) -> str:
+    def make(shard: int, keys: np.ndarray, counts: np.ndarray) -> None:
         base = shard * per
         n_contexts = min(per, contexts - base)
-        ctx, word = (keys // U64(v)).astype(np.int64) - base, (keys % U64(v)).astype(np.int64)
+        ctx, word = (keys // U64(v)).astype(np.int64), (keys % U64(v)).astype(np.int64)
         kinds = np.bincount(ctx, minlength=n_contexts)
         total = np.bincount(ctx, counts, n_contexts)
-        lower = _lower(model, level, base + ctx, word, out)
+        lower = _lower(model, level, base + ctx, word)
         p = (counts + kinds[ctx] * 10.0**lower) / (total[ctx] + kinds[ctx])
         codes, values = _quantised(np.log10(p))
         with np.errstate(divide="ignore", invalid="ignore"):
             weight = np.where(kinds > 0, np.log10(kinds / (total + kinds)), 0.0)
         back, back_values = _quantised(weight)
-        ptr_head, ptr = EliasFano.parts(np.r_[0, np.cumsum(kinds)].astype(U64), len(keys) + 1)
-        key_head, key = EliasFano.parts(keys - U64(base * v), n_contexts * v)
-        put(path := f"{out}/level{level}-{shard:06d}", _blob([base, n_contexts, *ptr_head, *key_head], [*ptr, *key, codes, values, back, back_values]))
-        return path
+        ends = np.cumsum(kinds)
+        span = np.zeros(n_contexts, np.int64)  # a range needs as many values as its largest id, and one
+        span[kinds > 0] = word[ends[kinds > 0] - 1] + 1
+        below = np.cumsum(span) - span
+        ptr_head, ptr = EliasFano.parts(np.r_[0, ends].astype(U64), len(keys) + 1)
+        key_head, key = EliasFano.parts((below[ctx] + word).astype(U64), int(span.sum()) + 1)
+        put(shard_path(out, level, shard), _blob([base, n_contexts, *ptr_head, *key_head], [*ptr, *key, codes, values, back, back_values]))
 
-    n_shards = -(-contexts // per) if contexts else 1
-    return _built(_dealt(keys_of, texts, per * v, n_shards), make)
+    return _built(_dealt(keys_of, texts), make)
 
 
-def _lower(model: Model, level: int, ctx: np.ndarray, word: np.ndarray, out: str) -> np.ndarray:
+def _lower(model: Model, level: int, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
     """log10 of the lower order's probability of each child."""
     counts = np.zeros(len(word), np.int64)
     s = np.searchsorted(model.vocabulary.starts, word, "right") - 1
@@ -452,18 +516,14 @@ def _lower(model: Model, level: int, ctx: np.ndarray, word: np.ndarray, out: str
     tail = _last_words(model, level, ctx)  # the context without its first word, as a node chain from level 1
     node = tail[0]
     for level_of, nxt in zip(model.levels, [*tail[1:], word], strict=True):
-        found_nodes = np.full(len(word), -1, np.int64)
         usable = np.flatnonzero(node >= 0)
-        for i, part in level_of.by_shard(node[usable]):
-            at, shard = usable[part], level_of.shard(i)
-            c = node[at] - shard.base
-            found = shard.keys.find(c.astype(U64) * U64(model.vocabulary.size) + nxt[at].astype(U64))
+        found, weight, prob = model.step(level_of, node[usable], nxt[usable])
+        if nxt is word:
             hit = found >= 0
-            if nxt is word:
-                score[at] += shard.back_values[shard.back[c]]
-                score[at[hit]] = shard.values[shard.codes[found[hit]]]
-            found_nodes[at[hit]] = found[hit] + level_of.starts[i]
-        node = found_nodes
+            score[usable] += weight
+            score[usable[hit]] = prob[hit]
+        node = np.full(len(word), -1, np.int64)
+        node[usable] = found
     return score
 
 
@@ -476,9 +536,8 @@ def _last_words(model: Model, level: int, ctx: np.ndarray) -> list[np.ndarray]:
         s = np.searchsorted(level_of.starts, node, "right") - 1
         for i in np.unique(s):
             at, shard = np.flatnonzero(s == i), level_of.shard(int(i))
-            key = shard.keys.get(node[at] - level_of.starts[i])
-            up[at] = (key // U64(model.vocabulary.size)).astype(np.int64) + shard.base
-            last[at] = (key % U64(model.vocabulary.size)).astype(np.int64)
+            context, last[at] = shard.parents(node[at] - level_of.starts[i])
+            up[at] = context + shard.base
         words.insert(0, last)
         node = up
     return words

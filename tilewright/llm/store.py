@@ -103,7 +103,7 @@ def put(uri: str, blob: bytes) -> None:
 
 
 def mapped(uri: str):
-    """A read-only memory map of a shared file; a remote file is first copied to an unlinked local one."""
+    """The bytes of a shared file: a read-only memory map, or, where the file is on no file system of the machine, what was read."""
     import mmap
 
     import pyarrow.fs as pafs
@@ -112,9 +112,5 @@ def mapped(uri: str):
     if isinstance(fs, pafs.LocalFileSystem):
         with open(path, "rb") as f:
             return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
-    with tempfile.TemporaryFile() as local:
-        with fs.open_input_stream(path) as src:
-            while block := src.read(1 << 22):
-                local.write(block)
-        local.flush()
-        return mmap.mmap(local.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+    with fs.open_input_stream(path, compression=None) as source:
+        return source.read()
