@@ -232,6 +232,84 @@ def test_secrets_in_wrapped_and_long_layers(monkeypatch):
         assert secrets.find_all(code)[1] == [("assign", 0, len(code))]
 
 
+def _wrapped(rng, text, how):
+    """The text in one more layer; what is around it isn't part of the layer."""
+    import base64
+    import gzip
+
+    code = lambda raw: base64.b64encode(raw).decode()
+    if how == "url":
+        return "".join(f"%{b:02x}" for b in text.encode())
+    if how == "some":
+        return "".join(f"%{ord(c):02X}" if c.isalnum() and rng.random() < 0.3 and ord(c) < 128 else c for c in text)
+    if how == "unicode":
+        return "".join(f"\\u{ord(c):04x}" if rng.random() < 0.5 else f"\\x{ord(c):02x}" for c in text)
+    if how == "base64":
+        return code(text.encode())
+    if how == "gzip":
+        return code(gzip.compress(text.encode()))
+    if how == "zlib":
+        return code(zlib.compress(text.encode()))
+    if how == "deflate":
+        c = zlib.compressobj(wbits=-15)
+        return code(c.compress(text.encode() + b" and a little more text") + c.flush())
+    return code(text.encode({"utf16": "utf-16-le", "utf16be": "utf-16-be", "bom": "utf-16"}[how]))
+
+
+def test_secrets_in_any_nesting():
+    rng = np.random.default_rng(12)
+    kinds = ["url", "some", "unicode", "base64", "gzip", "zlib", "deflate", "utf16", "utf16be", "bom"]
+    for depth in (1, 1, 1, 2, 3, 4, 5):
+        for _ in range(12):
+            text, how = "password=hunter22x", rng.choice(kinds, depth).tolist()
+            for h in how:
+                text = _wrapped(rng, text, h)
+            found = secrets.find_all(f"see: {text} there")[1]
+            assert any(k == "assign" and a >= 5 and b <= 5 + len(text) for k, a, b in found), how
+    assert secrets.find_all("pass%77ord=hunter" + "z" * 100 + "%2B end")[1] == [("assign", 0, 120)]  # escapes far apart in one secret
+    code = _wrapped(rng, "\0password=hunter22x\0", "base64")
+    assert secrets.find_all(code)[1] == [("assign", 0, len(code))]
+
+
+def test_secret_query_by_brute_force(spark):
+    """Base columns of all documents by another scanner, written as loops over the contract's rules."""
+    import regex
+
+    assign = regex.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", regex.I | regex.A)
+
+    def runs(text, allowed):
+        start = None
+        for i, c in enumerate(text + "\n"):
+            if c in allowed:
+                start = i if start is None else start
+            elif start is not None:
+                yield start, i
+                start = None
+
+    def scanned(text):
+        found = [("assign", m.start(), m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+        found += [("hex", a, b) for a, b in runs(text, set("0123456789abcdef")) if b - a >= 24]
+        upper, at = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 0
+        while (at := text.find("AKIA", at)) >= 0:
+            end = at + 4
+            while end < len(text) and text[end] in upper:
+                end += 1
+            if end - at > 4 and end - at >= 20:
+                found.append(("access", at, end))
+            at = end if end - at > 4 else at + 1
+        return sorted(found, key=lambda x: (x[1], ["assign", "access", "hex"].index(x[0])))
+
+    docs = ship(spark).read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    got = queries.op5_secrets(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(texts) and sum(r.n_assign + r.n_access + r.n_hex for r in got) > 20
+    for r in got:
+        want = scanned(texts[r.doc_id])
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(w[0] == k for w in want) for k in ("assign", "access", "hex")]
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and set(joined.split(",")) <= set(r.spans.split(","))
+
+
 def test_secret_scan_of_odd_rows(odd, none):
     assert secrets.secret_scan(odd).count() == len(ODD) and secrets.secret_scan(none).count() == 0
 
@@ -249,6 +327,46 @@ def test_decontamination(spark, odd, none):
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def _least_edits(item, text):
+    """Edits of the best alignment of the whole item with any stretch of the text, by the full table."""
+    row = np.zeros(len(text) + 1, int)
+    t = np.array(list(text))
+    for i, c in enumerate(item, 1):
+        straight = np.r_[i, np.minimum(row[:-1] + (t != c), row[1:] + 1)]
+        row = np.minimum.accumulate(straight - np.arange(len(straight))) + np.arange(len(straight))
+    return int(row.min())
+
+
+def test_decontamination_query_by_brute_force(spark, tmp_path):
+    """Every document against every item by full tables, with edits up to the bound and beyond it."""
+    rng = np.random.default_rng(21)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(2, 9)))) for _ in range(300)]
+    items = [" ".join(rng.choice(words, int(rng.integers(4, 25)))) for _ in range(12)]
+    plain = lambda t: " ".join(re.findall("[^\\W_]+", t.lower()))
+    bound = {i: min(int(len(plain(t)) * 0.08), (len(plain(t)) - 8) // 8) for i, t in enumerate(items)}
+    docs = []
+    for d in range(90):
+        text = list(" ".join(rng.choice(words, int(rng.integers(0, 60)))))
+        if d % 3:
+            i = int(rng.integers(len(items)))
+            passage = list(items[i].upper() if d % 2 else items[i])
+            for _ in range(int(rng.integers(0, bound[i] + 3))):
+                at, what = int(rng.integers(len(passage))), int(rng.integers(3))
+                passage[at : at + (what != 1)] = [] if what == 2 else [str(rng.choice(list("qrs")))]
+            at = int(rng.integers(len(text) + 1))
+            text[at:at] = [" ", *passage, "! "]
+        docs.append((d, "".join(text)))
+    ship(spark).createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = {(d, i): n for d, t in docs for i, x in enumerate(items) if (n := _least_edits(plain(x), plain(t))) <= bound[i]}
+    got = {}
+    for r in queries.op6_decontamination(spark, str(tmp_path)).collect():
+        got[r.doc_id, r.item_id] = min(got.get((r.doc_id, r.item_id), 99), r.edits)
+    assert got == want and 20 < len(want) < 60 and any(want.values())
+    kept = decontamination.decontaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_alignment_by_full_table():
     rng = np.random.default_rng(3)
     for _ in range(30):
@@ -272,6 +390,42 @@ def test_language(odd, none):
     assert len(a[0]) == len(b[0]) and (a[1] == 100_000 * b[1]).all()
 
 
+def _ranked(texts, size):
+    """The most frequent 1- to 3-grams of texts, by counting strings."""
+    grams = Counter()
+    for t in texts:
+        for word in re.findall("[^\\W\\d_]+", t.lower()):
+            padded = f" {word} "
+            grams.update(c for c in word)
+            grams.update(padded[i : i + 2] for i in range(len(padded) - 1))
+            grams.update(padded[i : i + 3] for i in range(len(padded) - 2))
+    place = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+    return sorted(grams, key=lambda g: (-grams[g], place(g)))[:size]
+
+
+def test_language_query_by_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(13)
+    stems = {"aa": ["lorna", "mistel", "gora", "pelu"], "bb": ["krzt", "wol", "mistel", "schnu"], "cc": ["o\u00e9la", "ui", "pelu", "\u0436\u0438\u0437"]}
+    rows = []
+    for d in range(60):
+        lang = "abc"[d % 3] * 2
+        text = " ".join(str(rng.choice(stems[lang])) + str(rng.choice(["", "en", "a", "!", " 12"])) for _ in range(int(rng.integers(1, 40))))
+        rows.append((d, text if d % 11 else [None, "", "12 !"][d % 3], lang if d % 7 else None))
+    ship(spark).createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d, _, _ in rows}
+    known = {x: _ranked([t for d, t, y in rows if y == x and t is not None and not out[d]], 400) for x in ("aa", "bb", "cc")}
+    got = {r.doc_id: r for r in queries.op8_language_id(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for d, t, lang in rows:
+        own, far = _ranked([t or ""], 400), {}
+        for x, profile in known.items():
+            rank = {g: i for i, g in enumerate(profile)}
+            far[x] = sum(min(abs(rank[g] - i), 400) if g in rank else 400 for i, g in enumerate(own))
+        best = min(sorted(far), key=far.get) if own else "und"
+        assert (got[d].held_out, got[d].lang_pred) == (out[d], best)
+        assert math.isclose(got[d].score, 1 - far[best] / (400 * len(own)) if own else 0.0, abs_tol=1e-12)
+
+
 def _witten_bell(texts, order):
     """(tokens, vocabulary size, log10 score of a text, known tokens of a text) by counting n-grams in a dictionary."""
     grams, kids, after = Counter(), {}, Counter()
@@ -404,6 +558,46 @@ def test_licences(spark, odd, none):
     assert license_scan.license_scan(odd).count() == 0 and license_scan.license_scan(none).count() == 0
 
 
+def test_licence_query_by_brute_force(spark, tmp_path):
+    """All stretches of short texts against small templates: the best one is found, and every one that reaches the bound meets a finding."""
+    rng = np.random.default_rng(17)
+    vocabulary = [f"w{i}" for i in range(9)]
+    templates = [(f"T{i}", "text", " ".join(rng.choice(vocabulary, n))) for i, n in enumerate((5, 9, 14, 22))]
+    rows = []
+    for d in range(80):
+        text = rng.choice([*vocabulary, "x", "y"], int(rng.integers(0, 25))).tolist()
+        for _ in range(int(rng.integers(0, 3))):
+            passage = templates[int(rng.integers(4))][2].split()
+            if rng.random() < 0.5:
+                passage[int(rng.integers(len(passage)))] = "z"
+            at = int(rng.integers(len(text) + 1))
+            text[at:at] = passage
+        rows.append((d, "  ".join(text)))
+    docs = ship(spark).createDataFrame(rows, "doc_id long, text string")
+    got = license_scan.license_scan(docs, templates=templates).collect()
+    bags = {n: Counter(zip(t.split(), t.split()[1:], strict=False)) for n, _, t in templates}
+    found = 0
+    for d, text in rows:
+        w, reach = text.split(), []
+        ends = [m.span() for m in re.finditer("[^ ]+", text)]
+        for name, bag in bags.items():
+            for a in range(len(w) - 1):
+                own = Counter()
+                for b in range(a + 1, len(w)):
+                    own[w[b - 1], w[b]] += 1
+                    dice = 2 * (own & bag).total() / (own.total() + bag.total())
+                    if dice >= 0.8 - 1e-12:
+                        reach.append((dice, name, ends[a][0], ends[b][1]))
+        mine = [(r.dice, r.license, r.start, r.end) for r in got if r.doc_id == d]
+        assert set(mine) <= set(reach) and (not reach) == (not mine)
+        if reach:
+            found += 1
+            assert math.isclose(max(mine)[0], max(reach)[0])
+            assert all(any(a < r[3] and b > r[2] for _, _, a, b in mine) for r in reach)
+            assert all(x is y or x[3] <= y[2] or y[3] <= x[2] for x in mine for y in mine)
+    assert found > 30
+
+
 def test_licence_headers_have_their_own_name():
     gpl = next(t for n, k, t in license_scan.TEMPLATES if (n, k) == ("GPL-3.0", "header"))
     known = license_scan.Templates(license_scan.TEMPLATES, 0.8)

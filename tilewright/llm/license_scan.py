@@ -16,6 +16,7 @@ reported each. Long texts are compared whole. Other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -110,36 +111,53 @@ class Templates:
     def find(self, text: str) -> list[tuple[int, float, int, int]]:
         """(template, dice, first word, words) of the passages, best first, without overlaps."""
         w = words(text)
-        hits: dict[int, list[int]] = {}
+        hits: dict[int, list[tuple[int, tuple[str, str]]]] = {}
         get = self.of.get
-        for at, found in enumerate(map(get, zip(w, w[1:], strict=False))):
-            if found is not None:
+        for at, pair in enumerate(zip(w, w[1:], strict=False)):
+            if (found := get(pair)) is not None:
                 for i in found:
-                    hits.setdefault(i, []).append(at)
+                    hits.setdefault(i, []).append((at, pair))
         candidates: list[tuple[float, int, int, int]] = []
         for i, places in hits.items():
-            if len(places) < self.shared[i]:
-                continue
-            p = np.array(places)
-            upto = np.searchsorted(p, p + self.most[i])  # hits within the size bound of each start
-            for s in np.flatnonzero(upto - np.arange(len(p)) >= self.shared[i]).tolist():
-                left, common = Counter(self.bags[i]), 0
-                best: tuple[float, int] = (0.0, 0)
-                for e in range(s, int(upto[s])):
-                    b = (w[p[e]], w[p[e] + 1])
-                    if left[b] > 0:
-                        left[b] -= 1
-                        common += 1
-                    n = int(p[e] - p[s]) + 1
-                    best = max(best, (2 * common / (n + self.sizes[i]), n))
-                if best[0] >= self.least - 1e-12:
-                    candidates.append((best[0], best[1], i, int(p[s])))
+            if len(places) >= self.shared[i]:
+                candidates += self._stretches(i, places)
         taken: list[tuple[int, float, int, int]] = []
+        spans: list[tuple[int, int]] = []  # first word and word behind the last, in order
         for dice, n, i, at in sorted(candidates, key=lambda c: (-c[0], -c[1], self.names[c[2]], c[3])):
-            if all(at + n + 1 <= t[2] or at >= t[2] + t[3] for t in taken):
+            k = bisect.bisect(spans, (at, at))
+            if (k == 0 or spans[k - 1][1] <= at) and (k == len(spans) or at + n + 1 <= spans[k][0]):
+                spans.insert(k, (at, at + n + 1))
                 taken.append((i, dice, at, n + 1))
         return taken
 
+    def _stretches(self, i: int, places: list[tuple[int, tuple[str, str]]]) -> list[tuple[float, int, int, int]]:
+        """(dice, bigrams, template, first word): the best stretch from each of the template's bigrams in the text.
+
+        A bigram counts as shared while its place among the equal ones of the
+        stretch is below the template's number of them; as the start moves on by
+        one, one number of ``passed`` changes.
+        """
+        p = np.array([at for at, _ in places])
+        number = {b: k for k, b in enumerate(self.bags[i])}
+        kind, have = np.array([number[b] for _, b in places]), np.array(list(self.bags[i].values()))
+        order = np.argsort(kind, kind="stable")
+        first = np.r_[0, np.flatnonzero(np.diff(kind[order])) + 1]
+        nth = np.empty(len(p), np.int64)  # how many equal ones come before each
+        nth[order] = np.arange(len(p)) - np.repeat(first, np.diff(np.r_[first, len(p)]))
+        upto = np.searchsorted(p, p + self.most[i])  # hits within the size bound of each start
+        enough, passed, out = upto - np.arange(len(p)) >= self.shared[i], np.zeros(len(have), np.int64), []
+        for s in range(len(p)):
+            if enough[s]:
+                here = slice(s, int(upto[s]))
+                common = np.cumsum(nth[here] - passed[kind[here]] < have[kind[here]])
+                n = p[here] - p[s] + 1
+                dice = 2 * common / (n + self.sizes[i])
+                e = len(dice) - 1 - int(dice[::-1].argmax())
+                if dice[e] >= self.least - 1e-12:
+                    out.append((float(dice[e]), int(n[e]), i, int(p[s])))
+            passed[kind[s]] += 1
+        return out
+
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, templates: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """doc_id, license, kind, dice, start, end (code points): a row for each passage found."""
