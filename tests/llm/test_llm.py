@@ -690,3 +690,71 @@ def test_pipeline_keeps_learned_languages_only(spark):
     rows = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(noise)], "doc_id long, text string")
     kept = corpus_pipeline.identify_language(spark, docs.unionByName(rows, allowMissingColumns=True), "")
     assert kept.filter("doc_id < 0").count() == 0 and kept.count() == docs.count()
+
+
+def test_pipeline_stages_by_brute_force(spark, tmp_path):
+    """Each stage on its predecessor's rows, against loops over plain Python values."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(31)
+    stems = {"aa": [f"lo{c}na" for c in "abcdefghrst"] + ["mistel", "gora"], "bb": [f"kr{c}zt" for c in "aeioubdfgh"] + ["wol", "schnu"]}
+    items = [" ".join(rng.choice(stems["aa"], 12)) for _ in range(3)]
+    rows = []
+    for d in range(70):
+        lang = "aa" if d % 2 else "bb"
+        if d % 5 == 4:  # a copy of an earlier document, in which up to two words differ
+            words = rows[int(rng.integers(len(rows)))][1].split(" ")
+            for _ in range(int(rng.integers(0, 3))):
+                words[int(rng.integers(len(words)))] = str(rng.choice(stems[lang]))
+            text = " ".join(words)
+        else:
+            text = " ".join(rng.choice(stems[lang], int(rng.integers(40, 90))))
+        if d % 13 == 5:
+            text += " " + items[d % 3].upper() + "!"
+        if d % 17 == 3:
+            text = " ".join("".join(rng.choice(list("xyqvjw"), 6)) for _ in range(12))  # no learned language
+        rows.append((d, text, None if d % 17 == 3 else lang, f"s{d % 3}", len(text)))
+    docs = ship(spark).createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    text_of, stage = {d: t for d, t, *_ in rows}, dict(corpus_pipeline.STAGES)
+    run = lambda name, given: stage[name](spark, given, str(tmp_path)).collect()
+    table = lambda found: spark.createDataFrame(found, docs.schema)
+
+    first = run("language_id", docs)
+    known = {x: _ranked([t for d, t, y, *_ in rows if y == x and zlib.crc32(str(d).encode()) % 5], 400) for x in stems}
+
+    def score(t):
+        own = _ranked([t], 400)
+        far = [sum(min(abs(rank[g] - i), 400) if g in rank else 400 for i, g in enumerate(own)) for rank in ({g: i for i, g in enumerate(p)} for p in known.values())]
+        return 1 - min(far) / (400 * len(own))
+
+    assert sorted(r.doc_id for r in first) == [d for d in text_of if score(text_of[d]) >= corpus_pipeline.LEAST_LANGUAGE_SCORE] and 60 < len(first) <= 66
+
+    second = run("near_dedup", table(first))
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in ((d, t.split()) for d, t in text_of.items())}
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    kept, had = {r.doc_id for r in second}, {r.doc_id for r in first}
+    assert not any(similar(a, b) for a, b in combinations(sorted(kept), 2))
+    assert all(any(similar(a, d) for a in had if a < d) for d in had - kept) and len(had - kept) >= 3
+
+    third = run("decontamination", table(second))
+    plain = lambda t: " ".join(re.findall("[^\\W_]+", t.lower()))
+    dirty = {d for d in kept if any(_least_edits(plain(x), plain(text_of[d])) <= min(int(len(plain(x)) * 0.08), (len(plain(x)) - 8) // 8) for x in items)}
+    assert {r.doc_id for r in third} == kept - dirty and len(dirty) >= 3
+
+    fourth = run("mixing", table(third))
+    total, by = sum(len(r.text.split()) for r in third), Counter()
+    for r in fourth:
+        by[r.source] += len(r.text.split())
+    assert all(0 <= total / 3 - n < 120 for n in by.values()) and len(by) == 3  # no limit binds: equal budgets, short by less than a document
+    assert {tuple(r) for r in fourth} <= {tuple(r) for r in third}
+
+    last = run("token_output", table(fourth))
+    encode = Tokenizer.from_file(queries.tokenizer_path()).encode
+    ids = {d: [*encode(t, add_special_tokens=False).ids, 2] for d, t in text_of.items()}
+    want = sorted((r.doc_id, len(ids[r.doc_id]), zlib.crc32(np.array(ids[r.doc_id], "<u4").tobytes())) for r in fourth)
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in last)
+    assert [(d, n, c) for d, _, n, c in got] == want and [s for _, s, _, _ in got] == np.cumsum([0, *[n for _, n, _ in want]])[:-1].tolist()
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in whole) == got

@@ -30,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -414,14 +413,14 @@ def _dealt(keys_of, texts: DataFrame) -> DataFrame:
 def _built(dealt: DataFrame, make) -> list:
     """Sum a shard's counts and store it; returns rows of (shard, nodes, tokens), in order."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        shard = int(group["shard"].iloc[0])
-        parts = [_unpacked(b) for b in group["counts"]]
+    def run(group: pa.Table) -> pa.Table:
+        shard = group["shard"][0].as_py()
+        parts = [_unpacked(b.as_py()) for b in group["counts"]]
         keys, counts = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
         make(shard, keys, counts)
-        return pd.DataFrame({"shard": [shard], "nodes": [len(keys)], "tokens": [int(counts.sum())]})
+        return pa.table([pa.array([shard], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], names=["shard", "nodes", "tokens"])
 
-    return sorted(dealt.groupBy("shard").applyInPandas(run, "shard int, nodes long, tokens long").collect())
+    return sorted(dealt.groupBy("shard").applyInArrow(run, "shard int, nodes long, tokens long").collect())
 
 
 def train(docs: DataFrame, text_col: str = "text", order: int = 2, out: str | None = None) -> Model:

@@ -30,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -235,18 +234,18 @@ def links(points: DataFrame, radius: int = 2) -> DataFrame:
         spread = points.select("fp").repartition(parts) if depth else points.select("fp")
         return spread.mapInArrow(run, "shard long, home boolean, fp long")
 
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("home", ascending=False, kind="stable")
-        fps = group["fp"].to_numpy(np.int64)
-        root = linked(fps.view(np.uint64), int(group["home"].sum()), radius)
+    def search(group: pa.Table) -> pa.Table:
+        home, fps = group["home"].to_numpy(), group["fp"].to_numpy()
+        fps = np.concatenate([fps[home], fps[~home]])
+        root = linked(fps.view(np.uint64), int(home.sum()), radius)
         tied = root != np.arange(len(fps))
-        return pd.DataFrame({"a": fps[root[tied]], "b": fps[tied]})
+        return pa.table({"a": fps[root[tied]], "b": fps[tied]})
 
     deeper = {}
     if depth:  # a count per leaf of the sampled tree, a few hundred at most
         for r in deal({}).groupBy("shard").count().filter(F.col("count") > 2 * SHARD).collect():
             deeper[r.shard >> MOST_LEVELS + 1] = min(MOST_LEVELS, int(np.ceil(np.log2(r["count"] / SHARD))))
-    return deal(deeper).groupBy("shard").applyInPandas(search, "a long, b long")
+    return deal(deeper).groupBy("shard").applyInArrow(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, distinct: bool = False, copies: bool = False) -> DataFrame:
