@@ -59,7 +59,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     absent keep all their lines.
     """
     occ = saved(occurrences(docs, id_col, text_col, min_chars), "lines")
-    lost = occ.join(repeated(occ, min_docs), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    keys = saved(repeated(occ, min_docs), "repeated")  # a table, so that Spark may split a hot key's side
+    lost = occ.join(keys, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
     word = (F.col("pos") / 64).cast("int")
     words = lost.groupBy("doc_id", "tid", word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     return words.groupBy("doc_id", "tid").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "bits")))).alias("dropped"))
