@@ -103,6 +103,7 @@ def test_links_by_brute_force(depth, levels):
 def test_links_of_many_shards_by_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD", 40)
     monkeypatch.setattr(simhash, "SAMPLE", 64)
+    monkeypatch.setattr(simhash, "MOST_POINTS", 200)
     rng = np.random.default_rng(9)
     fps = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
     bit = lambda n: np.uint64(1) << rng.integers(0, 63, n, dtype=np.uint64)
@@ -183,7 +184,7 @@ def test_verified_copies_inside_a_group(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.verified_copies(docs).collect()) == want
     monkeypatch.setattr(simhash, "PAIRS", 0)  # rounds of leaders until none finds a copy
     monkeypatch.setattr(simhash, "HOT", 2)
-    assert sorted({r.doc_id for r in simhash.remaining_copies(docs, docs.select("doc_id")).collect()}) == want
+    assert sorted({r.doc_id for r in simhash.remaining_copies(docs, docs.select("doc_id").limit(0)).collect()}) == want
 
 
 def test_secrets_at_every_layer():

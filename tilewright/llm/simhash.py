@@ -40,13 +40,15 @@ from .store import clear, mark, saved, saved_at
 
 #: Fingerprints that the shard tree is fitted on; every fingerprint is routed through it.
 SAMPLE = 4096
-#: Points that a shard is to have, about, and the most levels below a leaf of the sampled tree.
-SHARD, MOST_LEVELS = 8_000, 24
+#: Home points that a shard is to have, about; the points, visits included, beyond which it is split again, and the most levels of that.
+SHARD, MOST_POINTS, MOST_LEVELS = 8_000, 1_000_000, 24
 LEAF = 96
 #: Parts that a large group is verified in.
 SLOTS = 64
-#: Documents that tell which shingles are frequent, about, and the most frequent ones that are remembered.
-SAMPLED, MOST_OFTEN = 8_000, 100_000
+#: One in so many documents (of any number, but 8,000 at least) tells which shingles are frequent; the most frequent ones that are remembered.
+SAMPLED, LEAST_SAMPLED, MOST_OFTEN = 8, 8_000, 200_000
+#: Ids that are sent to all executors (some 32 bytes each); more of them are joined by a shuffle.
+SENT = 1_000_000
 #: Pairs a row beyond which rounds take copies out before all rows of a key are compared.
 PAIRS = 4
 #: Rows of a key that one part of its comparison has, about.
@@ -243,8 +245,8 @@ def links(points: DataFrame, radius: int = 2) -> DataFrame:
 
     deeper = {}
     if depth:  # a count per leaf of the sampled tree, a few hundred at most
-        for r in deal({}).groupBy("shard").count().filter(F.col("count") > 2 * SHARD).collect():
-            deeper[r.shard >> MOST_LEVELS + 1] = min(MOST_LEVELS, int(np.ceil(np.log2(r["count"] / SHARD))))
+        for r in deal({}).groupBy("shard").count().filter(F.col("count") > MOST_POINTS).collect():  # a level takes off a third of the points or so
+            deeper[r.shard >> MOST_LEVELS + 1] = min(MOST_LEVELS, int(np.ceil(2 * np.log2(r["count"] / MOST_POINTS))))
     return deal(deeper).groupBy("shard").applyInArrow(search, "a long, b long")
 
 
@@ -267,6 +269,11 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return shared >= least * (len(a) + len(b) - shared)
 
 
+def among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows whose doc_id is in the written table ``ids`` (left_semi) or isn't (left_anti). Texts don't move while the ids are few."""
+    return rows.join(F.broadcast(ids) if ids.count() <= SENT else ids, "doc_id", how)
+
+
 def _near(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
     """doc_id, leader: the ``pairs`` of these columns whose texts (doc_id, text of ``docs``) have the similarity ``least``.
 
@@ -274,8 +281,8 @@ def _near(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> Data
     """
     pairs = pairs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"), "leader")
     pairs = saved(pairs, "proposed")
-    asked = pairs.select("doc_id").union(pairs.select(F.col("leader").alias("doc_id"))).distinct()
-    texts = saved(docs.join(asked, "doc_id", "left_semi"), "texts")
+    asked = saved(pairs.select("doc_id").union(pairs.select(F.col("leader").alias("doc_id"))).distinct(), "asked")
+    texts = saved(among(docs, asked, "left_semi"), "texts")
     own = pairs.join(texts, "doc_id")
     first = pairs.select("leader", "slot").distinct().join(texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("first")), "leader")
 
@@ -301,12 +308,19 @@ def prefix(hashes: np.ndarray, least: float, often: tuple[np.ndarray, np.ndarray
     if len(often[0]):
         at = np.minimum(np.searchsorted(often[0], hashes), len(often[0]) - 1)
         rank = np.where(often[0][at] == hashes, often[1][at], 0)
-    kept = len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1
-    return hashes[np.lexsort((hashes, rank))[:kept]]
+    return hashes[np.lexsort((hashes, rank))[: _prefix_size(len(hashes), least)]]
+
 
+def _prefix_size(n: int, least: float) -> int:
+    return n - int(np.ceil(least * n - 1e-9)) + 1
 
-def _often(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are frequent in about ``SAMPLED`` documents, sorted, and their counts there; they only order the prefixes."""
+
+def _often(docs: DataFrame, n: int, shingle: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a share of the documents, sorted, and their counts there; they only order the prefixes.
+
+    Without them a prefix is made of the least hashes, so of each text only as
+    many of its least ones count as two prefixes have.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -318,13 +332,14 @@ def _often(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarra
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                held.append(np.unique(shingles(t, shingle)))
-                if len(held) >= 512:
+                own = np.unique(shingles(t, shingle))
+                held.append(own[: 2 * _prefix_size(len(own), least)])
+                if len(held) >= 1024:
                     yield flush()
         if held:
             yield flush()
 
-    some = docs.filter(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(max(1, n // SAMPLED))) == 0).select("text")
+    some = docs.filter(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(max(1, min(SAMPLED, n // LEAST_SAMPLED)))) == 0).select("text")
     counted = some.mapInArrow(run, "h long, some long").groupBy("h").agg(F.sum("some").alias("count"))
     top = counted.filter("count > 2").orderBy(F.desc("count"), "h").limit(MOST_OFTEN).collect()
     hashes, counts = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
@@ -332,11 +347,8 @@ def _often(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarra
     return hashes[order], counts[order]
 
 
-def sharing(docs: DataFrame, chosen: DataFrame, often: tuple[np.ndarray, np.ndarray], shingle: int, least: float) -> DataFrame:
-    """key, doc_id, n (the text's distinct shingles), g (rows of the key): prefix shingles that several of the ``chosen`` rows of doc_id, text have.
-
-    A document's keys move as one array, and only those that the choice leaves are dealt by key.
-    """
+def sharing(docs: DataFrame, gone: DataFrame, often: tuple[np.ndarray, np.ndarray], shingle: int, least: float) -> DataFrame:
+    """key, doc_id, n (the text's distinct shingles), g (rows of the key): prefix shingles that several rows of doc_id, text have, ``gone`` ones left out."""
     kind = docs.select("doc_id", F.lit(0).cast("long").alias("n"), F.array(F.lit(0).cast("long")).alias("keys")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +362,7 @@ def sharing(docs: DataFrame, chosen: DataFrame, often: tuple[np.ndarray, np.ndar
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys).view(np.int64)))
             yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), lists], names=kind.names)
 
-    own = docs.select("doc_id", "text").mapInArrow(run, kind).join(chosen, "doc_id", "left_semi")
+    own = among(docs.select("doc_id", "text").mapInArrow(run, kind), gone, "left_anti")
     return _counted(own.select(F.explode("keys").alias("key"), "doc_id", "n"))
 
 
@@ -358,8 +370,8 @@ def _counted(keys: DataFrame) -> DataFrame:
     return keys.withColumn("g", F.count("*").over(Window.partitionBy("key"))).filter("g > 1")
 
 
-def remaining_copies(docs: DataFrame, chosen: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """doc_id, leader: pairs of the similarity ``least``, so that no two of the ``chosen`` documents (doc_id) without a pair have it.
+def remaining_copies(docs: DataFrame, gone: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, leader: pairs of the similarity ``least``, so that no two documents without a pair have it; ``gone`` ones (a written table of doc_id) are left out.
 
     Two such texts share a shingle of their prefixes (see ``prefix``), so all
     rows of a key are compared. While that would be over ``PAIRS`` pairs a row,
@@ -369,7 +381,7 @@ def remaining_copies(docs: DataFrame, chosen: DataFrame, shingle: int = 5, least
     the longer rest has, so pairs that have too few keys in common for that are
     left out before any text is fetched.
     """
-    shared, found = saved(sharing(docs, chosen, _often(docs, docs.count(), shingle), shingle, least), "shared"), []
+    shared, found = saved(sharing(docs, gone, _often(docs, docs.count(), shingle, least), shingle, least), "shared"), []
     alike = (F.col("leader") < F.col("doc_id")) & (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9)
     while True:
         pairs, rows = shared.agg(F.sum(F.col("g") - 1) / 2, F.count("*")).first()
@@ -415,9 +427,8 @@ def verified_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leader = F.explode(F.array_distinct(F.array("component_id", "least"))).alias("leader")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
     near = saved(_near(firsts.select("doc_id", leader).filter("leader <> doc_id").distinct(), texts, shingle, least).select("doc_id").distinct(), "near")
-    left = firsts.select("doc_id").distinct().join(near, "doc_id", "left_anti")
-    rest = remaining_copies(texts, saved(left, "left"), shingle, least).select("doc_id")
     equal = each.join(firsts.select("fp", "copy", "doc_id"), ["fp", "copy", "doc_id"], "left_anti").select("doc_id")
-    lost, path = saved_at(equal.union(near).union(rest).distinct(), "copies")
+    gone = saved(equal.union(near).distinct(), "gone")
+    lost, path = saved_at(gone.union(remaining_copies(texts, gone, shingle, least).select("doc_id")).distinct(), "copies")
     clear(docs.sparkSession, start, [path])
     return lost
