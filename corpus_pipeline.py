@@ -33,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     an id stay.
     """
     ship(spark)
-    return docs.join(simhash.verified_copies(docs).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return simhash.among(docs, simhash.verified_copies(docs), "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
