@@ -257,7 +257,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(points.select("fp"), radius))
     tied = points.join(roots, points["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     tied = saved(tied, "roots")
-    named = tied.join(tied.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "least")
+    names = saved(tied.groupBy("root").agg(F.min("least").alias("component_id")), "names")  # a table, so that Spark may split a giant root's side
+    named = tied.join(names, "root").select("fp", "component_id", "least")
     return each.join(named, "fp").select("doc_id", "fp", "component_id", "least", *(["copy"] if copies else []))
 
 
