@@ -148,6 +148,11 @@ def improved(now: Column, best: Column, maximise: bool = True) -> Column:
     return ~(F.isnan(now) | now.isNull()) & (best.isNull() | F.isnan(best) | better)
 
 
+def share_below(values: Column, limit: float) -> Column:
+    """The share of an array's numbers that are less than a limit: tissue, where grey values are below white. Null for an empty array."""
+    return F.try_divide(F.size(F.filter(values, lambda v: v < limit)), F.size(values))
+
+
 def argmax(values: list[Column]) -> Column:
     """1-based place of the largest value; the first of equals."""
     return F.array_position(F.array(*values), F.greatest(*values)).cast("int")

@@ -805,6 +805,11 @@ def linear_softmax(spark, d):
     return V.table(spark, d, "embeddings").select("vec_id", *[F.round(v, 7).alias(f"p{j}") for j, v in enumerate(p)])
 
 
+@query("SELECT vec_id, round(len(list_filter(embedding, lambda v: v < 0.05)) / len(embedding), 9) AS tissue_fraction FROM embeddings")
+def tissue_share(spark, d):
+    return V.table(spark, d, "embeddings").select("vec_id", F.round(C.share_below(F.col("embedding"), 0.05), 9).alias("tissue_fraction"))
+
+
 # Splits and summaries
 
 
