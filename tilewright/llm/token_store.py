@@ -51,12 +51,15 @@ FILE_BYTES = 128 << 20
 #: Bytes of text that are cut and looked up at a time, and pieces whose ids an encoder holds.
 WINDOW, HELD = 1 << 20, 400_000
 
-#: Kinds of bytes: 1 ASCII letter, 2 other visible ASCII, 4 blank or line feed, 8 lead byte of a letter of two bytes.
+#: Kinds of bytes: 1 ASCII letter, 2 other visible ASCII, 4 blank or line feed, 8 lead byte of a Latin letter of two bytes,
+#: 16 and 32 lead bytes of other characters of two and three bytes, none of which is white space (up to U+07FF, U+4000 to U+DFFF).
 _KIND = np.zeros(256, np.uint8)
 _KIND[33:127] = 2
 _KIND[[*range(65, 91), *range(97, 123)]] = 1
 _KIND[[32, 10]] = 4
+_KIND[0xC9:0xE0] = 16
 _KIND[0xC3:0xC9] = 8
+_KIND[0xE4:0xEE] = 32
 _MARK = _KIND.copy()
 _MARK[48:58] = 0  # digits are visible, but no marks
 
@@ -73,11 +76,19 @@ def cuts(data: np.ndarray) -> np.ndarray:
     wide[1:] = kind[:-1] == 8
     wide[1:] &= ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))  # the signs of times and division
     letter = (kind == 1) | wide
+    visible = letter | (kind == 2)
+    visible[1:] |= (kind[:-1] == 8) | (kind[:-1] == 16)
+    visible[2:] |= kind[:-2] == 32
     before = np.zeros(len(data), bool)
-    before[1:] = (letter[:-1] & (_MARK[data[1:]] == 2)) | ((letter[:-1] | (kind[:-1] == 2)) & (kind[1:] == 4))
+    before[1:] = (letter[:-1] & (_MARK[data[1:]] == 2)) | (visible[:-1] & (kind[1:] == 4))
     return np.flatnonzero(before)
 
 
+def _visible(c: str) -> bool:
+    """What ``cuts`` takes for visible."""
+    return "!" <= c <= "~" or "\xc0" <= c <= "\u07ff" or "\u4000" <= c <= "\ud7ff"
+
+
 class Pieces:
     """The ids of short pieces (16 bytes at most) that were encoded before, in flat arrays."""
 
@@ -243,7 +254,7 @@ class Encoder:
         their bytes.
         """
         found: list[np.ndarray] = [np.empty(0, np.uint32)] * len(pieces)
-        joint = [i for i, p in enumerate(pieces) if p[0] in " \n" and ("!" <= p[-1] <= "~" or "\xc0" <= p[-1] <= "ȿ")]
+        joint = [i for i, p in enumerate(pieces) if p[0] in " \n" and _visible(p[-1])]
         rest = sorted(set(range(len(pieces))).difference(joint))
         for at in range(0, len(joint), 4096):
             part = joint[at : at + 4096]
