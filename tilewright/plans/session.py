@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 #: Bytes of an Arrow batch, unless the session names another number than Spark's default: rows hold whole documents.
-BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b")
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "1048576b")
 
 
 def ship(spark: SparkSession) -> SparkSession:
