@@ -408,7 +408,7 @@ def remaining_copies(docs: DataFrame, gone: DataFrame, shingle: int = 5, least:
     return near
 
 
-def verified_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 1, radius: int = 4, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def verified_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 1, radius: int = 2, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id of each document that repeats one with a lesser id, distinct; no two of the other documents are that similar.
 
     A document repeats another if their texts are equal or their sets of
