@@ -149,10 +149,10 @@ def test_plateau_needs_a_relative_gain(spark):
 
 def test_running_sums_by_brute_force(spark):
     rng = np.random.default_rng(5)
-    rows = [(g, float(v), int(rng.integers(0, 9))) for g in "ab" for v in np.unique(rng.integers(0, 500, 300))]
+    rows = [(g, float(v), int(rng.integers(0, 9))) for g in ("a", "b", None) for v in np.unique(rng.integers(0, 500, 300))]
     df = spark.createDataFrame(rows, "g string, v double, n int")
-    got = {(r.g, r.v): r.below for r in S.running(df, ["g"], "v", {"below": "n"}, parts=7).collect()}
-    assert got == {(g, v): sum(n for h, w, n in rows if h == g and w < v) for g, v, _ in rows}
+    got = {(r.g, r.v): (r.below, r.all) for r in S.running(df, ["g"], "v", {"below": "n"}, {"all": "n"}, parts=7).collect()}
+    assert got == {(g, v): (sum(n for h, w, n in rows if h == g and w < v), sum(n for h, w, n in rows if h == g)) for g, v, _ in rows}
     assert S.running(df.limit(0), ["g"], "v", {"below": "n"}).count() == 0
 
 

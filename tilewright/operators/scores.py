@@ -73,32 +73,33 @@ def confusion(df: DataFrame, labels: list[int], truth: str = "target", pred: str
     return grid.join(counts, ["target", "pred_label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def running(df: DataFrame, by: list[str], order: str, sums: dict[str, str], parts: int = 64) -> DataFrame:
-    """For each column of ``sums``: the sum over the group's rows with a smaller ``order``, under the given name. ``order`` comes once a group.
+def running(df: DataFrame, by: list[str], order: str, sums: dict[str, str], wholes: dict[str, str] | None = None, parts: int = 64) -> DataFrame:
+    """For each column of ``sums``: the sum over the group's rows with a smaller ``order``, under the given name; of ``wholes`` over all. ``order`` comes once a group.
 
     A group is cut at quantiles of ``order`` into ``parts`` ranges that are summed
     apart, so that no task holds a whole group; the ranges' totals (a few rows a
     group) are then added. The quantiles come to the driver once, so that they
     are the same wherever they are used: a row per group (splits, variables).
+    A null in ``by`` is a group like any other.
     """
-    quantiles = df.groupBy(*by).agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("__at"))
+    keyed = df.withColumn("__key", F.struct(*by))
+    quantiles = keyed.groupBy("__key").agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("__at"))
     bounds = df.sparkSession.createDataFrame(quantiles.collect(), quantiles.schema)
-    dealt = df.join(bounds, by) if by else df.crossJoin(bounds)
-    dealt = dealt.withColumn("__range", F.size(F.filter("__at", lambda b: b < F.col(order)))).drop("__at")
-    before = W.partitionBy(*by, "__range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    ranges_before = W.partitionBy(*by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    totals = dealt.groupBy(*by, "__range").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
-    totals = totals.withColumns({f"__{n}": F.coalesce(F.sum(f"__{n}").over(ranges_before), F.lit(0)) for n in sums})
-    out = dealt.withColumns({n: F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in sums.items()}).join(totals, [*by, "__range"])
-    return out.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__range", *[f"__{n}" for n in sums])
+    dealt = keyed.join(bounds, "__key").withColumn("__range", F.size(F.filter("__at", lambda b: b < F.col(order)))).drop("__at")
+    before = W.partitionBy("__key", "__range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    ranges_before, all_ranges = W.partitionBy("__key").orderBy("__range").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("__key")
+    columns = sorted({*sums.values(), *(wholes or {}).values()})
+    totals = dealt.groupBy("__key", "__range").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
+    totals = totals.select("__key", "__range", *[F.coalesce(F.sum(f"__{c}").over(ranges_before), F.lit(0)).alias(f"__{n}") for n, c in sums.items()], *[F.sum(f"__{c}").over(all_ranges).alias(n) for n, c in (wholes or {}).items()])
+    out = dealt.withColumns({n: F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in sums.items()}).join(totals, ["__key", "__range"])
+    return out.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__key", "__range", *[f"__{n}" for n in sums])
 
 
 def cuts(df: DataFrame, by: list[str], truth: str = "target", score: str = "score") -> DataFrame:
     """Per distinct score: positives and negatives at it (p, q), at it and above it (tp, fp), and in all (pos, neg)."""
     at = df.groupBy(*by, F.col(score).alias("cut")).agg(F.sum(F.col(truth).cast("long")).alias("p"), F.sum(1 - F.col(truth).cast("long")).alias("q"))
-    below = running(at, by, "cut", {"__p": "p", "__q": "q"})
-    both = below.join(at.groupBy(*by).agg(F.sum("p").alias("pos"), F.sum("q").alias("neg")), by)
-    return both.withColumns({"tp": F.col("pos") - F.col("__p"), "fp": F.col("neg") - F.col("__q")}).drop("__p", "__q")
+    both = running(at, by, "cut", {"low_p": "p", "low_q": "q"}, {"pos": "p", "neg": "q"})
+    return both.withColumns({"tp": F.col("pos") - F.col("low_p"), "fp": F.col("neg") - F.col("low_q")}).drop("low_p", "low_q")
 
 
 def ranking_metrics(df: DataFrame, by: list[str], truth: str = "target", score: str = "score") -> DataFrame:
@@ -214,12 +215,12 @@ def task_summary(units: DataFrame, tiles: DataFrame, levels: list[int], label: s
 
     ``units`` has task, split and the label; ``tiles`` task, split and read_level.
     """
-    spark, split = units.sparkSession, F.col("split")
+    split = F.col("split")
     per = units.groupBy("task").agg(F.count("*").alias("n_analysis_units_total"), F.count_if(split == "train").alias("n_analysis_units_train"), F.count_if(split == "val").alias("n_analysis_units_val"))
     classes = units.filter(F.col(label).isNotNull()).groupBy("task", "split", label).agg(F.count("*").alias("n"))
     pair = F.struct(F.col(label).alias("o"), F.col(label).cast("string").alias("key"), F.col("n").alias("value"))
     of = lambda s: F.to_json(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.when(split == s, pair))), lambda x: F.struct(x["key"], x["value"]))))
     counts = classes.groupBy("task").agg(of("train").alias("class_counts_train"), of("val").alias("class_counts_val"))
     held = tiles.groupBy("task", "read_level").agg(F.count_if(split == "train").alias("n_tiles_train"), F.count_if(split == "val").alias("n_tiles_val"))
-    grid = per.join(counts, "task", "left").crossJoin(spark.createDataFrame([(x,) for x in levels], "read_level int"))  # tasks times levels
+    grid = per.join(counts, "task", "left").withColumn("read_level", F.explode(F.array(*map(F.lit, levels))))
     return grid.join(held, ["task", "read_level"], "left").fillna(0, ["n_tiles_train", "n_tiles_val"])

@@ -22,11 +22,11 @@ def units(rows: DataFrame, unit: str, label: str, order: str) -> DataFrame:
 
 def _numbered(table: DataFrame, by: list[str], unit: str, seed: int) -> DataFrame:
     """``rn``: the units of a group numbered from 1 in the order of their dice. A group is numbered in 256 ranges of the dice, so a large class isn't one task's."""
-    rows = table.withColumns({"__dice": dice(seed, unit), "__range": F.shiftright(dice(seed, unit), 24)})
-    inside = F.row_number().over(W.partitionBy(*by, "__range").orderBy("__dice", unit))
-    before = F.sum("__n").over(W.partitionBy(*by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
-    ranges = rows.groupBy(*by, "__range").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
-    return rows.withColumn("rn", inside).join(ranges, [*by, "__range"]).withColumn("rn", F.col("rn") + F.col("__before")).drop("__dice", "__range", "__before")
+    rows = table.withColumns({"__key": F.struct(F.lit(0), *by), "__dice": dice(seed, unit), "__range": F.shiftright(dice(seed, unit), 24)})
+    inside = F.row_number().over(W.partitionBy("__key", "__range").orderBy("__dice", unit))
+    before = F.sum("__n").over(W.partitionBy("__key").orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
+    ranges = rows.groupBy("__key", "__range").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
+    return rows.withColumn("rn", inside).join(ranges, ["__key", "__range"]).withColumn("rn", F.col("rn") + F.col("__before")).drop("__key", "__dice", "__range", "__before")
 
 
 def stratified(table: DataFrame, unit: str, label: str, fraction: float, seed: int, fallback: bool = False) -> DataFrame:
