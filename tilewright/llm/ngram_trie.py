@@ -40,7 +40,7 @@ from .store import fresh, mapped, put
 
 U64 = np.uint64
 #: Training tokens (vocabulary: words) that a shard is to hold, about.
-SHARD_TOKENS = 6_000_000
+SHARD_TOKENS = 2_500_000
 END = xxhash.xxh64_intdigest(b"\n", 0)  # a line feed is never a word
 BATCH_CHARS = 1 << 22
 #: Shards of a level that a worker keeps open.
