@@ -619,13 +619,14 @@ def test_licence_headers_have_their_own_name():
 def test_mixing(spark, odd, none):
     rows = [(i, "w " * 10, "big" if i < 900 else "small") for i in range(1000)]
     docs = ship(spark).createDataFrame(rows, "doc_id long, text string, source string")
-    got = mixing.mix(docs, max_repeats=2.0).groupBy("source").agg(F.sum("tokens").alias("n"), F.max("epoch").alias("e"), F.max("budget").alias("b")).collect()
-    by = {r.source: r for r in got}
-    assert by["small"].b == 2000 and by["small"].n == 2000 and by["small"].e == 1 and by["big"].n == by["big"].b == 8000
-    even = {r.source: r.weight for r in mixing.mix(docs, target_entropy=math.log(2), max_repeats=None).select("source", "weight").distinct().collect()}
-    assert abs(even["big"] - 0.5) < 1e-3
-    assert mixing.mixed_documents(docs, max_repeats=2.0).count() == mixing.mix(docs, max_repeats=2.0).count()
-    assert mixing.mix(odd).count() > 0 and mixing.mix(none).count() == 0 and mixing.mixed_documents(odd).columns == odd.columns
+    drawn = mixing.mix(docs, max_repeats=2.0).collect()
+    tokens = Counter()
+    for r in drawn:
+        tokens[r.source] += r.tokens
+    assert {(r.source, r.budget) for r in drawn} == {("small", 2000), ("big", 8000)} and tokens == {"small": 2000, "big": 8000}
+    assert max(r.epoch for r in drawn if r.source == "small") == 1
+    assert mixing.mixed_documents(docs, max_repeats=2.0).count() == len(drawn)
+    assert mixing.mix(odd).count() > 0 and mixing.mix(none).count() == 0
     for bad in ({"budget_ratio": 6.0, "max_repeats": 2.0}, {"target_entropy": 1.0, "max_repeats": None}):
         with pytest.raises(ValueError):
             mixing.mix(docs, **bad)

@@ -9,6 +9,7 @@ read these tables, so they stay until ``clear`` is called.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable
 
@@ -29,13 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get().rstrip("/")
 
 
-_made: list[str] = []
+_thread = threading.local()
+
+
+def _made() -> list[str]:
+    """The paths that this thread made, so that clearing up never reaches another thread's work."""
+    if not hasattr(_thread, "made"):
+        _thread.made = []
+    return _thread.made
 
 
 def fresh(spark: SparkSession, tag: str) -> str:
     """A new path below the shared folder."""
-    _made.append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
-    return _made[-1]
+    _made().append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _made()[-1]
 
 
 def saved_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
@@ -58,16 +66,16 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def mark() -> int:
     """What has been made so far; for ``clear``."""
-    return len(_made)
+    return len(_made())
 
 
 def clear(spark: SparkSession, since: int = 0, keep: Iterable[str] = ()) -> None:
-    """Delete what was made after ``since``, but for the paths in ``keep``."""
-    keep = set(keep)
-    for path in _made[since:]:
+    """Delete what this thread made after ``since``, but for the paths in ``keep``."""
+    made, keep = _made(), set(keep)
+    for path in made[since:]:
         if path not in keep:
             remove(spark, path)
-    _made[since:] = [path for path in _made[since:] if path in keep]
+    made[since:] = [path for path in made[since:] if path in keep]
 
 
 def spare(taken: Iterable[str], *names: str) -> list[str]:
