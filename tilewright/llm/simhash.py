@@ -316,12 +316,8 @@ def _prefix_size(n: int, least: float) -> int:
     return n - int(np.ceil(least * n - 1e-9)) + 1
 
 
-def _often(docs: DataFrame, n: int, shingle: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are frequent in a share of the documents, sorted, and their counts there; they only order the prefixes.
-
-    Without them a prefix is made of the least hashes, so of each text only as
-    many of its least ones count as two prefixes have.
-    """
+def _often(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a share of the documents, sorted, and their counts there; they only order the prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -333,8 +329,7 @@ def _often(docs: DataFrame, n: int, shingle: int, least: float) -> tuple[np.ndar
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                own = np.unique(shingles(t, shingle))
-                held.append(own[: 2 * _prefix_size(len(own), least)])
+                held.append(np.unique(shingles(t, shingle)))
                 if len(held) >= 1024:
                     yield flush()
         if held:
@@ -382,7 +377,7 @@ def remaining_copies(docs: DataFrame, gone: DataFrame, shingle: int = 5, least:
     the longer rest has, so pairs that have too few keys in common for that are
     left out before any text is fetched.
     """
-    shared, found = saved(sharing(docs, gone, _often(docs, docs.count(), shingle, least), shingle, least), "shared"), []
+    shared, found = saved(sharing(docs, gone, _often(docs, docs.count(), shingle), shingle, least), "shared"), []
     alike = (F.col("leader") < F.col("doc_id")) & (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9)
     while True:
         pairs, rows = shared.agg(F.sum(F.col("g") - 1) / 2, F.count("*")).first()
