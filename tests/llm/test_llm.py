@@ -478,7 +478,7 @@ def test_trie_query_by_brute_force(spark, monkeypatch, tmp_path):
     rows = [(i, " ".join(rng.choice([f"w{j}" for j in range(80)], int(rng.integers(0, 60)))) if i % 9 else None) for i in range(150)]
     ship(spark).createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
-    n, scored = _witten_bell([t for i, t in rows if not out[i]], 3)
+    n, scored = _witten_bell([t for i, t in rows if not out[i]], 2)
     got = {r.doc_id: r for r in queries.op2_ngram_trie(spark, str(tmp_path)).collect()}
     assert len(got) == len(rows) and any(out.values())
     for i, t in rows:

@@ -28,7 +28,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = language_id.held_out(F.col("doc_id"), 10)
-    return ngram_trie.score(docs, ngram_trie.train(docs.filter(~out), order=3), out)
+    return ngram_trie.score(docs, ngram_trie.train(docs.filter(~out), order=2), out)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
