@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import ship
-from . import decontamination, exact_dedup, language_id, license_scan, line_dedup, mixing, ngram_trie, secrets, simhash, token_store
+from . import decontamination, exact_dedup, hard_negatives, language_id, license_scan, line_dedup, mixing, ngram_trie, periodic, secrets, sharding, simhash, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +67,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(documents(spark, sf_dir), 40)
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
+    return placed.select("doc_id", "size", crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find_runs(periodic.planted(documents(spark, sf_dir))))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, label_col=label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_ngram_trie, op3_simhash, op4_line_dedup, op5_secrets, op6_decontamination, op7_exact_dedup, op8_language_id, op9_token_store, op10_license_scan]
+    found = [op1_mixing, op2_ngram_trie, op3_simhash, op4_line_dedup, op5_secrets, op6_decontamination, op7_exact_dedup, op8_language_id, op9_token_store, op10_license_scan, op11_sharding, op12_periodic, op13_hard_negatives]
     return {f.__name__: f for f in found}
 
 
@@ -99,4 +114,5 @@ def oracle_sql() -> dict[str, str]:
             g AS (SELECT norm, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM t GROUP BY norm)
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.norm) AS text_sha256
             FROM t JOIN g ON t.norm = g.norm""",
+        "op13_hard_negatives": hard_negatives.PAIRS_SQL,
     }
