@@ -17,11 +17,11 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     """Hang the neighbours (larger ones; or smaller ones and the node itself) on the least node around."""
     if large:
         near = links.union(links.select("b", "a"))
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = saved(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")  # a table, so that Spark may split the side of a node with many links
         out = near.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         near = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = near.groupBy("a").agg(F.min("b").alias("m"))
+        least = saved(near.groupBy("a").agg(F.min("b").alias("m")), "least")
         out = near.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return out.filter("a <> b").distinct()
 

@@ -28,11 +28,12 @@ doesn't rely on the radius: prefixes of the texts' shingle sets find the rest.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -49,7 +50,7 @@ SLOTS = 64
 SAMPLED, LEAST_SAMPLED, MOST_OFTEN = 8, 8_000, 200_000
 #: Ids that are sent to all executors (some 32 bytes each); more of them are joined by a shuffle.
 SENT = 1_000_000
-#: Pairs a row beyond which rounds take copies out before all rows of a key are compared.
+#: Pairs a row beyond which rounds join the alike along stars before all rows of a key are compared.
 PAIRS = 4
 #: Rows of a key that one part of its comparison has, about.
 HOT = 256
@@ -343,9 +344,9 @@ def _often(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarra
     return hashes[order], counts[order]
 
 
-def sharing(docs: DataFrame, gone: DataFrame, often: tuple[np.ndarray, np.ndarray], shingle: int, least: float) -> DataFrame:
-    """key, doc_id, n (the text's distinct shingles), g (rows of the key): prefix shingles that several rows of doc_id, text have, ``gone`` ones left out."""
-    kind = docs.select("doc_id", F.lit(0).cast("long").alias("n"), F.array(F.lit(0).cast("long")).alias("keys")).schema
+def sharing(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], shingle: int, least: float) -> DataFrame:
+    """key, doc_id, n (the text's distinct shingles): prefix shingles that several rows of doc_id, text have."""
+    kind = texts.select("doc_id", F.lit(0).cast("long").alias("n"), F.array(F.lit(0).cast("long")).alias("keys")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -358,73 +359,90 @@ def sharing(docs: DataFrame, gone: DataFrame, often: tuple[np.ndarray, np.ndarra
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys).view(np.int64)))
             yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), lists], names=kind.names)
 
-    own = among(docs.select("doc_id", "text").mapInArrow(run, kind), gone, "left_anti")
-    return _counted(own.select(F.explode("keys").alias("key"), "doc_id", "n"))
-
-
-def _counted(keys: DataFrame) -> DataFrame:
-    return keys.withColumn("g", F.count("*").over(Window.partitionBy("key"))).filter("g > 1")
-
-
-def remaining_copies(docs: DataFrame, gone: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """doc_id, leader: pairs of the similarity ``least``, so that no two documents without a pair have it; ``gone`` ones (a written table of doc_id) are left out.
-
-    Two such texts share a shingle of their prefixes (see ``prefix``), so all
-    rows of a key are compared. While that would be over ``PAIRS`` pairs a row,
-    rounds compare each document only with the one that is first in most of its
-    keys, and take the copies out, until a round finds none. At last all pairs of
-    a key are formed. Shingles outside both prefixes can be shared by as many as
-    the longer rest has, so pairs that have too few keys in common for that are
-    left out before any text is fetched.
+    keys = saved(texts.select("doc_id", "text").mapInArrow(run, kind), "prefixes").select(F.explode("keys").alias("key"), "doc_id", "n")
+    several = saved(keys.groupBy("key").agg(F.count("*").alias("g")).filter("g > 1").select("key"), "several")  # a table, so that Spark may split a hot key's side
+    return keys.join(several, "key")
+
+
+def _mixed(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``shared`` with each row's root by ``links``; and key, g (its rows), top, main (its largest component, and how many rows that has) of the keys of several components."""
+    roots = saved(components(links.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))), "roots")
+    named = saved(shared.join(roots, shared["doc_id"] == roots["node"], "left").select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root")), "named")
+    each = named.groupBy("key", "root").agg(F.count("*").alias("c"))
+    per = each.groupBy("key").agg(F.sum("c").alias("g"), F.count("*").alias("kinds"), F.max(F.struct("c", (-F.col("root")).alias("least"))).alias("most"))
+    return named, saved(per.filter("kinds > 1").select("key", "g", F.col("most.c").alias("top"), (-F.col("most.least")).alias("main")), "mixed")
+
+
+def remaining_links(texts: DataFrame, links: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, leader: more pairs of the similarity ``least``, which with ``links`` (a written table of such pairs) join all documents that any chain of such pairs does.
+
+    Two such texts share a shingle of their prefixes (see ``prefix``). Only rows of
+    a key that aren't joined yet need to be compared, and all of them are: each
+    row outside the key's largest component with all rows of other components.
+    While that would be over ``PAIRS`` pairs a row, rounds compare such rows with
+    one row of the largest component in most of their keys, and join the alike,
+    until a round finds none. So a large group of copies is compared along a star,
+    and every link to another group is still found, whatever was joined before.
+    Shingles outside both prefixes can be shared by as many as the longer rest
+    has, so pairs that have too few keys in common for that are left out before
+    any text is fetched.
     """
-    shared, found = saved(sharing(docs, gone, _often(docs, docs.count(), shingle), shingle, least), "shared"), []
-    alike = (F.col("leader") < F.col("doc_id")) & (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9)
+    shared, found = saved(sharing(texts, _often(texts, texts.count(), shingle), shingle, least), "shared"), []
+    alike = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9
     while True:
-        pairs, rows = shared.agg(F.sum(F.col("g") - 1) / 2, F.count("*")).first()
+        named, mixed = _mixed(shared, links)
+        pairs, rows = mixed.agg(F.sum((F.col("g") - F.col("top")) * F.col("g")), F.sum("g")).first()
         if not rows or pairs <= PAIRS * rows:
             break
-        heads = shared.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("head")).select("key", F.col("head.doc_id").alias("leader"), F.col("head.n").alias("m"))
-        often = shared.join(heads, "key").filter(alike).groupBy("doc_id", "leader").count()
+        inside = named.join(mixed, "key").withColumn("in_main", F.col("root") == F.col("main"))
+        heads = saved(inside.filter("in_main").groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("head")).select("key", F.col("head.doc_id").alias("leader"), F.col("head.n").alias("m")), "heads")
+        often = inside.filter("NOT in_main").select("key", "doc_id", "n").join(heads, "key").filter(alike).groupBy("doc_id", "leader").count()
         best = often.groupBy("doc_id").agg(F.max(F.struct("count", "leader")).alias("best")).select("doc_id", F.col("best.leader").alias("leader"))
-        near = saved(_near(best, docs, shingle, least), "near")
+        near = saved(_near(best, texts, shingle, least), "near")
         if near.isEmpty():
             break
         found.append(near)
-        shared = saved(_counted(shared.join(near.select("doc_id").distinct(), "doc_id", "left_anti").drop("g")), "shared")
-    parts = F.ceil(F.col("g") / HOT)
-    own = shared.select("key", "doc_id", "n", F.pmod(F.xxhash64("doc_id"), parts).alias("part"))
-    other = shared.select("key", F.col("doc_id").alias("leader"), F.col("n").alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-    rest = F.greatest(F.ceil(least * F.col("n") - 1e-9), F.ceil(least * F.col("m") - 1e-9)) - 1
-    enough = F.col("count") + rest >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9
-    pairs = own.join(other, ["key", "part"]).filter(alike).groupBy("doc_id", "leader", "n", "m").count().filter(enough)
-    near = _near(pairs.select("doc_id", "leader"), docs, shingle, least)
-    for more in found:
-        near = near.union(more)
-    return near
+        links = saved(links.union(near), "joined")
+    if rows:
+        cut = F.ceil((F.col("g") - F.col("top")) / HOT)
+        inside = named.join(mixed, "key").withColumn("in_main", F.col("root") == F.col("main"))
+        own = inside.filter("NOT in_main").select("key", "doc_id", "n", "root", F.pmod(F.xxhash64("doc_id"), cut).alias("part"))
+        other = inside.select("key", F.col("doc_id").alias("leader"), F.col("n").alias("m"), F.col("root").alias("other"), "in_main", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)).alias("part"))
+        met = own.join(other, ["key", "part"]).filter(alike & (F.col("root") != F.col("other")) & (F.col("in_main") | (F.col("leader") < F.col("doc_id"))))
+        ordered = met.select(F.greatest("doc_id", "leader").alias("doc_id"), F.least("doc_id", "leader").alias("leader"), (F.col("n") + F.col("m")).alias("both"), F.greatest("n", "m").alias("n"))
+        rest = F.ceil(least * F.col("n") - 1e-9) - 1
+        enough = F.col("count") + rest >= least / (1 + least) * F.col("both") - 1e-9
+        pairs = ordered.groupBy("doc_id", "leader", "n", "both").count().filter(enough)
+        found.append(saved(_near(pairs.select("doc_id", "leader"), texts, shingle, least), "near"))
+    return reduce(DataFrame.union, found) if found else links.limit(0)
 
 
 def verified_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 1, radius: int = 2, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """doc_id of each document that repeats one with a lesser id, distinct; no two of the other documents are that similar.
-
-    A document repeats another if their texts are equal or their sets of
-    ``shingle``-word shingles have a Jaccard similarity of ``least``.
-    Fingerprints of the set of ``width``-word shingles propose groups, whose
-    documents are compared with the group's first one and the first one with
-    their fingerprint. That takes most copies out; what it leaves is compared by
-    ``remaining_copies``, which is exact at any distance of the fingerprints. So
-    a group that a chain of links made can't take unlike texts along. Equal
-    texts are judged once. Rows without an id are never in it; rows that share
-    an id are judged together. An empty table gives an empty result. What was
-    written on the way is deleted; the ids stay.
+    """doc_id of each document of a group but the least one, distinct.
+
+    Documents are linked if their texts are equal or their sets of
+    ``shingle``-word shingles have a Jaccard similarity of ``least``; a group is
+    what links join, directly or over others. That is the whole definition: all
+    documents are compared before any goes, so the result depends neither on
+    order nor on sizes. Fingerprints of the set of ``width``-word shingles propose
+    groups, whose documents are compared with the group's first one and the first
+    one with their fingerprint: true links, which join most copies along stars.
+    ``remaining_links`` then finds every link between what isn't joined yet, at
+    any distance of the fingerprints. Equal texts are judged once. Rows without
+    an id are never in it; rows that share an id are judged together. An empty
+    table gives an empty result. What was written on the way is deleted; the ids stay.
     """
     start = mark()
     each = saved(near_duplicates(docs, id_col, text_col, width, radius, True, True).filter("doc_id IS NOT NULL"), "groups")
     firsts = saved(each.groupBy("component_id", "least", "fp", "copy").agg(F.min("doc_id").alias("doc_id")), "firsts")
     leader = F.explode(F.array_distinct(F.array("component_id", "least"))).alias("leader")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
-    near = saved(_near(firsts.select("doc_id", leader).filter("leader <> doc_id").distinct(), texts, shingle, least).select("doc_id").distinct(), "near")
-    equal = each.join(firsts.select("fp", "copy", "doc_id"), ["fp", "copy", "doc_id"], "left_anti").select("doc_id")
-    gone = saved(equal.union(near).distinct(), "gone")
-    lost, path = saved_at(gone.union(remaining_copies(texts, gone, shingle, least).select("doc_id")).distinct(), "copies")
+    texts = saved(among(texts, saved(firsts.select("doc_id").distinct(), "ids"), "left_semi"), "different")
+    links = saved(_near(firsts.select("doc_id", leader).filter("leader <> doc_id").distinct(), texts, shingle, least), "near")
+    links = links.union(remaining_links(texts, links, shingle, least))
+    roots = saved(components(links.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))), "roots")
+    named = saved(firsts.join(roots, firsts["doc_id"] == roots["node"], "left").select("fp", "copy", F.coalesce("root", "doc_id").alias("root")), "named")
+    gone = each.join(named, ["fp", "copy"]).filter(F.col("doc_id") != F.col("root")).select("doc_id")
+    lost, path = saved_at(gone.distinct(), "copies")
     clear(docs.sparkSession, start, [path])
     return lost
