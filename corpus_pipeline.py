@@ -26,11 +26,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the least doc_id.
 
-    The fingerprints are of the set of a text's words, at 2 bits, which finds
-    copies that differ in a few words at any length; a document goes only if an
-    exact check of five-word shingles then finds a similarity of 0.8 or more.
-    Rows that share the kept doc_id are the same document and stay; rows without
-    an id stay.
+    A group is what pairs of a similarity of 0.8 or more (five-word shingles) join,
+    directly or over others, whatever found them. The fingerprints are of the set
+    of a text's words, at 2 bits, which finds copies that differ in a few words at
+    any length; every pair is then checked exactly, and what the fingerprints leave
+    apart is compared by shared shingles. Rows that share the kept doc_id are the
+    same document and stay; rows without an id stay.
     """
     ship(spark)
     return simhash.among(docs, simhash.verified_copies(docs), "left_anti").select(*docs.columns)
