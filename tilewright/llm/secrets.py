@@ -10,13 +10,16 @@ points. The worklist runs until no layer is new; layers that were seen before
 (cycles, repeats at the same place) are not scanned again.
 
 Defined results: null text is the empty text. Findings come by start, then kind,
-then end; equal findings of several layers are one. Data that doesn't decode is
-left alone; of damaged or cut compressed data what comes before the damage is
-scanned. Base64 may be wrapped: lines of it are one stretch, and each line is
+then end; equal findings of several layers are one. Bytes that aren't text are
+replaced, so what stands between them is scanned; of damaged or cut compressed
+data what comes before the damage is, and what follows raw deflate data is no
+harm to it. Base64 may be wrapped: lines of it are one stretch, and each line is
 tried by itself too. Compressed data is unwrapped to any depth, all members of
-it. A layer larger than ``PIECE`` bytes goes through the scan and the worklist in
-pieces that overlap by ``OVERLAP``, so memory stays bounded and nothing of it is
-skipped. Other columns are ignored.
+it, until data inflates to itself. A layer larger than ``PIECE`` characters goes
+through the scan and the worklist in pieces that overlap by ``OVERLAP``; an
+encoded stretch across a cut is carried on whole, and one larger than ``STRETCH``
+is decoded as it comes, so memory stays bounded and nothing is skipped. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ import base64
 import binascii
 import codecs
 import hashlib
-import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -42,12 +44,18 @@ KINDS = {
     "hex": (re.compile(r"[0-9a-f]{24,}"), 0, 24),
 }
 ORDER = {k: i for i, k in enumerate(KINDS)}
-PIECE, OVERLAP = 1 << 22, 1 << 16
+#: Characters of a piece of a layer, those that two pieces share, and of the largest encoded stretch that is held whole.
+PIECE, OVERLAP, STRETCH = 1 << 22, 1 << 16, 1 << 25
+#: First bytes that tell how data is read; characters of the least finding.
+HEAD, LEAST = 4096, 12
 
 _ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}")
 #: The least finding has 12 characters, so 16 of base64: shorter stretches can't hold one.
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}(?![A-Za-z0-9+/_=-])")
+#: What no encoded stretch goes across; what ends one that is decoded as it comes; what isn't data in it.
+_BREAK = re.compile(r"[^A-Za-z0-9+/_=\s-]|(?<=\S)[\x20\t]+(?=\S)")
+_OTHER, _NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/_=\s-]"), re.compile(r"[^A-Za-z0-9+/]")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})")
 
 
@@ -64,101 +72,155 @@ def _kind(raw: bytes) -> int:
     return 31 if raw[:2] == b"\x1f\x8b" else 15 if len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0 else 0
 
 
-def _inflated(chunks: Iterator[bytes], kind: int) -> Iterator[bytes]:
-    """The data of all members in blocks; what follows the last member, or can't be read, is left out."""
-    d, rest = zlib.decompressobj(kind), b""
-    for chunk in chunks:
-        data = rest + chunk
-        rest = b""
-        while data:
-            if d.eof:
-                if len(data) < 3:
-                    rest = data
-                    break
-                if not (kind := _kind(data)):
-                    return
-                d = zlib.decompressobj(kind)
-            try:
-                out = d.decompress(data, 1 << 20)
-            except zlib.error:
-                return
-            if out:
-                yield out
-            data = d.unused_data if d.eof else d.unconsumed_tail
-    while not d.eof:  # output that is still held back
-        try:
-            out = d.decompress(d.unconsumed_tail, 1 << 20)
-        except zlib.error:
-            return
-        if not out:
-            return
-        yield out
-
-
-def _decoded(chunks: Iterator[bytes], code: str) -> Iterator[str]:
-    """The data as text, in overlapping pieces; it ends where the data isn't text."""
-    decoder, held, fresh = codecs.getincrementaldecoder(code)(), "", False
-    for block in itertools.chain(chunks, [None]):
-        try:
-            more = decoder.decode(block or b"", block is None)
-        except UnicodeDecodeError:
-            fresh = fresh and len(held) > OVERLAP
-            break
-        held, fresh = held + more, fresh or bool(more)
-        if len(held) >= PIECE:
-            yield held
-            held, fresh = held[-OVERLAP:], False
-    if fresh:
-        yield held
-
-
 def _codes(head: bytes) -> list[str]:
     """The encodings that data may have: UTF-16 where a quarter of its first bytes or more is zero."""
     if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return ["utf-16"]
+        return ["utf-8", "utf-16"]
     start = head[:256]
     if 4 * start.count(0) < len(start) or len(start) < 2:
         return ["utf-8"]
     return ["utf-8", "utf-16-le" if start[1::2].count(0) >= start[::2].count(0) else "utf-16-be"]
 
 
-def _bare(raw: bytes) -> bytes:
-    """Raw deflate data inflated, nothing if it isn't whole or is larger than a piece."""
-    d = zlib.decompressobj(-15)
-    try:
-        out = d.decompress(raw, PIECE)
-    except zlib.error:
-        return b""
-    return out if d.eof and not d.unused_data else b""
+def _stretch(held: str) -> int:
+    """Where the encoded stretch that may go on behind the end of ``held`` begins."""
+    for low in range((len(held) - 1) // OVERLAP * OVERLAP, -1, -OVERLAP):
+        last = None
+        for last in _BREAK.finditer(held, low, min(len(held), low + OVERLAP)):
+            pass
+        if last:
+            return last.end()
+    return 0
+
+
+class _Text:
+    """Data as text, in overlapping pieces; what isn't text is replaced.
+
+    An encoded stretch that isn't over at a cut is carried on whole. One that
+    becomes larger than ``STRETCH`` is decoded as it comes instead, and its texts
+    are among the pieces.
+    """
+
+    def __init__(self, code: str) -> None:
+        self.decoder, self.held, self.fresh = codecs.getincrementaldecoder(code)("replace"), "", False
+        self.inside: _Data | None = None
+
+    def feed(self, block: bytes | None) -> Iterator[str]:
+        """The pieces that a block completes; None is the end."""
+        text = self.decoder.decode(block or b"", block is None)
+        if self.inside:
+            end = _OTHER.search(text)
+            yield from self._through(text[: end.start()] if end else text, bool(end) or block is None)
+            text = text[end.start() :] if end else ""
+        self.held, self.fresh = self.held + text, self.fresh or bool(text)
+        if block is None:
+            if self.fresh:
+                yield self.held
+        elif len(self.held) >= PIECE and not self.inside:
+            start = _stretch(self.held)
+            if start:
+                yield self.held
+                self.held, self.fresh = self.held[min(start, len(self.held) - OVERLAP) :], False
+            elif len(self.held) > STRETCH:
+                part, self.held, self.fresh, self.inside, self.open = self.held, "", False, _Data(), ""
+                yield from self._through(part, False)
+
+    def _through(self, part: str, over: bool) -> Iterator[str]:
+        self.held += part
+        yield self.held  # the stretch itself may hold a finding
+        body = self.open + _NOT_BASE64.sub("", part.replace("-", "+").replace("_", "/"))
+        whole = len(body) // 4 * 4
+        self.held, self.open = self.held[-OVERLAP:], body[whole:]
+        yield from self.inside.feed(base64.b64decode(body[:whole]))
+        if over:
+            if len(self.open) > 1:
+                yield from self.inside.feed(base64.b64decode(self.open + "=" * (-len(self.open) % 4)))
+            yield from self.inside.feed(None)
+            self.inside = None
+
+
+class _Level:
+    """Data at one depth: how it is read, and what inflates it."""
+
+    def __init__(self, seen: set[bytes]) -> None:
+        self.seen, self.head, self.readers, self.kind = seen, b"", None, 0
+
+    def given(self, block: bytes | None) -> list[bytes | None]:
+        """What can be read now: nothing before the first bytes are there, which tell how."""
+        if self.readers is not None:
+            return [block]
+        self.head += block or b""
+        if len(self.head) < HEAD and block is not None:
+            return []
+        self.readers, mark = [], hashlib.sha256(self.head).digest()
+        if self.head and mark not in self.seen:  # else data that inflates to itself
+            self.seen.add(mark)
+            self.readers = [_Text(code) for code in _codes(self.head)]
+            self.kind = next((k for k in (_kind(self.head), -15) if k and self._opens(k)), 0)
+            self.inflater, self.rest = zlib.decompressobj(self.kind) if self.kind else None, b""
+        return [self.head, *([] if block is not None else [None])]
+
+    def _opens(self, kind: int) -> bool:
+        """Whether the first bytes inflate; without a header, to as much as a finding needs."""
+        try:
+            out = zlib.decompressobj(kind).decompress(self.head, LEAST)
+        except zlib.error:
+            return False
+        return kind != -15 or len(out) == LEAST
+
+    def inflated(self, blocks: list[bytes | None]) -> Iterator[bytes | None]:
+        """The data of all members in blocks, None at its end; what follows the last member, or can't be read, is left out."""
+        for block in blocks if self.kind else ():
+            data, self.rest = self.rest + (block or b""), b""
+            try:
+                while self.kind and data:
+                    if self.inflater.eof:
+                        if len(data) < 3 and block is not None and self.kind != -15:
+                            self.rest = data
+                            break
+                        self.kind = _kind(data) if self.kind != -15 else 0
+                        if not self.kind:
+                            break
+                        self.inflater = zlib.decompressobj(self.kind)
+                    if out := self.inflater.decompress(data, 1 << 20):
+                        yield out
+                    data = self.inflater.unused_data if self.inflater.eof else self.inflater.unconsumed_tail
+                while self.kind and not self.inflater.eof and (out := self.inflater.decompress(b"", 1 << 20)):
+                    yield out
+            except zlib.error:
+                self.kind = 0
+            if block is None or not self.kind:
+                self.kind = 0
+                yield None
+                return
+
+
+class _Data:
+    """Pieces of text of data and of what it inflates to, however deep; a level holds a block at a time."""
+
+    def __init__(self) -> None:
+        self.levels, self.seen = [], set()
+
+    def feed(self, block: bytes | None) -> Iterator[str]:
+        work: list[Iterator[bytes | None]] = [iter([block])]
+        while work:
+            if (block := next(work[-1], b"")) == b"":
+                work.pop()
+                continue
+            if len(work) > len(self.levels):
+                self.levels.append(_Level(self.seen))
+            level = self.levels[len(work) - 1]
+            now = level.given(block)
+            for data in now:
+                for reader in level.readers:
+                    yield from reader.feed(data)
+            work.append(level.inflated(now))
 
 
 def _texts(raw: bytes) -> Iterator[str]:
-    """Pieces of the data that are text, as it is and inflated until it isn't compressed any more."""
-    chunks, bare = iter([raw]), False
-    while True:
-        head = b""
-        for block in chunks:
-            head += block
-            if len(head) > 2:
-                break
-        chunks = itertools.chain([head], chunks)
-        kind = _kind(head)
-        *own, chunks = itertools.tee(chunks, len(codes := _codes(head)) + 1)  # text may look like a header
-        inner = _inflated(chunks, kind) if kind else iter(())
-        first = next(inner, None)
-        some = False
-        for code, copy in zip(codes, own, strict=True):
-            for text in _decoded(copy, code):
-                some = True
-                yield text
-        del own
-        if first is None:
-            if some or bare or not (plain := _bare(raw)):
-                return
-            chunks, bare = iter([plain]), True
-        else:
-            chunks = itertools.chain([first], inner)
-            raw = b""
+    data = _Data()
+    for block in (raw, None):
+        yield from data.feed(block)
 
 
 def _from_base64(s: str) -> Iterator[str]:
