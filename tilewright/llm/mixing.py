@@ -32,6 +32,8 @@ from .store import saved, spare
 BLOCK_DOCS, MOST_BLOCKS = 1024, 1 << 16
 #: Rounds in which the block where a budget ends is searched for documents that still fit.
 PASSES = 4
+#: Times that a source may be gone through, unless the caller says otherwise.
+MOST_EPOCHS = 1000
 
 
 def _tokens(text: Column) -> Column:
@@ -90,7 +92,7 @@ def temperature(sources: DataFrame, total: int, budget: int, target_entropy: flo
     return alpha
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", budget_ratio: float = 1.0, target_entropy: float | None = None, max_repeats: float | None = 4.0, seed: int = 11) -> tuple[DataFrame, DataFrame, int]:
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", budget_ratio: float = 1.0, target_entropy: float | None = None, max_repeats: float | None = 4.0, seed: int = 11, most_epochs: int = MOST_EPOCHS) -> tuple[DataFrame, DataFrame, int]:
     """(measured rows, plan, number of blocks).
 
     The plan has source, epoch, block, slot (where in the mix the block starts,
@@ -109,6 +111,9 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     power = F.pow(F.col("tokens") / F.lit(float(max(total, 1))), F.lit(alpha))
     z = sources.agg(F.sum(power)).first()[0] or 1.0
     weighted = sources.select("source", F.col("tokens").alias("all_tokens"), (power / F.lit(z)).alias("weight")).withColumn("budget", F.round(F.col("weight") * budget).cast("long"))
+    often = weighted.agg(F.max(F.struct((F.col("budget") / F.col("all_tokens")).alias("times"), "source")).alias("most")).first().most
+    if often is not None and often.times > most_epochs:
+        raise ValueError(f"the source {often.source!r} would be gone through {often.times:.0f} times; {most_epochs} is the most")
     epochs = weighted.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("budget") / F.col("all_tokens")).cast("long") - 1))).filter("epoch >= 0 AND budget > epoch * all_tokens")
     permuted = W.partitionBy("source", "epoch").orderBy(F.xxhash64(F.lit(seed), "source", "epoch", "block"), "block").rowsBetween(W.unboundedPreceding, -1)
     placed = by_block.join(epochs, "source").withColumn("start", F.col("epoch") * F.col("all_tokens") + F.coalesce(F.sum("tokens").over(permuted), F.lit(0)))
