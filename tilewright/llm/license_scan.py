@@ -86,6 +86,11 @@ TEMPLATES: list[tuple[str, str, str]] = [
     ("Unlicense", "notice", "Released into the public domain"),
 ]
 _WORD = re.compile(r"[^\W_]+")
+#: A notice of few bigrams that names no licence needs one of these words as near as that.
+LICENCE_WORDS = frozenset({"license", "licence", "licensed", "licenced", "licensing", "unlicense", "copyright", "copyrighted", "spdx"})
+FEW, NEAR = 4, 8
+#: Characters of a table of templates.
+MOST_TEMPLATES = 20_000_000
 
 
 def words(text: str) -> list[str]:
@@ -105,6 +110,7 @@ class Templates:
             for b in self.bags[-1]:
                 self.of.setdefault(b, []).append(i)
         self.sizes = [b.total() for b in self.bags]
+        self.bare = [k == "notice" and b.total() <= FEW and not LICENCE_WORDS & {w for pair in b for w in pair} and not {"cc", "cc0"} & {w for pair in b for w in pair} for (_, k), b in zip(self.names, self.bags, strict=True)]
         self.shared = [int(np.ceil(m * least / (2 - least) - 1e-9)) for m in self.sizes]
         self.most = [int(np.floor(m * (2 - least) / least + 1e-9)) for m in self.sizes]
 
@@ -124,6 +130,8 @@ class Templates:
         taken: list[tuple[int, float, int, int]] = []
         spans: list[tuple[int, int]] = []  # first word and word behind the last, in order
         for dice, n, i, at in sorted(candidates, key=lambda c: (-c[0], -c[1], self.names[c[2]], c[3])):
+            if self.bare[i] and not LICENCE_WORDS.intersection(w[max(0, at - NEAR) : at + n + 1 + NEAR]):
+                continue
             k = bisect.bisect(spans, (at, at))
             if (k == 0 or spans[k - 1][1] <= at) and (k == len(spans) or at + n + 1 <= spans[k][0]):
                 spans.insert(k, (at, at + n + 1))
@@ -159,12 +167,17 @@ class Templates:
         return out
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, templates: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """doc_id, license, kind, dice, start, end (code points): a row for each passage found."""
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, templates: list[tuple[str, str, str]] | DataFrame | None = None) -> DataFrame:
+    """doc_id, license, kind, dice, start, end (code points): a row for each passage found.
+
+    ``templates`` are (name, kind, text), or a table of these columns, of
+    ``MOST_TEMPLATES`` characters at most. A notice that names no licence ("released into
+    the public domain") counts only with a licence word beside it.
+    """
     kind = docs.select(F.col(id_col).alias("doc_id")).schema
     for name, t in (("license", "string"), ("kind", "string"), ("dice", "double"), ("start", "long"), ("end", "long")):
         kind = kind.add(name, t)
-    chosen = TEMPLATES if templates is None else templates
+    chosen = TEMPLATES if templates is None else _from_table(templates) if isinstance(templates, DataFrame) else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(chosen, least)
@@ -182,6 +195,13 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL").mapInArrow(run, kind)
 
 
+def _from_table(table: DataFrame) -> list[tuple[str, str, str]]:
+    size = table.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if size > MOST_TEMPLATES:
+        raise ValueError(f"the templates have {size} characters; {MOST_TEMPLATES} are the most")
+    return sorted((r.name, r.kind, r.text) for r in table.select("name", "kind", "text").filter("name IS NOT NULL AND kind IS NOT NULL AND text IS NOT NULL").collect())
+
+
 def _spans(text: str) -> list[tuple[int, int]]:
     """The words' spans in the text itself; lower-casing may lengthen a text, so places are mapped back."""
     low = text.lower()
