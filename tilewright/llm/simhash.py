@@ -221,7 +221,7 @@ def links(points: DataFrame, radius: int = 2) -> DataFrame:
     spark = points.sparkSession
     n = points.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n / SHARD)))))
-    sample = np.array([r.fp for r in points.orderBy(F.xxhash64(F.lit(1), "fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64) if depth else np.empty(0, np.uint64)
+    sample = points.orderBy(F.xxhash64(F.lit(1), "fp")).limit(SAMPLE).select("fp").toArrow()["fp"].to_numpy().view(np.uint64) if depth else np.empty(0, np.uint64)
     tree = shard_tree(sample, depth)
 
     def deal(deeper: dict[int, int]) -> DataFrame:
@@ -338,8 +338,8 @@ def _often(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarra
 
     some = docs.filter(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(max(1, min(SAMPLED, n // LEAST_SAMPLED)))) == 0).select("text")
     counted = some.mapInArrow(run, "h long, some long").groupBy("h").agg(F.sum("some").alias("count"))
-    top = counted.filter("count > 2").orderBy(F.desc("count"), "h").limit(MOST_OFTEN).collect()
-    hashes, counts = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
+    top = counted.filter("count > 2").orderBy(F.desc("count"), "h").limit(MOST_OFTEN).toArrow()
+    hashes, counts = top["h"].to_numpy().view(np.uint64), top["count"].to_numpy()
     order = np.argsort(hashes)
     return hashes[order], counts[order]
 
