@@ -28,7 +28,6 @@ import bisect
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -153,9 +152,9 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     firsts = [0, *(n for _, n in found)]  # rows before each range
     width = 8 * len(names)
 
-    @F.pandas_udf("int")
-    def range_of(*columns: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(_as_bytes(cuts, width), _encoded([c.to_numpy() for c in columns]), "right").astype(np.int32))
+    @F.arrow_udf("int")
+    def range_of(*columns: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(_as_bytes(cuts, width), _encoded([c.to_numpy(zero_copy_only=False) for c in columns]), "right").astype(np.int32))
 
     keyed = keyed.withColumn(range_, range_of(*names) if cuts else F.lit(0))
     skipped = [firsts[i] - firsts[i - i % finer] for i in range(len(firsts))]
