@@ -30,10 +30,10 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, schema: str
     return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", sep: str = ",") -> None:
     """With a header also where there are no rows."""
     out = df if df.head(1) else df.coalesce(1)
-    out.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    out.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"').csv(path)
 
 
 def write_json(spark: SparkSession, payload: dict, path: str) -> None:
