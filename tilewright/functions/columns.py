@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 #: The two truth sets for boolean-like text.
 TRUE_NARROW = ("1", "true", "yes")
 TRUE_WIDE = ("1", "true", "yes", "y")
+#: All white space that is stripped from both ends of a text.
+WHITE = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(c: Column) -> Column:
+    """Text without white space at its ends."""
+    return F.btrim(c.cast("string"), F.lit(WHITE))
 
 
 def among(c: Column, values: list[str]) -> Column:
@@ -24,7 +31,7 @@ def present(c: Column) -> Column:
 
 def normal(c: Column) -> Column:
     """Trimmed lower case; null as ''."""
-    return F.lower(F.trim(F.coalesce(c.cast("string"), F.lit(""))))
+    return F.lower(stripped(F.coalesce(c.cast("string"), F.lit(""))))
 
 
 def lowered(c: Column) -> Column:
@@ -34,12 +41,12 @@ def lowered(c: Column) -> Column:
 
 def filled(c: Column) -> Column:
     """Trimmed; blank as null."""
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(stripped(c), F.lit(""))
 
 
 def number(c: Column) -> Column:
     """Text as double; what isn't a number, and NaN, as null."""
-    d = c.cast("string").try_cast("double")
+    d = stripped(c).try_cast("double")
     return F.when(~F.isnan(d), d)
 
 
@@ -56,7 +63,7 @@ def truthy(c: Column, accepted: tuple[str, ...] = TRUE_WIDE) -> Column:
 
 def token(c: Column, fallback: str = "unknown") -> Column:
     """Letters, digits, - and _ stay, others become _; outer _ go; a fallback for nothing."""
-    t = F.btrim(F.regexp_replace(F.trim(F.coalesce(c.cast("string"), F.lit(""))), r"[^\p{L}\p{N}_-]", "_"), F.lit("_"))
+    t = F.btrim(F.regexp_replace(stripped(F.coalesce(c.cast("string"), F.lit(""))), r"[^\p{L}\p{N}_-]", "_"), F.lit("_"))
     return F.coalesce(F.nullif(t, F.lit("")), F.lit(fallback))
 
 
@@ -105,7 +112,7 @@ def tile_name(unit: Column, slide: Column, x: Column, y: Column, level: Column,
 
 def mapped(c: Column, table: dict[str, int], allowed: list[int] | None = None) -> Column:
     """A label by its text or its truncated number; what isn't in the table, or not allowed, is null."""
-    as_text = F.trim(c.cast("string"))
+    as_text = stripped(c)
     as_int = whole(c).cast("string")
     found = reduce(lambda rest, kv: F.when((as_text == kv[0]) | (as_int == kv[0]), F.lit(kv[1])).otherwise(rest), reversed(list(table.items())), F.lit(None).cast("int"))
     return found if allowed is None else F.when(found.isin(*allowed), found)

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..plans import storage
 
 
 def columns_first(df: DataFrame, first: list[str]) -> DataFrame:
@@ -131,7 +132,8 @@ def reasons(df: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in an explicit order."""
     rn = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__rn", rn).filter("__rn = 1").drop("__rn")
+    (at,) = storage.unused(df.columns, "rn")
+    return df.withColumn(at, rn).filter(F.col(at) == 1).drop(at)
 
 
 def metadata_join(left: DataFrame, right: DataFrame, on: str, columns: list[str], order: list[Column], how: str = "left") -> DataFrame:
@@ -187,10 +189,11 @@ def match_files(rows: DataFrame, key: str, files: DataFrame, path: str = "path")
     Inclusion is tested by pieces of equal length: stems are looked up among
     the key's substrings of the stems' lengths, so no pair of all is made.
     """
+    key_, b = storage.unused([*rows.columns, "match", "tier"], "key", "b")
     f = files.select(F.col(path).alias("__file"), C.stem(F.col(path)).alias("__stem"))
-    r = rows.withColumn("__key", F.lower(F.trim(F.col(key).cast("string"))))
+    r = rows.withColumn(key_, F.lower(C.stripped(F.col(key))))
     one = lambda df, tier: df.groupBy("__key").agg(F.count("*").alias("n"), F.min("__file").alias("__file")).filter("n = 1").select("__key", "__file", F.lit(tier).alias("tier"))
-    keys = r.select("__key").filter("__key <> ''").distinct()
+    keys = r.select(F.col(key_).alias("__key")).filter("__key <> ''").distinct()
     pieces = lambda c, low, high: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, n))))))
     low, high = (int(x or 1) for x in keys.agg(F.min(F.length("__key")), F.max(F.length("__key"))).first())
     in_stem = f.select("__file", "__stem", pieces(F.col("__stem"), low, high).alias("__key")).filter(F.length("__key") >= low).distinct().join(keys, "__key")
@@ -198,7 +201,8 @@ def match_files(rows: DataFrame, key: str, files: DataFrame, path: str = "path")
     in_key = keys.select("__key", pieces(F.col("__key"), max(slow, 1), shigh).alias("__stem")).distinct().join(f, "__stem")
     equal = f.withColumnRenamed("__stem", "__key").join(keys, "__key").groupBy("__key").agg(F.min("__file").alias("__file")).select("__key", "__file", F.lit(1).alias("tier"))
     best = equal.union(one(in_stem, 2)).union(one(in_key, 3)).groupBy("__key").agg(F.min(F.struct("tier", "__file")).alias("b"))
-    return r.join(best, "__key", "left").withColumns({"match": F.col("b.__file"), "tier": F.col("b.tier")}).drop("b", "__key")
+    found = best.select(F.col("__key").alias(key_), F.col("b").alias(b))
+    return r.join(found, key_, "left").withColumns({"match": F.col(f"{b}.__file"), "tier": F.col(f"{b}.tier")}).drop(b, key_)
 
 
 #: The keys of the tile order and of the extraction order.

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..plans.storage import unused, written
 
 
 #: The methods' names.
@@ -73,26 +76,34 @@ def confusion(df: DataFrame, labels: list[int], truth: str = "target", pred: str
     return grid.join(counts, ["target", "pred_label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def running(df: DataFrame, by: list[str], order: str, sums: dict[str, str], wholes: dict[str, str] | None = None, parts: int = 64) -> DataFrame:
+#: Rows up to which running sums are taken group by group.
+FEW = 1_000_000
+
+
+def running(df: DataFrame, by: list[str], order: str, sums: dict[str, str], wholes: dict[str, str] | None = None) -> DataFrame:
     """For each column of ``sums``: the sum over the group's rows with a smaller ``order``, under the given name; of ``wholes`` over all. ``order`` comes once a group.
 
-    A group is cut at quantiles of ``order`` into ``parts`` ranges that are summed
-    apart, so that no task holds a whole group; the ranges' totals (a few rows a
-    group) are then added. The quantiles come to the driver once, so that they
-    are the same wherever they are used: a row per group (splits, variables).
+    ``df`` is evaluated once. If it is large, it is sorted into ranges of group
+    and order, and the ranges are summed apart, so that no task holds a whole
+    group; then the sums of the ranges before (a row a range and group) are added.
     A null in ``by`` is a group like any other.
     """
-    keyed = df.withColumn("__key", F.struct(*by))
-    quantiles = keyed.groupBy("__key").agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("__at"))
-    bounds = df.sparkSession.createDataFrame(quantiles.collect(), quantiles.schema)
-    dealt = keyed.join(bounds, "__key").withColumn("__range", F.size(F.filter("__at", lambda b: b < F.col(order)))).drop("__at")
-    before = W.partitionBy("__key", "__range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    ranges_before, all_ranges = W.partitionBy("__key").orderBy("__range").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("__key")
-    columns = sorted({*sums.values(), *(wholes or {}).values()})
-    totals = dealt.groupBy("__key", "__range").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
-    totals = totals.select("__key", "__range", *[F.coalesce(F.sum(f"__{c}").over(ranges_before), F.lit(0)).alias(f"__{n}") for n, c in sums.items()], *[F.sum(f"__{c}").over(all_ranges).alias(n) for n, c in (wholes or {}).items()])
-    out = dealt.withColumns({n: F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in sums.items()}).join(totals, ["__key", "__range"])
-    return out.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__key", "__range", *[f"__{n}" for n in sums])
+    part, *names = unused([*df.columns, *sums, *(wholes or {})], "part", *(f"sum{i}" for i in range(len(sums))))
+    table = written(df, "running")
+    less = lambda w: w.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    before = lambda w: {n: F.coalesce(F.sum(c).over(less(w)), F.lit(0)) for n, c in sums.items()}
+    if table.count() <= FEW:
+        group = W.partitionBy(*by)
+        return table.withColumns(before(group) | {n: F.sum(c).over(group) for n, c in (wholes or {}).items()})
+    table = written(table.repartitionByRange(*by, order).withColumn(part, F.spark_partition_id()), "ranges")
+    group, earlier = W.partitionBy(*by), W.partitionBy(*by).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    ranges = table.groupBy(*by, part).agg(*[F.sum(c).alias(c) for c in {*sums.values(), *(wholes or {}).values()}])
+    ranges = ranges.select(*by, part, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(x) for x, c in zip(names, sums.values(), strict=True)], *[F.sum(c).over(group).alias(n) for n, c in (wholes or {}).items()])
+    inside = table.withColumns(before(W.partitionBy(*by, part)))
+    own, other = inside.alias("own"), ranges.alias("other")
+    met = own.join(other, (F.col(f"own.{part}") == F.col(f"other.{part}")) & reduce(lambda a, b: a & b, [F.col(f"own.{c}").eqNullSafe(F.col(f"other.{c}")) for c in by], F.lit(True)))
+    rest = [F.col(f"own.{c}") for c in df.columns]
+    return met.select(*rest, *[(F.col(f"own.{n}") + F.col(f"other.{x}")).alias(n) for x, n in zip(names, sums, strict=True)], *[F.col(f"other.{n}") for n in (wholes or {})])
 
 
 def cuts(df: DataFrame, by: list[str], truth: str = "target", score: str = "score") -> DataFrame:
@@ -164,7 +175,7 @@ def multiclass_metrics(df: DataFrame, labels: list[int], truth: str = "target",
 
 def quadratic_kappa(df: DataFrame, truth: str = "target", pred: str = "pred_label") -> DataFrame:
     """Weighted by the places of the labels among those that occur; null if the truth has one class."""
-    pairs = df.groupBy(F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count("*").alias("n"))
+    pairs = written(df.groupBy(F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count("*").alias("n")), "pairs")
     used = pairs.select(F.explode(F.array("t", "p")).alias("label")).distinct()
     place = used.select("label", F.row_number().over(W.orderBy("label")).alias("at"))
     a, b = place.select(F.col("label").alias("t"), F.col("at").alias("i")), place.select(F.col("label").alias("p"), F.col("at").alias("j"))
@@ -180,10 +191,14 @@ def quadratic_kappa(df: DataFrame, truth: str = "target", pred: str = "pred_labe
 
 
 def histogram(df: DataFrame, score: str, bins: int = 20) -> DataFrame:
-    """bin (from 0), n: equal bins from the least to the largest score, the last one closed."""
-    m = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
-    at = F.least(F.floor((F.col(score) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(bins - 1))
-    counts = df.withColumn("k", F.lit(1)).join(F.broadcast(m.withColumn("k", F.lit(1))), "k").groupBy(F.coalesce(at, F.lit(0)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    """bin (from 0), n: equal bins from the least to the largest score, the last one closed. Null and NaN don't count; one value is in the middle of a range of 1."""
+    v = F.col(score).cast("double")
+    known = df.filter(v.isNotNull() & ~F.isnan(v))
+    lo, hi = known.agg(F.min(v), F.max(v)).first()
+    if lo is not None and lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
+    at = F.when(v == hi, bins - 1).otherwise(F.floor((v - lo) / (hi - lo) * bins)) if lo is not None else F.lit(0)
+    counts = known.groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
     return df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 

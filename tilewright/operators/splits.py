@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.statistics import correlation_p, mann_whitney_p
+from ..plans.storage import unused, written
 from .manifest import concatenated
 from .scores import running
 
@@ -22,20 +27,25 @@ def units(rows: DataFrame, unit: str, label: str, order: str) -> DataFrame:
 
 def _numbered(table: DataFrame, by: list[str], unit: str, seed: int) -> DataFrame:
     """``rn``: the units of a group numbered from 1 in the order of their dice. A group is numbered in 256 ranges of the dice, so a large class isn't one task's."""
-    rows = table.withColumns({"__key": F.struct(F.lit(0), *by), "__dice": dice(seed, unit), "__range": F.shiftright(dice(seed, unit), 24)})
-    inside = F.row_number().over(W.partitionBy("__key", "__range").orderBy("__dice", unit))
-    before = F.sum("__n").over(W.partitionBy("__key").orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
-    ranges = rows.groupBy("__key", "__range").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
-    return rows.withColumn("rn", inside).join(ranges, ["__key", "__range"]).withColumn("rn", F.col("rn") + F.col("__before")).drop("__key", "__dice", "__range", "__before")
+    die, part, n, start = unused(table.columns, "die", "part", "n", "start")
+    rows = table.withColumns({die: dice(seed, unit), part: F.shiftright(dice(seed, unit), 24)})
+    inside = F.row_number().over(W.partitionBy(*by, part).orderBy(die, unit))
+    before = F.sum(n).over(W.partitionBy(*by).orderBy(part).rowsBetween(W.unboundedPreceding, -1))
+    ranges = rows.groupBy(*by, part).agg(F.count("*").alias(n)).withColumn(start, F.coalesce(before, F.lit(0)))
+    same = reduce(lambda a, b: a & b, [F.col(f"own.{c}").eqNullSafe(F.col(f"other.{c}")) for c in [*by, part]])
+    met = rows.withColumn("rn", inside).alias("own").join(ranges.alias("other"), same)
+    return met.select(*[F.col(f"own.{c}") for c in table.columns], (F.col("own.rn") + F.col(f"other.{start}")).alias("rn"))
 
 
 def stratified(table: DataFrame, unit: str, label: str, fraction: float, seed: int, fallback: bool = False) -> DataFrame:
     """``split``: a share of each class's units is val. Quotas are by largest remainder.
 
-    A class needs two units; else it is an error, or with ``fallback`` the units
+    A unit without a class is an error. A class needs two units; else it is an error, or with ``fallback`` the units
     are drawn without regard to classes (one val unit at least).
     """
-    c = table.groupBy(label).agg(F.count("*").alias("n"))
+    c = written(table.groupBy(label).agg(F.count("*").alias("n")), "classes")
+    if c.filter(F.col(label).isNull()).head(1):
+        raise ValueError(f"every unit needs a {label}")
     if c.filter("n < 2").head(1):
         if not fallback:
             raise ValueError("every class needs two units")
@@ -50,7 +60,9 @@ def stratified(table: DataFrame, unit: str, label: str, fraction: float, seed: i
 
 
 def folds(table: DataFrame, unit: str, label: str, k: int, seed: int) -> DataFrame:
-    """``fold``: the units of each class in turn; a class needs k units."""
+    """``fold``: the units of each class in turn; a class needs k units, and a unit a class."""
+    if table.filter(F.col(label).isNull()).head(1):
+        raise ValueError(f"every unit needs a {label}")
     if table.groupBy(label).count().filter(F.col("count") < k).head(1):
         raise ValueError(f"every class needs {k} units")
     return _numbered(table, [label], unit, seed).select(unit, label, ((F.col("rn") - 1) % k).cast("int").alias("fold"))
@@ -124,17 +136,40 @@ def plateau(history: DataFrame, run: str, rate: float, factor: float, patience:
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """``name``: each row's rank with ties averaged; counts are summed per value, then over ranges of values."""
-    at = running(df.groupBy(*by, value).agg(F.count("*").alias("__n")), by, value, {"__below": "__n"})
-    return df.join(at.withColumn(name, F.col("__below") + (F.col("__n") + 1) / 2).drop("__n", "__below"), [*by, value])
+    """``name``: each row's rank in its group with ties averaged; null has the rank null. Counts are summed per value first.
+
+    A null in ``by`` is a group like any other.
+    """
+    n, below = unused([*df.columns, name], "n", "below")
+    at = running(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias(n)), by, value, {below: n})
+    ranks = at.select(*by, value, (F.col(below) + (F.col(n) + 1) / 2).alias(name))
+    same = reduce(lambda a, b: a & b, [F.col(f"own.{c}").eqNullSafe(F.col(f"other.{c}")) for c in [*by, value]])
+    return df.alias("own").join(ranks.alias("other"), same, "left").select(*[F.col(f"own.{c}") for c in df.columns], F.col(f"other.{name}"))
 
 
 def rank_sum(df: DataFrame, variable: str = "variable", group: str = "grp", value: str = "value") -> DataFrame:
     """variable, n0, n1, u (of group 0), delta = 1 - 2u/(n0 n1), magnitude."""
+    return effect(_rank_sums(df, variable, group, value).drop("ties"))
+
+
+def _rank_sums(df: DataFrame, variable: str, group: str, value: str) -> DataFrame:
+    """variable, n0, n1, u and ties (the sum of t^3 - t over groups of equal values); null values don't count."""
+    df = df.filter(F.col(value).isNotNull())
     at = df.groupBy(variable, value).agg(F.count_if(F.col(group) == 0).alias("a"), F.count_if(F.col(group) == 1).alias("b"))
     at = running(at, [variable], value, {"below": "b"})
-    s = at.withColumn("w", F.col("a") * (F.col("below") + F.col("b") / 2)).groupBy(variable).agg(F.sum("a").alias("n0"), F.sum("b").alias("n1"), F.sum("w").alias("u"))
-    return effect(s)
+    same = (F.col("a") + F.col("b")).cast("double")
+    return at.withColumns({"w": F.col("a") * (F.col("below") + F.col("b") / 2), "t": same * same * same - same}).groupBy(variable).agg(F.sum("a").alias("n0"), F.sum("b").alias("n1"), F.sum("w").alias("u"), F.sum("t").alias("ties"))
+
+
+def mann_whitney(df: DataFrame, variable: str = "variable", group: str = "grp", value: str = "value") -> DataFrame:
+    """variable, n0, n1, u, p (two-sided; see ``functions.statistics``). The sums are taken by aggregation; p is worked out for a row a variable."""
+
+    @F.pandas_udf("double")
+    def p_of(u: pd.Series, n0: pd.Series, n1: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([mann_whitney_p(a, int(b), int(c), int(d)) for a, b, c, d in zip(u, n0, n1, ties, strict=True)], dtype="float64")
+
+    s = _rank_sums(df, variable, group, value)
+    return s.select(variable, "n0", "n1", "u", p_of("u", "n0", "n1", "ties").alias("p"))
 
 
 def effect(s: DataFrame) -> DataFrame:
@@ -145,17 +180,29 @@ def effect(s: DataFrame) -> DataFrame:
 
 
 def spearman(df: DataFrame, variable: str = "variable", x: str = "x", y: str = "y") -> DataFrame:
-    """rho: correlation of average ranks per variable."""
-    r = average_ranks(average_ranks(df, [variable], x, "rx"), [variable], y, "ry")
-    return r.groupBy(variable).agg(F.corr("rx", "ry").alias("rho"))
+    """rho, n: correlation of average ranks per variable, over the rows that have both values."""
+    known = written(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(variable, x, y), "pairs")
+    r = average_ranks(average_ranks(known, [variable], x, "rx"), [variable], y, "ry")
+    return r.groupBy(variable).agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+
+
+def spearman_test(df: DataFrame, variable: str = "variable", x: str = "x", y: str = "y") -> DataFrame:
+    """variable, rho, n, p (two-sided, by Student's t)."""
+
+    @F.pandas_udf("double")
+    def p_of(rho: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([correlation_p(None if pd.isna(r) else r, int(k)) for r, k in zip(rho, n, strict=True)], dtype="float64")
+
+    return spearman(df, variable, x, y).withColumn("p", p_of("rho", "n"))
 
 
 def fdr(df: DataFrame, p: str = "p") -> DataFrame:
     """fdr: Benjamini-Hochberg, by reverse running minimum over the tests (a small table: one row per variable)."""
     rank = F.row_number().over(W.orderBy(p, "variable"))
-    raw = df.withColumn("__r", rank).withColumn("__q", F.col(p) * F.count("*").over(W.partitionBy()) / F.col("__r"))
-    low = F.min("__q").over(W.orderBy(F.desc("__r")).rowsBetween(W.unboundedPreceding, 0))
-    return raw.withColumn("fdr", F.least(low, F.lit(1.0))).drop("__r", "__q")
+    r, q = unused(df.columns, "r", "q")
+    raw = df.withColumn(r, rank).withColumn(q, F.col(p) * F.count("*").over(W.partitionBy()) / F.col(r))
+    low = F.min(q).over(W.orderBy(F.desc(r)).rowsBetween(W.unboundedPreceding, 0))
+    return raw.withColumn("fdr", F.least(low, F.lit(1.0))).drop(r, q)
 
 
 def group_summary(df: DataFrame, variable: str = "variable", group: str = "grp", value: str = "value") -> DataFrame:

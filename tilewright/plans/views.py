@@ -20,7 +20,7 @@ def tile_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tile_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tile_predictions(spark, sf_dir)
     return t.withColumns({
-        "review_category": F.when(F.col("event_type") == "error", " Exclude").when(F.col("event_type") == "signup", "SUSPECT ").otherwise("pass"),
+        "review_category": F.when(F.col("event_type") == "error", F.when(F.col("tile") % 3 == 0, "\tExclude\n").otherwise(" Exclude")).when(F.col("event_type") == "signup", F.when(F.col("tile") % 3 == 0, "\xa0SUSPECT\u2003").otherwise("SUSPECT ")).otherwise("pass"),
         "task_label": F.when(F.col("tile") % 17 != 0, F.col("target")),
         "level": (F.col("tile") % 7).cast("int"),
         "tile_path": F.concat(F.when(F.col("tile") % 2 == 0, "/data/").otherwise(""), F.lit("tiles/"), "split", F.lit("/"), F.col("event_type"), F.lit("/t"), F.col("tile"), F.lit(".PNG")),
@@ -52,7 +52,7 @@ def tissue(df: DataFrame) -> DataFrame:
 #: The same views in SQL.
 SQL = {
     "tp": "tp AS (SELECT user_id AS unit, event_id AS tile, least(value / 300, 1.0) AS prob, user_id % 3 AS study, CASE WHEN user_id % 4 = 0 THEN 'val' ELSE 'train' END AS split, CASE WHEN user_id % 5 = 0 THEN 1 ELSE 0 END AS target, event_type FROM events)",
-    "tm": "tm AS (SELECT *, CASE event_type WHEN 'error' THEN ' Exclude' WHEN 'signup' THEN 'SUSPECT ' ELSE 'pass' END AS review_category, CASE WHEN tile % 17 <> 0 THEN target END AS task_label, (tile % 7)::INT AS level, (CASE WHEN tile % 2 = 0 THEN '/data/' ELSE '' END) || 'tiles/' || split || '/' || event_type || '/t' || tile || '.PNG' AS tile_path FROM tp)",
+    "tm": "tm AS (SELECT *, CASE event_type WHEN 'error' THEN CASE WHEN tile % 3 = 0 THEN chr(9) || 'Exclude' || chr(10) ELSE ' Exclude' END WHEN 'signup' THEN CASE WHEN tile % 3 = 0 THEN chr(160) || 'SUSPECT' || chr(8195) ELSE 'SUSPECT ' END ELSE 'pass' END AS review_category, CASE WHEN tile % 17 <> 0 THEN target END AS task_label, (tile % 7)::INT AS level, (CASE WHEN tile % 2 = 0 THEN '/data/' ELSE '' END) || 'tiles/' || split || '/' || event_type || '/t' || tile || '.PNG' AS tile_path FROM tp)",
     "mp": "mx AS (SELECT *, greatest(embedding[1], embedding[2], embedding[3], embedding[4], embedding[5])::DOUBLE AS m FROM embeddings), me AS (SELECT (label * 10 + vec_id % 10)::BIGINT AS unit, vec_id AS tile, (label % 5 + 1)::INT AS target, " + ", ".join(f"exp(embedding[{i}]::DOUBLE - m) AS e{i}" for i in range(1, 6)) + " FROM mx), mp AS (SELECT unit, tile, target, " + ", ".join(f"e{i} / (e1 + e2 + e3 + e4 + e5) AS prob_class_{i}" for i in range(1, 6)) + " FROM me)",
     "comp": "comp AS (SELECT l_orderkey AS slide, l_extendedprice AS area, l_partkey::DOUBLE AS cx, l_suppkey::DOUBLE AS cy, 2000.0 AS slide_w, 100.0 AS slide_h, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount, l_tax, l_shipdate) AS component_rank FROM lineitem)",
     "roi": "roi AS (SELECT p_partkey AS unit, p_partkey * 37 % 5000 AS bbox_x, p_partkey * 91 % 4000 AS bbox_y, p_size::BIGINT * 40 + 50 AS bbox_w, p_partkey % 20 * 70 + 90 AS bbox_h FROM part)",
@@ -62,6 +62,11 @@ SQL = {
 }
 
 
+def stripped(text: str) -> str:
+    """SQL of a text without white space at its ends."""
+    return f"trim({text}, {' || '.join(f'chr({ord(c)})' for c in C.WHITE)})"
+
+
 def sql(body: str, *views: str) -> str:
     needs = {"tm": ["tp"], "topk": ["tp"], "grid": ["roi"], "bins": ["roi", "grid"]}
     order = [v for v in SQL if any(v == x or v in needs.get(x, []) for x in views)]

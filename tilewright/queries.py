@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
@@ -14,24 +11,12 @@ from .operators import scores as S
 from .operators import splits as P
 from .plans import views as V
 from .plans.session import ship
+from .registry import ORACLES, QUERIES, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 CLASSES = [1, 2, 3, 4, 5]
 PROBS = [f"prob_class_{i}" for i in CLASSES]
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _r(name: str, places: int = 9):
     return F.round(name, places).alias(name)
 
@@ -91,12 +76,12 @@ def tile_binary_decision(spark, d):
 # Manifests: filters, cleaning, joins, sets
 
 
-@query(V.sql("SELECT unit, tile, level FROM tm WHERE lower(trim(review_category)) <> 'exclude' AND task_label IS NOT NULL AND level BETWEEN 0 AND 5 AND contains(tile_path, 'tiles/train')", "tm"))
+@query(V.sql(f"SELECT unit, tile, level FROM tm WHERE lower({V.stripped('review_category')}) <> 'exclude' AND task_label IS NOT NULL AND level BETWEEN 0 AND 5 AND contains(tile_path, 'tiles/train')", "tm"))
 def manifest_base_filter(spark, d):
     return M.base_filter(V.tile_manifest(spark, d), contains="tiles/train").select("unit", "tile", "level")
 
 
-@query(V.sql("SELECT unit, tile FROM tm WHERE lower(trim(review_category)) = 'pass' AND task_label IS NOT NULL AND level BETWEEN 0 AND 5", "tm"))
+@query(V.sql(f"SELECT unit, tile FROM tm WHERE lower({V.stripped('review_category')}) = 'pass' AND task_label IS NOT NULL AND level BETWEEN 0 AND 5", "tm"))
 def manifest_exclude_suspect(spark, d):
     kept = M.base_filter(V.tile_manifest(spark, d))
     return M.conditions(kept, {"review_category": C.normal(F.col("review_category")) != "suspect", "is_suspect": F.col("tile") < 0, "level": None}).select("unit", "tile")
@@ -137,27 +122,32 @@ def safe_tokens(spark, d):
     return V.table(spark, d, "pages").select("page_id", C.token(F.col("url")).alias("token"))
 
 
-@query("SELECT event_id, lower(trim(CASE event_id % 7 WHEN 0 THEN ' True' WHEN 1 THEN '1' WHEN 2 THEN 'yes' WHEN 3 THEN 'Y' WHEN 4 THEN 'false' WHEN 5 THEN '' ELSE 'no' END)) IN ('1','true','yes','y') AS wide, lower(trim(CASE event_id % 7 WHEN 0 THEN ' True' WHEN 1 THEN '1' WHEN 2 THEN 'yes' WHEN 3 THEN 'Y' WHEN 4 THEN 'false' WHEN 5 THEN '' ELSE 'no' END)) IN ('1','true','yes') AS narrow FROM events")
+_WORDS = (" True", "1", "yes", "Y", "false", None, "no", "\tyes\n", "\xa0TRUE\u2003", "\x1fy")
+_WORD = V.stripped("CASE event_id % 10 " + " ".join(f"WHEN {i} THEN {' || '.join(f'chr({ord(c)})' for c in w)}" for i, w in enumerate(_WORDS) if w) + " ELSE '' END")
+
+
+@query(f"SELECT event_id, lower({_WORD}) IN ('1', 'true', 'yes', 'y') AS wide, lower({_WORD}) IN ('1', 'true', 'yes') AS narrow FROM events")
 def bool_parse(spark, d):
-    words = F.element_at(F.array(*map(F.lit, (" True", "1", "yes", "Y", "false", None, "no"))), (F.col("event_id") % 7 + 1).cast("int"))
+    words = F.element_at(F.array(*map(F.lit, _WORDS)), (F.col("event_id") % len(_WORDS) + 1).cast("int"))
     return V.table(spark, d, "events").select("event_id", C.truthy(words).alias("wide"), C.truthy(words, C.TRUE_NARROW).alias("narrow"))
 
 
-_RAW = "CASE event_id % 6 WHEN 0 THEN ' 3 ' WHEN 1 THEN '2.0' WHEN 2 THEN 'x' WHEN 3 THEN '' WHEN 4 THEN '6' END"
+_RAWS = (" 3 ", "2.0", "x", "", "6", None, "\t", "\xa0\n", "\t3\n", "\u20032")
+_RAW = V.stripped("CASE event_id % 10 " + " ".join(f"WHEN {i} THEN {' || '.join(f'chr({ord(c)})' for c in w) or chr(39) * 2}" for i, w in enumerate(_RAWS) if w is not None) + " END")
 
 
 def _raw(spark, d):
-    words = F.element_at(F.array(*map(F.lit, (" 3 ", "2.0", "x", "", "6", None))), (F.col("event_id") % 6 + 1).cast("int"))
+    words = F.element_at(F.array(*map(F.lit, _RAWS)), (F.col("event_id") % len(_RAWS) + 1).cast("int"))
     return V.table(spark, d, "events").select("event_id", words.alias("raw"))
 
 
-@query(f"SELECT event_id, try_cast(trim({_RAW}) AS DOUBLE) AS num, coalesce(trunc(try_cast(trim({_RAW}) AS DOUBLE))::INT, 0) AS whole, nullif(trim({_RAW}), '') AS filled FROM events")
+@query(f"SELECT event_id, try_cast({_RAW} AS DOUBLE) AS num, coalesce(trunc(try_cast({_RAW} AS DOUBLE))::INT, 0) AS whole, nullif({_RAW}, '') AS filled FROM events")
 def numeric_coerce(spark, d):
     c = F.col("raw")
     return _raw(spark, d).select("event_id", C.number(c).alias("num"), C.whole(c, 0).alias("whole"), C.filled(c).alias("filled"))
 
 
-@query(f"SELECT event_id, CASE trunc(try_cast(trim({_RAW}) AS DOUBLE))::INT WHEN 2 THEN 0 WHEN 3 THEN 1 END AS target FROM events")
+@query(f"SELECT event_id, CASE trunc(try_cast({_RAW} AS DOUBLE))::INT WHEN 2 THEN 0 WHEN 3 THEN 1 END AS target FROM events")
 def label_map(spark, d):
     return _raw(spark, d).select("event_id", C.mapped(F.col("raw"), {"2": 0, "3": 1, "6": 9}, [0, 1]).alias("target"))
 
@@ -337,9 +327,15 @@ def qwk(spark, d):
     return S.quadratic_kappa(S.unit_classes(V.tile_probs(spark, d), PROBS)).select(_r("kappa"))
 
 
-@query(V.sql(", m AS (SELECT min(prob) AS lo, max(prob) AS hi FROM tp), h AS (SELECT least(floor((prob - lo) / (hi - lo) * 20), 19)::INT AS bin FROM tp, m) SELECT r::INT AS bin, count(h.bin) AS n FROM range(20) t(r) LEFT JOIN h ON h.bin = r GROUP BY r", "tp"))
+_HIST = ", v AS (SELECT 'scores' AS kind, CASE WHEN tile % 13 <> 0 THEN prob END AS v FROM tp UNION ALL SELECT 'one value', CASE WHEN tile % 13 <> 0 THEN 0.25 END FROM tp), m0 AS (SELECT kind, min(v) AS a, max(v) AS b FROM v GROUP BY kind), m AS (SELECT kind, CASE WHEN a = b THEN a - 0.5 ELSE a END AS lo, CASE WHEN a = b THEN b + 0.5 ELSE b END AS hi FROM m0), h AS (SELECT kind, CASE WHEN v = hi THEN 19 ELSE floor((v - lo) / (hi - lo) * 20)::INT END AS bin FROM v JOIN m USING (kind) WHERE v IS NOT NULL) SELECT k.kind, r::INT AS bin, count(h.bin) AS n FROM range(20) t(r) CROSS JOIN (SELECT DISTINCT kind FROM v) k LEFT JOIN h ON h.bin = r AND h.kind = k.kind GROUP BY ALL"
+
+
+@query(V.sql(_HIST, "tp"))
 def score_histogram(spark, d):
-    return S.histogram(V.tile_predictions(spark, d), "prob")
+    known = F.col("tile") % 13 != 0
+    t = V.tile_predictions(spark, d).select(F.when(known, F.col("prob")).alias("prob"), F.when(known, 0.25).alias("one"))
+    kinds = [S.histogram(t, c).select(F.lit(kind).alias("kind"), "bin", "n") for kind, c in (("scores", "prob"), ("one value", "one"))]
+    return kinds[0].union(kinds[1])
 
 
 @query(V.sql(", c AS (SELECT target, count(*) AS n FROM tp GROUP BY target) SELECT v AS target, coalesce(n, 0) AS n, round(coalesce((SELECT sum(n) FROM c) / (n * 3.0), 0), 9) AS weight FROM (VALUES (0),(1),(2)) g(v) LEFT JOIN c ON target = v", "tp"))
@@ -607,6 +603,29 @@ def screen_spearman(spark, d):
     return P.spearman(_screen(spark, d), x="value", y="l_quantity").select("variable", _r("rho", 8))
 
 
+def _simpson(table: str, keep: str, density: str, low: str, width: int, steps: int = 4000) -> str:
+    """SQL of twice the area under a density from ``low`` on (``x`` in it), for each row of a table."""
+    h = width / steps
+    return f"SELECT {keep}, least(1.0, 2 * sum((CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {density}) * {h} / 3) AS p FROM (SELECT *, {low} + i * {h} AS x FROM {table} CROSS JOIN range({steps + 1}) t(i)) GROUP BY ALL"
+
+
+_TIES = ", tg AS (SELECT variable, sum(t * t * t - t) AS ties FROM (SELECT variable, value, count(*)::DOUBLE AS t FROM v GROUP BY ALL) GROUP BY variable), z AS (SELECT variable, n0, n1, u, (greatest(u, n0 * n1 - u) - n0 * n1 / 2.0 - 0.5) / sqrt(n0 * n1 / 12.0 * (n0 + n1 + 1 - ties / ((n0 + n1) * (n0 + n1 - 1.0)))) AS z FROM u JOIN tg USING (variable)), pv AS (" + _simpson("z", "variable, n0, n1, u, z", "exp(-x * x / 2) / sqrt(2 * pi())", "z", 12) + ")"
+
+
+@query(_SCREEN + _TIES + " SELECT variable, n0, n1, u, round(p, 9) AS p FROM pv")
+def screen_mannwhitney_p(spark, d):
+    return P.mann_whitney(_screen(ship(spark), d)).withColumn("p", F.round("p", 9))
+
+
+_STUDENT = ", rh AS (SELECT variable, corr(rk, rq) AS rho, count(*) AS n FROM r GROUP BY variable), st AS (SELECT *, abs(rho) * sqrt((n - 2) / greatest((1 - rho) * (1 + rho), 1e-300)) AS s FROM rh), pv AS (" + _simpson("st", "variable, rho, n, s", "exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0) - (n - 1) / 2.0 * ln(1 + x * x / (n - 2))) / sqrt((n - 2) * pi())", "s", 40, 8000) + ")"
+
+
+@query(_SCREEN + _STUDENT + " SELECT variable, n, round(rho, 8) AS rho, round(p, 8) AS p FROM pv")
+def screen_spearman_p(spark, d):
+    found = P.spearman_test(_screen(ship(spark), d), x="value", y="l_quantity")
+    return found.select("variable", "n", _r("rho", 8), _r("p", 8))
+
+
 _PVALS = "p AS (SELECT p_brand AS variable, round(min(p_retailprice) / 100000, 9) AS p FROM part GROUP BY p_brand)"
 _FDR = f"WITH {_PVALS}, r AS (SELECT *, row_number() OVER (ORDER BY p, variable) AS k, count(*) OVER () AS n FROM p), f AS (SELECT variable, p, least(min(p * n / k) OVER (ORDER BY k DESC), 1.0) AS fdr FROM r)"
 
@@ -852,3 +871,8 @@ def screen_shortlist(spark, d):
     part = V.table(spark, d, "part").groupBy(F.col("p_brand").alias("variable"))
     tables = {kind: part.agg(F.round(f("p_retailprice"), 6).alias("priority_score")) for kind, f in (("ordinal", F.max), ("quantitative", F.min))}
     return P.shortlist(tables, ["variable", "priority_score"])
+
+
+from . import raster_queries, source_queries, training_queries  # noqa: E402, F401  they register theirs
+
+__all__ = ["ORACLES", "QUERIES"]
