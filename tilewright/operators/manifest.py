@@ -16,7 +16,7 @@ from ..plans import storage
 def columns_first(df: DataFrame, first: list[str]) -> DataFrame:
     """Priority columns (null where missing), then the others in their order."""
     df = df.withColumns({c: F.lit(None).cast("string") for c in first if c not in df.columns})
-    return df.select(*first, *[c for c in df.columns if c not in first])
+    return df.select(*[F.col(f"`{c}`") for c in [*first, *[c for c in df.columns if c not in first]]])
 
 
 def normal_names(df: DataFrame, strict: bool = True) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..operators.manifest import concatenated
 from ..plans.storage import written
-from .tables import list_files
+from .tables import inferred, list_files
 
 #: What a dialect is told from; a header that is longer is read up to its end.
 HEAD, LONGEST_HEADER = 4096, 1 << 20
@@ -184,20 +184,6 @@ def _workbooks(spark: SparkSession, paths: list[str], sheet: str | None) -> list
 # Both
 
 
-def inferred(df: DataFrame, sentinels: tuple[str, ...] = ("", "nan", "na", "n/a", "null", "none")) -> DataFrame:
-    """Text columns as long, double or boolean where all their values are; ``sentinels`` (in any case, trimmed) are null. Other columns stay. One pass over the text."""
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not texts:
-        return df
-    at = lambda c: F.col(f"`{c}`")
-    known = df.withColumns({c: F.when(~F.lower(F.trim(at(c))).isin(*sentinels), at(c)) for c in texts})
-    plain = {c: F.trim(at(c)) for c in texts}
-    tests = {"bigint": lambda c: plain[c].rlike(r"^[+-]?\d{1,18}$"), "double": lambda c: plain[c].rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), "boolean": lambda c: F.lower(plain[c]).isin("true", "false")}
-    counts = known.agg(*[F.count_if(~t(c)).alias(f"{i} {kind}") for i, c in enumerate(texts) for kind, t in tests.items()], *[F.count(at(c)).alias(f"{i} n") for i, c in enumerate(texts)]).first().asDict()
-    chosen = {c: next((kind for kind in tests if not counts[f"{i} {kind}"]), None) for i, c in enumerate(texts) if counts[f"{i} n"]}
-    return known.withColumns({c: plain[c].cast(kind) for c, kind in chosen.items() if kind})
-
-
 def read_manifests(spark: SparkSession, path: str, infer: bool = True, strict: bool = False, sheet: str | None = None, multi_line: bool = False) -> DataFrame:
     """A file, or all the files of a folder that are .csv or .xlsx, in one table; columns are matched by name, missing ones are null.
 

@@ -17,8 +17,8 @@ def sniff(head: str) -> str:
     return max(",;\t", key=lambda d: (line.count(d), d == ","))
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None, schema: str | T.StructType | None = None, multi_line: bool = False) -> DataFrame:
-    """All columns as text (or by ``schema``; what doesn't fit is null); the delimiter is sniffed, a byte-order mark dropped, empty fields are null.
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, schema: str | T.StructType | None = None, multi_line: bool = False, infer: bool = False) -> DataFrame:
+    """All columns as text (or by ``schema``; what doesn't fit is null; with ``infer`` by their values, see ``inferred``); the delimiter is sniffed, a byte-order mark dropped, empty fields are null.
 
     Fields with line breaks need ``multi_line``, which reads a file in one task.
     """
@@ -27,7 +27,22 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, schema: str
         sep = sniff(first[0].value if first else "")
     reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multi_line)
     df = (reader.schema(schema).option("enforceSchema", True) if schema else reader).csv(path)
-    return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+    df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+    return inferred(df) if infer and not schema else df
+
+
+def inferred(df: DataFrame, sentinels: tuple[str, ...] = ("", "nan", "na", "n/a", "null", "none")) -> DataFrame:
+    """Text columns as long, double or boolean where all their values are; ``sentinels`` (in any case, trimmed) are null. Other columns stay. One pass over the text."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return df
+    at = lambda c: F.col(f"`{c}`")
+    known = df.withColumns({c: F.when(~F.lower(F.trim(at(c))).isin(*sentinels), at(c)) for c in texts})
+    plain = {c: F.trim(at(c)) for c in texts}
+    tests = {"bigint": lambda c: plain[c].rlike(r"^[+-]?\d{1,18}$"), "double": lambda c: plain[c].rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), "boolean": lambda c: F.lower(plain[c]).isin("true", "false")}
+    counts = known.agg(*[F.count_if(~t(c)).alias(f"{i} {kind}") for i, c in enumerate(texts) for kind, t in tests.items()], *[F.count(at(c)).alias(f"{i} n") for i, c in enumerate(texts)]).first().asDict()
+    chosen = {c: next((kind for kind in tests if not counts[f"{i} {kind}"]), None) for i, c in enumerate(texts) if counts[f"{i} n"]}
+    return known.withColumns({c: plain[c].cast(kind) for c, kind in chosen.items() if kind})
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", sep: str = ",") -> None:
