@@ -192,7 +192,9 @@ def test_verified_copies_inside_a_group(spark, monkeypatch):
     assert want == [5 * g + i for g in range(4) for i in (2, 3, 4)]
     assert sorted(r.doc_id for r in simhash.verified_copies(docs).collect()) == want
     monkeypatch.setattr(simhash, "PAIRS", 0)  # rounds along stars until none finds a link
+    monkeypatch.setattr(simhash, "LARGE", 1)
     monkeypatch.setattr(simhash, "HOT", 2)
+    monkeypatch.setattr(simhash, "MOST_OFTEN", 1)  # more frequent shingles than are remembered
     assert sorted(r.doc_id for r in simhash.verified_copies(docs).collect()) == want
 
 
@@ -211,6 +213,7 @@ def test_a_chain_is_one_group_by_every_path(spark, monkeypatch, ids, radius, pai
     chain = {tuple(sorted((ids[0], ids[1]))), tuple(sorted((ids[1], ids[2])))}
     assert near == chain
     monkeypatch.setattr(simhash, "PAIRS", pairs)
+    monkeypatch.setattr(simhash, "LARGE", 32 if pairs else 1)
     docs = ship(spark).createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.verified_copies(docs, radius=radius).collect()) == [2, 3]
 

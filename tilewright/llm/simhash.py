@@ -52,6 +52,10 @@ SAMPLED, LEAST_SAMPLED, MOST_OFTEN = 8, 8_000, 200_000
 SENT = 1_000_000
 #: Pairs a row beyond which rounds join the alike along stars before all rows of a key are compared.
 PAIRS = 4
+#: Rows beyond which a key is large, and rows of its largest component that others are compared with in a round.
+LARGE, HEADS = 32, 4
+#: Keys before a key that tell whether two rows had met earlier.
+EARLY = 32
 #: Rows of a key that one part of its comparison has, about.
 HOT = 256
 
@@ -344,8 +348,9 @@ def _often(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarra
     return hashes[order], counts[order]
 
 
-def sharing(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], shingle: int, least: float) -> DataFrame:
-    """key, doc_id, n (the text's distinct shingles): prefix shingles that several rows of doc_id, text have."""
+def sharing(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(prefixes, shared): doc_id, n (the text's distinct shingles), keys (its prefix, in order) of each row of doc_id, text; and key,
+    doc_id, n, early (the first ``EARLY`` of the keys before it at most) for the keys that several rows have."""
     kind = texts.select("doc_id", F.lit(0).cast("long").alias("n"), F.array(F.lit(0).cast("long")).alias("keys")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,15 +364,17 @@ def sharing(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], shingle: int
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys).view(np.int64)))
             yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), lists], names=kind.names)
 
-    keys = saved(texts.select("doc_id", "text").mapInArrow(run, kind), "prefixes").select(F.explode("keys").alias("key"), "doc_id", "n")
+    prefixes = saved(texts.select("doc_id", "text").mapInArrow(run, kind), "prefixes")
+    keys = prefixes.select("doc_id", "n", "keys", F.posexplode("keys").alias("at", "key"))
+    keys = keys.select("key", "doc_id", "n", F.slice("keys", F.lit(1), F.least("at", F.lit(EARLY))).alias("early"))
     several = saved(keys.groupBy("key").agg(F.count("*").alias("g")).filter("g > 1").select("key"), "several")  # a table, so that Spark may split a hot key's side
-    return keys.join(several, "key")
+    return prefixes, keys.join(several, "key")
 
 
 def _mixed(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``shared`` with each row's root by ``links``; and key, g (its rows), top, main (its largest component, and how many rows that has) of the keys of several components."""
     roots = saved(components(links.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))), "roots")
-    named = saved(shared.join(roots, shared["doc_id"] == roots["node"], "left").select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root")), "named")
+    named = saved(shared.join(roots, shared["doc_id"] == roots["node"], "left").select("key", "doc_id", "n", "early", F.coalesce("root", "doc_id").alias("root")), "named")
     each = named.groupBy("key", "root").agg(F.count("*").alias("c"))
     per = each.groupBy("key").agg(F.sum("c").alias("g"), F.count("*").alias("kinds"), F.max(F.struct("c", (-F.col("root")).alias("least"))).alias("most"))
     return named, saved(per.filter("kinds > 1").select("key", "g", F.col("most.c").alias("top"), (-F.col("most.least")).alias("main")), "mixed")
@@ -379,25 +386,29 @@ def remaining_links(texts: DataFrame, links: DataFrame, shingle: int = 5, least:
     Two such texts share a shingle of their prefixes (see ``prefix``). Only rows of
     a key that aren't joined yet need to be compared, and all of them are: each
     row outside the key's largest component with all rows of other components.
-    While that would be over ``PAIRS`` pairs a row, rounds compare such rows with
-    one row of the largest component in most of their keys, and join the alike,
-    until a round finds none. So a large group of copies is compared along a star,
+    While the keys of over ``LARGE`` rows would make over ``PAIRS`` pairs a row,
+    rounds compare such rows with ``HEADS`` rows of the largest component, those
+    that most of their keys have, and join the alike, until a round finds none. So a large group of copies is compared along a star,
     and every link to another group is still found, whatever was joined before.
-    Shingles outside both prefixes can be shared by as many as the longer rest
-    has, so pairs that have too few keys in common for that are left out before
-    any text is fetched.
+    Two rows meet once, at the first key that both have. Shingles outside both
+    prefixes can be shared by as many as the longer rest has, so pairs that have
+    too few keys in common for that are left out before any text is fetched.
     """
-    shared, found = saved(sharing(texts, _often(texts, texts.count(), shingle), shingle, least), "shared"), []
+    prefixes, shared = sharing(texts, _often(texts, texts.count(), shingle), shingle, least)
+    shared, found = saved(shared, "shared"), []
     alike = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9
     while True:
         named, mixed = _mixed(shared, links)
-        pairs, rows = mixed.agg(F.sum((F.col("g") - F.col("top")) * F.col("g")), F.sum("g")).first()
+        large = F.col("g") > LARGE
+        pairs, rows = mixed.agg(F.coalesce(F.sum(F.when(large, (F.col("g") - F.col("top")) * F.col("g"))), F.lit(0)), F.sum("g")).first()
         if not rows or pairs <= PAIRS * rows:
             break
-        inside = named.join(mixed, "key").withColumn("in_main", F.col("root") == F.col("main"))
-        heads = saved(inside.filter("in_main").groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("head")).select("key", F.col("head.doc_id").alias("leader"), F.col("head.n").alias("m")), "heads")
-        often = inside.filter("NOT in_main").select("key", "doc_id", "n").join(heads, "key").filter(alike).groupBy("doc_id", "leader").count()
-        best = often.groupBy("doc_id").agg(F.max(F.struct("count", "leader")).alias("best")).select("doc_id", F.col("best.leader").alias("leader"))
+        inside = named.join(mixed.filter(large), "key").withColumn("in_main", F.col("root") == F.col("main"))
+        drawn = F.array(F.min(F.struct("doc_id", "n")), *[F.min_by(F.struct("doc_id", "n"), F.xxhash64(F.lit(i), "doc_id")) for i in range(1, HEADS)])  # the same ones for most keys of a group
+        heads = inside.filter("in_main").groupBy("key").agg(drawn.alias("heads")).select("key", F.posexplode("heads").alias("at", "head"))
+        heads = saved(heads.select("key", "at", F.col("head.doc_id").alias("leader"), F.col("head.n").alias("m")), "heads")
+        often = inside.filter("NOT in_main").select("key", "doc_id", "n").join(heads, "key").filter(alike).groupBy("doc_id", "at", "leader").count()
+        best = often.groupBy("doc_id", "at").agg(F.max(F.struct("count", "leader")).alias("best")).select("doc_id", F.col("best.leader").alias("leader")).distinct()
         near = saved(_near(best, texts, shingle, least), "near")
         if near.isEmpty():
             break
@@ -406,14 +417,15 @@ def remaining_links(texts: DataFrame, links: DataFrame, shingle: int = 5, least:
     if rows:
         cut = F.ceil((F.col("g") - F.col("top")) / HOT)
         inside = named.join(mixed, "key").withColumn("in_main", F.col("root") == F.col("main"))
-        own = inside.filter("NOT in_main").select("key", "doc_id", "n", "root", F.pmod(F.xxhash64("doc_id"), cut).alias("part"))
-        other = inside.select("key", F.col("doc_id").alias("leader"), F.col("n").alias("m"), F.col("root").alias("other"), "in_main", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)).alias("part"))
-        met = own.join(other, ["key", "part"]).filter(alike & (F.col("root") != F.col("other")) & (F.col("in_main") | (F.col("leader") < F.col("doc_id"))))
-        ordered = met.select(F.greatest("doc_id", "leader").alias("doc_id"), F.least("doc_id", "leader").alias("leader"), (F.col("n") + F.col("m")).alias("both"), F.greatest("n", "m").alias("n"))
-        rest = F.ceil(least * F.col("n") - 1e-9) - 1
-        enough = F.col("count") + rest >= least / (1 + least) * F.col("both") - 1e-9
-        pairs = ordered.groupBy("doc_id", "leader", "n", "both").count().filter(enough)
-        found.append(saved(_near(pairs.select("doc_id", "leader"), texts, shingle, least), "near"))
+        own = inside.filter("NOT in_main").select("key", "doc_id", "n", "root", "early", F.pmod(F.xxhash64("doc_id"), cut).alias("part"))
+        other = inside.select("key", F.col("doc_id").alias("leader"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("early").alias("before"), "in_main", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)).alias("part"))
+        once = (F.col("root") != F.col("other")) & (F.col("in_main") | (F.col("leader") < F.col("doc_id"))) & ~F.arrays_overlap("early", "before")  # at the first key that both have
+        met = own.join(other, ["key", "part"]).filter(alike & once)
+        pairs = met.select(F.greatest("doc_id", "leader").alias("doc_id"), F.least("doc_id", "leader").alias("leader")).distinct()
+        both = pairs.join(prefixes, "doc_id").join(prefixes.select(F.col("doc_id").alias("leader"), F.col("n").alias("m"), F.col("keys").alias("others")), "leader")
+        rest = F.ceil(least * F.greatest("n", "m") - 1e-9) - 1
+        enough = F.size(F.array_intersect("keys", "others")) + rest >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9
+        found.append(saved(_near(both.filter(enough).select("doc_id", "leader").distinct(), texts, shingle, least), "near"))
     return reduce(DataFrame.union, found) if found else links.limit(0)
 
 
