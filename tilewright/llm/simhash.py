@@ -33,7 +33,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -54,7 +54,7 @@ SENT = 1_000_000
 PAIRS = 4
 #: Rows beyond which a key is large, and rows of its largest component that others are compared with in a round.
 LARGE, HEADS = 32, 4
-#: Keys before a key that tell whether two rows had met earlier.
+#: Large keys before a key that tell whether two rows had met earlier.
 EARLY = 32
 #: Rows of a key that one part of its comparison has, about.
 HOT = 256
@@ -350,7 +350,7 @@ def _often(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarra
 
 def sharing(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
     """(prefixes, shared): doc_id, n (the text's distinct shingles), keys (its prefix, in order) of each row of doc_id, text; and key,
-    doc_id, n, early (the first ``EARLY`` of the keys before it at most) for the keys that several rows have."""
+    doc_id, n, tag (of the prefix), at (its place there) for the keys that several rows have."""
     kind = texts.select("doc_id", F.lit(0).cast("long").alias("n"), F.array(F.lit(0).cast("long")).alias("keys")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,8 +365,7 @@ def sharing(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], shingle: int
             yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), lists], names=kind.names)
 
     prefixes = saved(texts.select("doc_id", "text").mapInArrow(run, kind), "prefixes")
-    keys = prefixes.select("doc_id", "n", "keys", F.posexplode("keys").alias("at", "key"))
-    keys = keys.select("key", "doc_id", "n", F.slice("keys", F.lit(1), F.least("at", F.lit(EARLY))).alias("early"))
+    keys = prefixes.select("doc_id", "n", F.xxhash64("keys").alias("tag"), F.posexplode("keys").alias("at", "key")).select("key", "doc_id", "n", "tag", "at")
     several = saved(keys.groupBy("key").agg(F.count("*").alias("g")).filter("g > 1").select("key"), "several")  # a table, so that Spark may split a hot key's side
     return prefixes, keys.join(several, "key")
 
@@ -374,12 +373,48 @@ def sharing(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], shingle: int
 def _mixed(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``shared`` with each row's root by ``links``; and key, g (its rows), top, main (its largest component, and how many rows that has) of the keys of several components."""
     roots = saved(components(links.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))), "roots")
-    named = saved(shared.join(roots, shared["doc_id"] == roots["node"], "left").select("key", "doc_id", "n", "early", F.coalesce("root", "doc_id").alias("root")), "named")
+    named = saved(shared.join(roots, shared["doc_id"] == roots["node"], "left").select("key", "doc_id", "n", "tag", "at", F.coalesce("root", "doc_id").alias("root")), "named")
     each = named.groupBy("key", "root").agg(F.count("*").alias("c"))
     per = each.groupBy("key").agg(F.sum("c").alias("g"), F.count("*").alias("kinds"), F.max(F.struct("c", (-F.col("root")).alias("least"))).alias("most"))
     return named, saved(per.filter("kinds > 1").select("key", "g", F.col("most.c").alias("top"), (-F.col("most.least")).alias("main")), "mixed")
 
 
+def _met(named: DataFrame, mixed: DataFrame, more: list[str], least: float) -> DataFrame:
+    """Rows (own columns, and others' behind an underscore) that have a key in common and aren't joined; one of them is outside the key's largest component."""
+    cut = F.ceil((F.col("g") - F.col("top")) / HOT)
+    inside = named.join(mixed, "key").withColumn("in_main", F.col("root") == F.col("main"))
+    columns = ["doc_id", "n", "root", *more]
+    own = inside.filter("NOT in_main").select("key", *columns, F.pmod(F.xxhash64("doc_id"), cut).alias("part"))
+    other = inside.select("key", *[F.col(c).alias(f"_{c}") for c in columns], "in_main", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)).alias("part"))
+    alike = (F.least("n", "_n") >= least * F.greatest("n", "_n") - 1e-9) & (F.col("root") != F.col("_root"))
+    return own.join(other, ["key", "part"]).filter(alike & (F.col("in_main") | (F.col("_doc_id") < F.col("doc_id"))))
+
+
+def _enough(shared: Column, least: float) -> Column:
+    """Whether texts of n and _n shingles can have the similarity ``least`` if their prefixes share so many."""
+    return shared + F.ceil(least * F.greatest("n", "_n") - 1e-9) - 1 >= least / (1 + least) * (F.col("n") + F.col("_n")) - 1e-9
+
+
+def _by_small_keys(named: DataFrame, mixed: DataFrame, least: float) -> DataFrame:
+    """doc_id, leader: pairs that share enough keys, by counting where they meet; right for pairs that share no large key."""
+    met = _met(named, mixed.filter(F.col("g") <= LARGE), [], least)
+    ordered = met.select(F.greatest("doc_id", "_doc_id").alias("doc_id"), F.least("doc_id", "_doc_id").alias("leader"), F.least("n", "_n").alias("n"), F.greatest("n", "_n").alias("_n"))
+    return ordered.groupBy("doc_id", "leader", "n", "_n").count().filter(_enough(F.col("count"), least)).select("doc_id", "leader")
+
+
+def _by_large_keys(named: DataFrame, mixed: DataFrame, prefixes: DataFrame, least: float) -> DataFrame:
+    """doc_id, leader: pairs that share a large key and enough keys in all. They meet once, at the first large key that both have (or again behind the first ``EARLY``)."""
+    large = mixed.filter(F.col("g") > LARGE)
+    rows = saved(named.join(large.select("key"), "key"), "large")
+    first = rows.groupBy("doc_id", "tag").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "key"))), 1, EARLY).alias("first"))
+    early = F.transform(F.filter("first", lambda x: x["at"] < F.col("at")), lambda x: x["key"]).alias("early")
+    rows = saved(rows.join(first, ["doc_id", "tag"]).select("key", "doc_id", "n", "root", early), "early")
+    met = _met(rows, large, ["early"], least).filter(~F.arrays_overlap("early", "_early"))
+    pairs = met.select(F.greatest("doc_id", "_doc_id").alias("doc_id"), F.least("doc_id", "_doc_id").alias("leader")).distinct()
+    both = pairs.join(prefixes, "doc_id").join(prefixes.select(F.col("doc_id").alias("leader"), F.col("n").alias("_n"), F.col("keys").alias("_keys")), "leader")
+    return both.filter(_enough(F.size(F.array_intersect("keys", "_keys")), least)).select("doc_id", "leader")
+
+
 def remaining_links(texts: DataFrame, links: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id, leader: more pairs of the similarity ``least``, which with ``links`` (a written table of such pairs) join all documents that any chain of such pairs does.
 
@@ -390,7 +425,7 @@ def remaining_links(texts: DataFrame, links: DataFrame, shingle: int = 5, least:
     rounds compare such rows with ``HEADS`` rows of the largest component, those
     that most of their keys have, and join the alike, until a round finds none. So a large group of copies is compared along a star,
     and every link to another group is still found, whatever was joined before.
-    Two rows meet once, at the first key that both have. Shingles outside both
+    Two rows meet in large keys once, at the first that both have. Shingles outside both
     prefixes can be shared by as many as the longer rest has, so pairs that have
     too few keys in common for that are left out before any text is fetched.
     """
@@ -415,17 +450,8 @@ def remaining_links(texts: DataFrame, links: DataFrame, shingle: int = 5, least:
         found.append(near)
         links = saved(links.union(near), "joined")
     if rows:
-        cut = F.ceil((F.col("g") - F.col("top")) / HOT)
-        inside = named.join(mixed, "key").withColumn("in_main", F.col("root") == F.col("main"))
-        own = inside.filter("NOT in_main").select("key", "doc_id", "n", "root", "early", F.pmod(F.xxhash64("doc_id"), cut).alias("part"))
-        other = inside.select("key", F.col("doc_id").alias("leader"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("early").alias("before"), "in_main", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)).alias("part"))
-        once = (F.col("root") != F.col("other")) & (F.col("in_main") | (F.col("leader") < F.col("doc_id"))) & ~F.arrays_overlap("early", "before")  # at the first key that both have
-        met = own.join(other, ["key", "part"]).filter(alike & once)
-        pairs = met.select(F.greatest("doc_id", "leader").alias("doc_id"), F.least("doc_id", "leader").alias("leader")).distinct()
-        both = pairs.join(prefixes, "doc_id").join(prefixes.select(F.col("doc_id").alias("leader"), F.col("n").alias("m"), F.col("keys").alias("others")), "leader")
-        rest = F.ceil(least * F.greatest("n", "m") - 1e-9) - 1
-        enough = F.size(F.array_intersect("keys", "others")) + rest >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9
-        found.append(saved(_near(both.filter(enough).select("doc_id", "leader").distinct(), texts, shingle, least), "near"))
+        pairs = _by_small_keys(named, mixed, least).union(_by_large_keys(named, mixed, prefixes, least))
+        found.append(saved(_near(pairs.distinct(), texts, shingle, least), "near"))
     return reduce(DataFrame.union, found) if found else links.limit(0)
 
 
