@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.functions import columns as C
+from tilewright.operators import groups as G
 from tilewright.operators import manifest as M
 from tilewright.operators import regions as R
 from tilewright.operators import scores as S
 from tilewright.operators import splits as P
+from tilewright.plans import views as V
 
 
 def pairs(spark, matrix):
@@ -275,3 +277,17 @@ def test_slide_paths_that_lack_all(spark):
 def test_random_fallback(spark):
     df = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "unit int, target int")
     assert P.stratified(df, "unit", "target", 0.5, 1, fallback=True).filter("split = 'val'").count() == 2
+
+
+def test_boxes_are_dealt_by_their_tiles_and_units_stay_in_their_task(spark, monkeypatch):
+    monkeypatch.setattr(G, "ROWS", 50)
+    boxes = spark.createDataFrame([(i, 10 * i, 0, 128 * 9, 128 * 10) for i in range(40)], "unit long, bbox_x long, bbox_y long, bbox_w long, bbox_h long").coalesce(1)
+    tiles = V.tissue(R.grid(boxes, 256, 128, by="unit"))
+    per = tiles.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count_distinct("unit").alias("u")).collect()
+    assert sum(r.n for r in per) == 40 * 72 and sum(r.u for r in per) == 40 and len(per) > 16  # 58 tasks
+    assert R.grid(boxes, 256, 128).rdd.getNumPartitions() == 58
+    for picked in (R.seeds(R.bins(tiles, 256, 3), 5), R.round_robin(R.bins(tiles, 256, 3), 5), R.scan_order(tiles, 5)):
+        assert len(picked.select(F.spark_partition_id().alias("p")).distinct().collect()) == len(per)
+    seeds = {(r.unit, r.tile_x, r.tile_y) for r in R.seeds(R.bins(tiles, 256, 3), 5).collect()}
+    far = R.spread(tiles, 8, 256, normalised=True, n_bins=3).collect()
+    assert len(far) == 320 and seeds == {(r.unit, r.tile_x, r.tile_y) for r in far if r.pick <= 5}

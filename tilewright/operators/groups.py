@@ -7,10 +7,32 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.storage import unused
+
+#: Rows of a task, about: tables are dealt to as many tasks as their rows ask for, so a task's memory doesn't grow with a table.
+ROWS = 500_000
+
+
+def tasks(spark: SparkSession, rows: int) -> int:
+    """How many tasks that many rows are dealt to: the session's number of shuffle partitions at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+
+
+def dealt(table: DataFrame, *keys: str) -> DataFrame:
+    """A stored table with whole groups in one task each; it is counted, which reads no rows of a Parquet table."""
+    return table.repartition(tasks(table.sparkSession, table.count()), *keys)
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """A last column with each row's number in its group: groups are whole and sorted in their tasks, and are left where they are if the rows are dealt by some of the keys."""
+    (number,) = unused(rows.columns, "row")
+    return rows.withColumn(number, F.row_number().over(W.partitionBy(*keys).orderBy(*(order or keys))))
+
 
 def _changes(columns: list) -> np.ndarray:
     """Rows (not the first) that differ from the one before in any of the columns."""
@@ -38,6 +60,7 @@ def in_groups(rows: DataFrame, keys: list[str], order: list[str], work: Callable
         for b in batches:
             if not b.num_rows:
                 continue
+            b = b.select(b.schema.names[:-1])
             first = _changes([b.column(i) for i in range(len(keys))])
             if not held or any(held[-1].column(i)[-1] != b.column(i)[0] for i in range(len(keys))):
                 first = np.r_[0, first]
@@ -53,7 +76,7 @@ def in_groups(rows: DataFrame, keys: list[str], order: list[str], work: Callable
 
     rest = [c for c in rows.columns if c not in {*keys, *order}]
     known = rows.select(*keys, *order, *rest).filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
-    return known.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, kind)
+    return numbered(known, keys, order).mapInArrow(run, kind)
 
 
 def typed(rows: DataFrame, *names: str, **more: str) -> T.StructType:

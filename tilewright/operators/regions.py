@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
+from .groups import numbered, tasks
 
 BOX = ["bbox_x", "bbox_y", "bbox_w", "bbox_h"]
 
@@ -150,10 +151,18 @@ def _steps(start: Column, span: Column, size: int, stride: int, aligned: bool) -
     return F.array_distinct(F.concat(steps, F.array(last))) if aligned else steps
 
 
-def grid(rois: DataFrame, size: int, stride: int, aligned: bool = False) -> DataFrame:
-    """tile_x, tile_y (and clipped tile_w, tile_h): rows first; if aligned, a last tile flush with the far edge."""
+def grid(rois: DataFrame, size: int, stride: int, aligned: bool = False, by: str | None = None) -> DataFrame:
+    """tile_x, tile_y (and clipped tile_w, tile_h): rows first; if aligned, a last tile flush with the far edge.
+
+    A small table of boxes makes a large one of tiles: the tiles are counted
+    first, and the boxes are dealt to as many tasks as these ask for, by the
+    column ``by`` where it is given; what groups tiles by it then moves none.
+    """
     x, y, w, h = (F.col(c).cast("long") for c in BOX)
-    out = rois.withColumn("tile_y", F.explode(_steps(y, h, size, stride, aligned))).withColumn("tile_x", F.explode(_steps(x, w, size, stride, aligned)))
+    across, down = _steps(x, w, size, stride, aligned), _steps(y, h, size, stride, aligned)
+    n = rois.agg(F.sum(F.size(across).cast("long") * F.size(down))).first()[0] or 0
+    boxes = rois.repartition(tasks(rois.sparkSession, n), *([by] if by else []))
+    out = boxes.withColumn("tile_y", F.explode(down)).withColumn("tile_x", F.explode(across))
     if aligned:
         out = out.withColumns({"tile_w": F.least(F.lit(size), x + w - F.col("tile_x")), "tile_h": F.least(F.lit(size), y + h - F.col("tile_y"))})
     return out
@@ -182,9 +191,14 @@ def round_robin(tiles: DataFrame, most: int) -> DataFrame:
 
 def seeds(tiles: DataFrame, most: int) -> DataFrame:
     """The best tile of each bin, ordered by tissue, then bin: up to ``most``."""
+    return _seeded(tiles).filter((F.col("round") == 1) & (F.col("pick") <= most))
+
+
+def _seeded(tiles: DataFrame) -> DataFrame:
+    """All tiles with ``round`` (1: the best of its bin) and, for those, ``pick``: the place among the best by tissue, then bin."""
     inner = F.row_number().over(W.partitionBy("unit", "bin_y", "bin_x").orderBy(F.desc("tissue"), "tile_y", "tile_x"))
-    best = tiles.withColumn("round", inner).filter("round = 1")
-    return best.withColumn("pick", F.row_number().over(W.partitionBy("unit").orderBy(F.desc("tissue"), "bin_y", "bin_x"))).filter(F.col("pick") <= most)
+    outer = F.row_number().over(W.partitionBy("unit").orderBy(F.col("round") > 1, F.desc("tissue"), "bin_y", "bin_x"))
+    return tiles.withColumn("round", inner).withColumn("pick", outer)
 
 
 def scan_order(tiles: DataFrame, most: int) -> DataFrame:
@@ -216,8 +230,8 @@ def spread(tiles: DataFrame, most: int, size: int, normalised: bool = False, n_b
     if normalised:
         x, y = relative(tiles, size)
         clamp = lambda rel: F.least(F.greatest(rel, F.lit(0.0)), F.lit(1.0))
-        best = seeds(bins(tiles, size, n_bins), most).select("unit", "tile_x", "tile_y", F.col("pick").alias("seed"))
-        rows = tiles.withColumns({"px": clamp(x), "py": clamp(y)}).join(best, ["unit", "tile_x", "tile_y"], "left")
+        seed = F.when((F.col("round") == 1) & (F.col("pick") <= most), F.col("pick"))
+        rows = _seeded(bins(tiles, size, n_bins)).withColumns({"px": clamp(x), "py": clamp(y), "seed": seed})
     else:
         rows = tiles.withColumns({"px": F.col("tile_x").cast("double"), "py": F.col("tile_y").cast("double"), "seed": F.lit(None).cast("int")})
     rows = rows.select("unit", "tile_x", "tile_y", "tissue", "px", "py", F.coalesce("seed", F.lit(0)).alias("seed"))
@@ -236,6 +250,7 @@ def spread(tiles: DataFrame, most: int, size: int, normalised: bool = False, n_b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for b in batches:
+            b = b.select(b.schema.names[:-1])
             unit = b.column(0)
             ends = [] if not b.num_rows else [0, *(np.flatnonzero(pc.not_equal(unit[1:], unit[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), b.num_rows]
             out = []
@@ -249,7 +264,7 @@ def spread(tiles: DataFrame, most: int, size: int, normalised: bool = False, n_b
         if held:
             yield from picks(pa.Table.from_batches(held)).combine_chunks().to_batches()
 
-    return rows.filter("unit IS NOT NULL").repartition("unit").sortWithinPartitions("unit", "tile_y", "tile_x").mapInArrow(run, kind)
+    return numbered(rows.filter("unit IS NOT NULL"), ["unit"], ["tile_y", "tile_x"]).mapInArrow(run, kind)
 
 
 def without_overlap(boxes: DataFrame) -> DataFrame:

@@ -247,7 +247,7 @@ def split_summary(spark, d):
 
 @query(V.sql("SELECT unit, count(*) AS considered, count(*) FILTER (tissue >= 0.3) AS eligible, least(count(*) FILTER (tissue >= 0.3), 10) AS kept FROM gr GROUP BY unit", "grid"))
 def extraction_summary(spark, d):
-    g = V.tissue(R.grid(V.rois(spark, d), 256, 128))
+    g = V.tissue(R.grid(V.rois(spark, d), 256, 128, by="unit"))
     return g.groupBy("unit").agg(F.count("*").alias("considered"), F.count_if(F.col("tissue") >= 0.3).alias("eligible")).withColumn("kept", F.least("eligible", F.lit(10).cast("long")))
 
 
@@ -478,7 +478,7 @@ def tile_grid_aligned(spark, d):
 
 
 def _tiles(spark, d):
-    return V.tissue(R.grid(V.rois(spark, d), 256, 128))
+    return V.tissue(R.grid(V.rois(spark, d), 256, 128, by="unit"))
 
 
 @query(V.sql(", p AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY round, bin_y, bin_x) AS pick FROM b1) SELECT unit, tile_x, tile_y, pick FROM p WHERE pick <= 10", "bins"))

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 from .functions import colours
 from .operators import rasters as K
 from .operators import regions as R
+from .operators.groups import dealt
 from .plans import views as V
 from .plans.session import ship
+from .plans.storage import written
 from .registry import query
 
 
 def _cells(spark, d):
     """slide, x, y, grey, saturation, brightness; every 41st grey value is missing."""
-    t = V.tissue(R.grid(V.rois(ship(spark), d), 256, 128))
+    t = V.tissue(R.grid(V.rois(ship(spark), d), 256, 128, by="unit"))
     at = lambda c: ((F.col(f"tile_{c}") - F.col(f"bbox_{c}")) / 128).cast("long").alias(c)
     code = F.floor(F.col("tissue") * 4294967296.0)
     grey = F.when(code % 41 != 0, F.floor(F.col("tissue") * 256)).alias("grey")
@@ -96,7 +98,7 @@ def mask_components(spark, d):
     SELECT slide, label, bbox_w, area, component_rank, place, CASE place WHEN 1 THEN 'proximal' ELSE 'distal' END AS section_label FROM p"""))
 def sections_from_mask(spark, d):
     mask = K.morphed(_dark(spark, d), [("close", K.rectangle(2)), ("open", K.rectangle(2))])
-    boxes = R.scaled(K.components(K.labelled(K.runs(mask)), least=3), F.lit(128.0))
+    boxes = R.scaled(K.components(K.labelled(K.runs(dealt(written(mask, "mask"), "slide"))), least=3), F.lit(128.0))
     out = R.selected(R.ranked(boxes, [F.asc("label")]), "keep_n_left_to_right", 2, labels=["proximal", "distal"])
     return out.select("slide", "label", "bbox_w", "area", F.col("component_rank").cast("long").alias("component_rank"), F.col("place").cast("long").alias("place"), "section_label")
 
