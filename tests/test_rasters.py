@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tilewright.operators import groups as G
 from tilewright.operators import rasters as K
 from tilewright.plans.session import ship
 
@@ -173,3 +174,27 @@ def test_empty_rasters_and_null_places(spark):
     odd = spark.createDataFrame([(None, 0, 0, True), (1, None, 0, True), (1, 0, None, True), (1, 0, 0, None), (1, 1, 0, True)], "slide long, x long, y long, on boolean")
     assert [tuple(r) for r in K.runs(odd).collect()] == [(1, 0, 1, 1)]
     assert K.morphed(odd, [("dilate", K.rectangle(3))]).filter(F.col("on")).count() == 2
+
+
+@pytest.mark.parametrize("alone", [False, True])
+def test_blocks_of_a_sheet_lie_apart(alone):
+    rng = np.random.default_rng(8)
+    wide, high, live = rng.integers(1, 300, 400), rng.integers(1, 500, 400), rng.random(400) < 0.8
+    sheet, top = K._sheets(wide, high, live, alone)
+    assert ((sheet >= 0) == live).all() and len(np.unique(sheet[live])) < (401 if alone else 60)
+    for s in np.unique(sheet[live]):
+        own = np.flatnonzero(sheet == s)
+        own = own[np.argsort(top[own])]
+        assert top[own[0]] == 0 and (top[own][1:] >= (top + high)[own][:-1]).all() and (alone or wide[own].max() <= max(8, 2 * wide[own].min()))
+
+
+def test_older_mask_is_the_same_over_many_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(s, x, y, int(rng.integers(0, 256)), int(rng.integers(0, 40)), int(rng.integers(180, 256))) for s in range(30) for x in range(9 + s % 5) for y in range(7 + s % 3)]
+    cells = ship(spark).createDataFrame(rows, "slide long, x long, y long, grey long, saturation long, brightness long")
+    mask = lambda: {(r.slide, r.x, r.y): r.on for r in K.tissue_mask_by_otsu(cells, 30, 3).collect()}
+    once = mask()
+    monkeypatch.setattr(G, "ROWS", 100)
+    assert mask() == once and len(once) == len(rows)
+    labels = K.labelled(K.runs(cells, F.col("grey") < 128), 8, 3)
+    assert labels.rdd.getNumPartitions() > 4

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.storage import written
-from .groups import in_groups, starts, typed
+from .groups import dealt, in_groups, starts, tasks, typed
 
 #: The side of a block.
 BLOCK = 512
@@ -134,11 +134,45 @@ def _mirrored(n: int) -> np.ndarray:
 PASSES = {"erode": ("erode",), "dilate": ("dilate",), "open": ("erode", "dilate"), "close": ("dilate", "erode"), "blur": ("blur",)}
 
 
+#: Places of a sheet on which small blocks are worked on together.
+SHEET = 1 << 21
+
+
+def _sheets(wide: np.ndarray, high: np.ndarray, live: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The sheet of each block (-1: not live) and its first row there: blocks of like widths lie one below the other, up to ``SHEET`` places; with ``alone`` each has a sheet."""
+    sheet, top = np.full(len(wide), -1), np.zeros(len(wide), np.int64)
+    if alone:
+        sheet[live] = np.arange(live.sum())
+        return sheet, top
+    step = np.ceil(np.log2(np.maximum(wide, 8))).astype(np.int64)
+    order = np.flatnonzero(live)[np.argsort(step[live], kind="stable")]
+    above = np.cumsum(high[order]) - high[order]
+    full = np.cumsum(high[order] << step[order]) // SHEET
+    fresh = np.r_[True, (np.diff(step[order]) != 0) | (np.diff(full) != 0)][: len(order)]
+    sheet[order] = np.cumsum(fresh) - 1
+    top[order] = above - above[fresh][sheet[order]] if len(order) else 0
+    return sheet, top
+
+
+def _passed(x: np.ndarray, y: np.ndarray, on: np.ndarray, passes: list[tuple[str, Kernel | None]]) -> np.ndarray:
+    """The cells of a sheet behind all passes; places without a cell are outside and stay so."""
+    mask = np.full((y.max() + 1, x.max() + 1), -1, np.int8)
+    mask[y, x] = on
+    outside = mask < 0
+    for name, kernel in passes:
+        if name == "blur":
+            mask = _blurred(mask)
+        else:
+            mask = (_swept(mask == 1, kernel) if name == "dilate" else ~_swept(mask == 0, kernel)).astype(np.int8)
+            mask[outside] = -1
+    return mask[y, x] == 1
+
+
 def morphed(cells: DataFrame, steps: list[tuple[str, Kernel | None]], block: int = BLOCK) -> DataFrame:
     """slide, x, y, on behind the steps (erode, dilate, open, close with a kernel; blur with none).
 
     A block gets a rim as wide as all steps reach, so blocks are worked on apart;
-    only the cells of the rim are sent twice.
+    only the cells of the rim are there twice. A task works on many small blocks at once.
     """
     if unknown := {name for name, _ in steps} - set(PASSES):
         raise ValueError(f"unknown step {', '.join(sorted(unknown))}")
@@ -147,31 +181,27 @@ def morphed(cells: DataFrame, steps: list[tuple[str, Kernel | None]], block: int
     known = cells.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     near = lambda c: F.explode(F.sequence(F.floor((F.greatest(F.col(c) - rim, F.lit(0))) / block), F.floor((F.col(c) + rim) / block)))
     each = known.select("slide", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.coalesce(F.col("on"), F.lit(False)).alias("on"))
-    dealt = each.withColumn("by", near("y")).withColumn("bx", near("x"))
+    blocks = each.withColumn("by", near("y")).withColumn("bx", near("x"))
+
+    gap, alone = max([kernel.reach for _, kernel in passes if kernel is not None], default=0), any(kernel is None for _, kernel in passes)
 
     def work(held: pa.Table) -> pa.Table:
         by, bx, x, y, on = (held.column(c).to_numpy() for c in ("by", "bx", "x", "y", "on"))
-        first, keep, out = starts(held, 3), np.zeros(len(x), bool), on.astype(bool)
-        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(x)], strict=True):
-            own = (x[i:j] // block == bx[i]) & (y[i:j] // block == by[i])
-            if not own.any():
-                continue
-            x0, y0 = x[i:j].min(), y[i:j].min()
-            px, py = x[i:j] - x0, y[i:j] - y0
-            mask = np.full((py.max() + 1, px.max() + 1), -1, np.int8)
-            mask[py, px] = out[i:j]
-            outside = mask < 0
-            for name, kernel in passes:
-                if name == "blur":
-                    mask = _blurred(mask)
-                else:
-                    mask = (_swept(mask == 1, kernel) if name == "dilate" else ~_swept(mask == 0, kernel)).astype(np.int8)
-                    mask[outside] = -1
-            keep[i:j], out[i:j] = own, mask[py, px] == 1
-        at = pa.array(np.flatnonzero(keep))
-        return held.select(["slide", "x", "y"]).take(at).append_column("on", pa.array(out[keep]))
-
-    return in_groups(dealt, ["slide", "by", "bx"], [], work, typed(each, "slide", "x", "y", "on"))
+        first, own, out = starts(held, 3), (x // block == bx) & (y // block == by), on.astype(bool)
+        if len(first):
+            x0, y0 = np.minimum.reduceat(x, first), np.minimum.reduceat(y, first)
+            wide, high = np.maximum.reduceat(x, first) - x0 + 1, np.maximum.reduceat(y, first) - y0 + 1
+            sheet, top = _sheets(wide, high + gap, np.logical_or.reduceat(own, first), alone)
+            group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(x)]))
+            px, py, of = x - x0[group], y - y0[group] + top[group], sheet[group]
+            by_sheet = np.argsort(of, kind="stable")
+            for at in np.split(by_sheet, np.flatnonzero(np.diff(of[by_sheet])) + 1):
+                if of[at[0]] >= 0:
+                    out[at] = _passed(px[at], py[at], out[at], passes)
+        keep = pa.array(np.flatnonzero(own))
+        return held.select(["slide", "x", "y"]).take(keep).append_column("on", pa.array(out[own]))
+
+    return in_groups(blocks, ["slide", "by", "bx"], [], work, typed(each, "slide", "x", "y", "on"))
 
 
 # Runs and components
@@ -254,8 +284,10 @@ def labelled(some: DataFrame, connectivity: int = 8, block: int = BLOCK) -> Data
         moved = np.flatnonzero(root != np.arange(len(of)))
         return held.select(["slide", "label"]).take(pa.array(of[moved])).append_column("root", pa.array(label[of[root[moved]]]))
 
+    n = tasks(local.sparkSession, local.count())
+    local = local.repartition(n, "slide")
     rim = local.filter((F.col("y") % block == 0) | (F.col("y") % block == block - 1))
-    roots = in_groups(rim, ["slide"], ["y", "x0"], across, typed(local, "slide", "label", root="long"))
+    roots = in_groups(rim, ["slide"], ["y", "x0"], across, typed(local, "slide", "label", root="long")).repartition(n, "slide")
     return local.join(roots, ["slide", "label"], "left").select("slide", "y", "x0", "x1", F.coalesce("root", "label").alias("label"))
 
 
@@ -291,7 +323,7 @@ def holes(mask: DataFrame, most: int | None = None, enclosed: bool = False, conn
 
 def filled(mask: DataFrame, most: int | None = None, enclosed: bool = False) -> DataFrame:
     """The runs of the mask with its holes (see ``holes``) filled."""
-    return joined_runs(runs(mask).unionByName(holes(mask, most, enclosed).drop("label")))
+    return joined_runs(dealt(written(runs(mask).unionByName(holes(mask, most, enclosed).drop("label")), "filled"), "slide"))
 
 
 def as_mask(cells: DataFrame, some: DataFrame) -> DataFrame:
@@ -316,9 +348,11 @@ SATURATION, BRIGHTNESS, OLDEST_SATURATION = 18, 245, 10
 def tissue_mask_by_otsu(cells: DataFrame, least: int, kernel: int = 5) -> DataFrame:
     """``on`` by the older rule: up to Otsu's threshold, or coloured and not bright; small objects go, small holes are filled; opened, then closed by a disc."""
     coloured = (F.col("saturation") > SATURATION) & (F.col("brightness") < BRIGHTNESS)
-    mask = written(below_otsu(cells).withColumn("on", F.col("on") | F.coalesce(coloured, F.lit(False))), "mask")
-    whole = written(as_mask(mask, without_small(runs(mask), max(16, least // 5))), "mask")
-    whole = as_mask(whole, filled(whole, max(64, least // 3)))
+    mask = written(below_otsu(cells).withColumn("on", F.col("on") | F.coalesce(coloured, F.lit(False))).select("slide", "x", "y", "on"), "mask")
+    n = tasks(mask.sparkSession, mask.count())  # cells and runs are dealt alike, so what joins them moves neither
+    mask = mask.repartition(n, "slide")
+    whole = written(as_mask(mask, without_small(runs(mask), max(16, least // 5)).repartition(n, "slide")), "mask").repartition(n, "slide")
+    whole = as_mask(whole, filled(whole, max(64, least // 3)).repartition(n, "slide"))
     side = max(3, kernel) | 1
     return morphed(whole, [("open", ellipse(side)), ("close", ellipse(side))])
 
