@@ -174,3 +174,17 @@ def test_columns_of_reserved_names_stay(spark):
     files = spark.createDataFrame([("/x/S1.svs",)], "path string")
     assert manifest.match_files(rows, "name", files).first().asDict() == {"name": "s1", "__key": 1, "key": 2, "__rn": 3, "match": "/x/S1.svs", "tier": 1}
     assert manifest.keep_first(rows, ["name"], [F.col("key")]).columns == rows.columns
+
+
+def test_a_large_part_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tilewright.operators import groups
+    from tilewright.sources import manifests
+
+    monkeypatch.setattr(groups, "ROWS", 100)
+    rows = spark.range(1000).select(F.when(F.col("id") < 900, F.lit("a")).when(F.col("id") < 950, F.lit("b")).alias("split"), "id")
+    manifests.replace_parts(rows, str(tmp_path / "t"), ["split"])
+    back = manifests.read_parts(spark, str(tmp_path / "t"))
+    files = {r.split: (r.files, r.n) for r in back.withColumn("file", F.input_file_name()).groupBy("split").agg(F.count_distinct("file").alias("files"), F.count_distinct("id").alias("n")).collect()}
+    assert back.count() == 1000 and files["a"][0] > 3 and files["a"][1] == 900 and files["b"] == (1, 50) and files[None] == (1, 50)

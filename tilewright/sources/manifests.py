@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.manifest import concatenated
-from ..plans.storage import written
+from ..operators import groups
+from ..plans.storage import unused, written
 from .tables import inferred, list_files
 
 #: What a dialect is told from; a header that is longer is read up to its end.
@@ -231,12 +232,22 @@ def replace_parts(df: DataFrame, root: str, keys: list[str], run: str | None = N
     rows = written(df, "parts")
     earlier = _commits(spark, root)
     number = 1 + ((earlier.agg(F.max("number")).first()[0] or 0) if earlier is not None else 0)
-    rows.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{root}/data")
+    _spread(rows, keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{root}/data")
     record = rows.groupBy(*keys).agg(F.count("*").alias("rows")).select(F.lit(number).cast("long").alias("number"), F.lit(run).alias("run"), _part(keys).alias("part"), "rows")
     record.coalesce(1).write.mode("append").json(f"{root}/_commits")
     return run
 
 
+def _spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A stored table's rows dealt by part; a large part is dealt to as many tasks (and files) as its rows ask for."""
+    part, place, n = unused(rows.columns, "part", "place", "n")
+    own = F.xxhash64(*keys)
+    sizes = rows.groupBy(own.alias(part)).agg(F.count("*").alias(n))
+    each = rows.withColumns({part: own, place: F.monotonically_increasing_id()}).join(F.broadcast(sizes), part)
+    file = F.col(place) % F.ceil(F.col(n) / groups.ROWS)
+    return each.repartition(groups.tasks(rows.sparkSession, rows.count()), *keys, file).drop(part, place, n)
+
+
 def read_parts(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/data")
 
