@@ -291,3 +291,13 @@ def test_boxes_are_dealt_by_their_tiles_and_units_stay_in_their_task(spark, monk
     seeds = {(r.unit, r.tile_x, r.tile_y) for r in R.seeds(R.bins(tiles, 256, 3), 5).collect()}
     far = R.spread(tiles, 8, 256, normalised=True, n_bins=3).collect()
     assert len(far) == 320 and seeds == {(r.unit, r.tile_x, r.tile_y) for r in far if r.pick <= 5}
+
+
+def test_files_are_matched_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(G, "ROWS", 200)
+    files = spark.createDataFrame([(f"d/case-{i:04d}.svs",) for i in range(60)] + [("d/case-0007.svs",), ("d/ab.svs",)], "path string").coalesce(1)
+    rows = spark.createDataFrame([("case-0003",), ("e-0007",), ("-00",), ("xx-AB-y",), ("x-case-0007-b",), ("none",), ("",), (None,)], "key string")
+    out = M.match_files(rows, "key", files)
+    got = {r.key: (r.match, r.tier) for r in out.collect()}
+    assert got == {"case-0003": ("d/case-0003.svs", 1), "e-0007": ("d/case-0007.svs", 2), "-00": (None, None), "xx-AB-y": ("d/ab.svs", 3), "x-case-0007-b": (None, None), "none": (None, None), "": (None, None), None: (None, None)}
+    assert G.tasks(spark, 2000) == 10 and "RoundRobinPartitioning" in out._jdf.queryExecution().toString()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..plans import storage
+from .groups import tasks
 
 
 def columns_first(df: DataFrame, first: list[str]) -> DataFrame:
@@ -196,9 +197,12 @@ def match_files(rows: DataFrame, key: str, files: DataFrame, path: str = "path")
     keys = r.select(F.col(key_).alias("__key")).filter("__key <> ''").distinct()
     pieces = lambda c, low, high: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, n))))))
     low, high = (int(x or 1) for x in keys.agg(F.min(F.length("__key")), F.max(F.length("__key"))).first())
-    in_stem = f.select("__file", "__stem", pieces(F.col("__stem"), low, high).alias("__key")).filter(F.length("__key") >= low).distinct().join(keys, "__key")
-    slow, shigh = (int(x or 1) for x in f.agg(F.min(F.length("__stem")), F.max(F.length("__stem"))).first())
-    in_key = keys.select("__key", pieces(F.col("__key"), max(slow, 1), shigh).alias("__stem")).distinct().join(f, "__stem")
+    size = F.length("__stem")
+    slow, shigh, most = (int(x or 1) for x in f.agg(F.min(size), F.max(size), F.sum(F.greatest(size - low + 1, F.lit(0)) * F.least(size - low + 1, F.lit(high - low + 1)))).first())
+    n = tasks(files.sparkSession, most)  # pieces are dealt by their number, as few files make many; those of a stem are distinct, and only found ones are kept
+    whole = f.distinct().repartition(n)
+    in_stem = whole.select("__file", "__stem", pieces(F.col("__stem"), low, high).alias("__key")).filter(F.length("__key") >= low).join(keys.repartition(n, "__key"), "__key")
+    in_key = keys.select("__key", pieces(F.col("__key"), max(slow, 1), shigh).alias("__stem")).join(f, "__stem")
     equal = f.withColumnRenamed("__stem", "__key").join(keys, "__key").groupBy("__key").agg(F.min("__file").alias("__file")).select("__key", "__file", F.lit(1).alias("tier"))
     best = equal.union(one(in_stem, 2)).union(one(in_key, 3)).groupBy("__key").agg(F.min(F.struct("tier", "__file")).alias("b"))
     found = best.select(F.col("__key").alias(key_), F.col("b").alias(b))
