@@ -80,22 +80,22 @@ def confusion(df: DataFrame, labels: list[int], truth: str = "target", pred: str
 FEW = 1_000_000
 
 
-def running(df: DataFrame, by: list[str], order: str, sums: dict[str, str], wholes: dict[str, str] | None = None) -> DataFrame:
+def running(df: DataFrame, by: list[str], order: str, sums: dict[str, str], wholes: dict[str, str] | None = None, parts: int | None = None) -> DataFrame:
     """For each column of ``sums``: the sum over the group's rows with a smaller ``order``, under the given name; of ``wholes`` over all. ``order`` comes once a group.
 
     ``df`` is evaluated once. If it is large, it is sorted into ranges of group
     and order, and the ranges are summed apart, so that no task holds a whole
     group; then the sums of the ranges before (a row a range and group) are added.
-    A null in ``by`` is a group like any other.
+    A null in ``by`` is a group like any other. ``parts`` fixes the number of ranges, which a small table then has too.
     """
     part, *names = unused([*df.columns, *sums, *(wholes or {})], "part", *(f"sum{i}" for i in range(len(sums))))
     table = written(df, "running")
     less = lambda w: w.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     before = lambda w: {n: F.coalesce(F.sum(c).over(less(w)), F.lit(0)) for n, c in sums.items()}
-    if table.count() <= FEW:
+    if parts is None and table.count() <= FEW:
         group = W.partitionBy(*by)
         return table.withColumns(before(group) | {n: F.sum(c).over(group) for n, c in (wholes or {}).items()})
-    table = written(table.repartitionByRange(*by, order).withColumn(part, F.spark_partition_id()), "ranges")
+    table = written(table.repartitionByRange(*([parts] if parts else []), *by, order).withColumn(part, F.spark_partition_id()), "ranges")
     group, earlier = W.partitionBy(*by), W.partitionBy(*by).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     ranges = table.groupBy(*by, part).agg(*[F.sum(c).alias(c) for c in {*sums.values(), *(wholes or {}).values()}])
     ranges = ranges.select(*by, part, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(x) for x, c in zip(names, sums.values(), strict=True)], *[F.sum(c).over(group).alias(n) for n, c in (wholes or {}).items()])
