@@ -198,3 +198,15 @@ def test_older_mask_is_the_same_over_many_tasks(spark, monkeypatch):
     assert mask() == once and len(once) == len(rows)
     labels = K.labelled(K.runs(cells, F.col("grey") < 128), 8, 3)
     assert labels.rdd.getNumPartitions() > 4
+
+
+def test_small_blocks_are_raised_to_their_rim(spark, monkeypatch):
+    masks, moved = grids(10, [(11, 16)] * 20), []
+    plain = K.in_groups
+    monkeypatch.setattr(K, "in_groups", lambda rows, *rest: (moved.append(rows.count()), plain(rows, *rest))[1])
+    steps = [("erode", K.rectangle(2)), ("dilate", K.ellipse(5))]
+    got = lambda: {(r.slide, r.x, r.y): r.on for r in K.morphed(table(spark, masks), steps, block=4).collect()}
+    once = got()
+    monkeypatch.setattr(K, "RIMS", 0)  # blocks of 4 with their rims
+    assert got() == once and len(once) == 20 * 11 * 16
+    assert moved[0] <= 1.5 * len(once) < moved[1]

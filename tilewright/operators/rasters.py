@@ -27,6 +27,8 @@ from .groups import dealt, in_groups, starts, tasks, typed
 
 #: The side of a block.
 BLOCK = 512
+#: A block has as many times its rim a side, at least: smaller ones would hold more cells of the rim than of their own.
+RIMS = 16
 #: Fixed value: classes with a lesser share of the cells are no class of a threshold.
 LEAST_SHARE = 1.1920929e-07
 PACK = 1 << 31
@@ -168,36 +170,47 @@ def _passed(x: np.ndarray, y: np.ndarray, on: np.ndarray, passes: list[tuple[str
     return mask[y, x] == 1
 
 
+def _passes(steps: list[tuple[str, Kernel | None]]) -> list[tuple[str, Kernel | None]]:
+    if unknown := {name for name, _ in steps} - set(PASSES):
+        raise ValueError(f"unknown step {', '.join(sorted(unknown))}")
+    return [(p, kernel) for name, kernel in steps for p in PASSES[name]]
+
+
+def _worked(first: np.ndarray, x: np.ndarray, y: np.ndarray, on: np.ndarray, live: np.ndarray, passes: list[tuple[str, Kernel | None]]) -> np.ndarray:
+    """``on`` behind all passes, in the ``live`` ones of the blocks that begin at the rows ``first``; many small blocks at once."""
+    gap, alone = max([kernel.reach for _, kernel in passes if kernel is not None], default=0), any(kernel is None for _, kernel in passes)
+    x0, y0, out = np.minimum.reduceat(x, first), np.minimum.reduceat(y, first), on.copy()
+    wide, high = np.maximum.reduceat(x, first) - x0 + 1, np.maximum.reduceat(y, first) - y0 + 1
+    sheet, top = _sheets(wide, high + gap, live, alone)
+    group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(x)]))
+    px, py, of = x - x0[group], y - y0[group] + top[group], sheet[group]
+    by_sheet = np.argsort(of, kind="stable")
+    for at in np.split(by_sheet, np.flatnonzero(np.diff(of[by_sheet])) + 1):
+        if of[at[0]] >= 0:
+            out[at] = _passed(px[at], py[at], on[at], passes)
+    return out
+
+
 def morphed(cells: DataFrame, steps: list[tuple[str, Kernel | None]], block: int = BLOCK) -> DataFrame:
     """slide, x, y, on behind the steps (erode, dilate, open, close with a kernel; blur with none).
 
     A block gets a rim as wide as all steps reach, so blocks are worked on apart;
-    only the cells of the rim are there twice. A task works on many small blocks at once.
+    only the cells of the rim are there twice. ``block`` is the least side: it is
+    raised to ``RIMS`` rims. A task works on many small blocks at once.
     """
-    if unknown := {name for name, _ in steps} - set(PASSES):
-        raise ValueError(f"unknown step {', '.join(sorted(unknown))}")
-    passes = [(p, kernel) for name, kernel in steps for p in PASSES[name]]
+    passes = _passes(steps)
     rim = sum(2 if kernel is None else kernel.reach for _, kernel in passes)
+    block = max(block, RIMS * rim)
     known = cells.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     near = lambda c: F.explode(F.sequence(F.floor((F.greatest(F.col(c) - rim, F.lit(0))) / block), F.floor((F.col(c) + rim) / block)))
     each = known.select("slide", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.coalesce(F.col("on"), F.lit(False)).alias("on"))
     blocks = each.withColumn("by", near("y")).withColumn("bx", near("x"))
 
-    gap, alone = max([kernel.reach for _, kernel in passes if kernel is not None], default=0), any(kernel is None for _, kernel in passes)
-
     def work(held: pa.Table) -> pa.Table:
         by, bx, x, y, on = (held.column(c).to_numpy() for c in ("by", "bx", "x", "y", "on"))
         first, own, out = starts(held, 3), (x // block == bx) & (y // block == by), on.astype(bool)
         if len(first):
-            x0, y0 = np.minimum.reduceat(x, first), np.minimum.reduceat(y, first)
-            wide, high = np.maximum.reduceat(x, first) - x0 + 1, np.maximum.reduceat(y, first) - y0 + 1
-            sheet, top = _sheets(wide, high + gap, np.logical_or.reduceat(own, first), alone)
-            group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(x)]))
-            px, py, of = x - x0[group], y - y0[group] + top[group], sheet[group]
-            by_sheet = np.argsort(of, kind="stable")
-            for at in np.split(by_sheet, np.flatnonzero(np.diff(of[by_sheet])) + 1):
-                if of[at[0]] >= 0:
-                    out[at] = _passed(px[at], py[at], out[at], passes)
+            out = _worked(first, x, y, out, np.logical_or.reduceat(own, first), passes)
         keep = pa.array(np.flatnonzero(own))
         return held.select(["slide", "x", "y"]).take(keep).append_column("on", pa.array(out[own]))
 
