@@ -210,3 +210,25 @@ def test_small_blocks_are_raised_to_their_rim(spark, monkeypatch):
     monkeypatch.setattr(K, "RIMS", 0)  # blocks of 4 with their rims
     assert got() == once and len(once) == 20 * 11 * 16
     assert moved[0] <= 1.5 * len(once) < moved[1]
+
+
+WHOLE = {
+    "components": lambda t: K.mask_components(t, (8, 4), block=5),
+    "large components behind steps": lambda t: K.mask_components(t, (8,), 3, block=5, steps=[("close", K.rectangle(2)), ("open", K.rectangle(2))]),
+}
+
+
+@pytest.mark.parametrize("what", sorted(WHOLE))
+def test_small_rasters_are_worked_on_in_one_pass(spark, monkeypatch, what):
+    masks = grids(11, [*SIZES, (90, 17)], 0.55) | {90: np.zeros((6, 6), bool), 91: np.ones((6, 6), bool)}
+    t = table(spark, masks).union(spark.createDataFrame([(None, 0, 0, True), (95, None, 0, True), (95, 0, None, True), (95, 3, 4, None), (95, 4, 4, True), (95, 6, 4, True)], "slide long, x long, y long, on boolean"))
+    ordered = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    stored = []
+    plain = K.written
+    monkeypatch.setattr(K, "written", lambda df, tag: (stored.append(tag), plain(df, tag))[1])
+    once = WHOLE[what](t)
+    found, types = ordered(once), once.dtypes
+    assert found and not stored  # no table on the way, so no shuffle of runs either
+    monkeypatch.setattr(K, "WHOLE", 8)
+    over = WHOLE[what](t)
+    assert ordered(over) == found and over.dtypes == types and stored

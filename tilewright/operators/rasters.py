@@ -5,7 +5,8 @@ and a value. A mask has a column ``on``. Runs are the mask's stretches of a
 raster row: slide, y, x0, x1 (both ends inside); they are what components are
 found from, so the work follows the outlines and not the areas. Everything larger than a
 block of a raster is worked on in blocks: the sliding minima and maxima with a rim
-of neighbouring cells, the labelling with a merge of labels along the borders.
+of neighbouring cells, the labelling with a merge of labels along the borders. Where
+all rasters of a table are small, their labels are found whole in one pass over the cells.
 
 Places that the table doesn't have lie outside the raster: they count for
 neither side of a minimum or maximum, and nothing is connected through them. A
@@ -14,7 +15,9 @@ null value is off; rows with a null slide or place take no part.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,8 @@ from .groups import dealt, in_groups, starts, tasks, typed
 BLOCK = 512
 #: A block has as many times its rim a side, at least: smaller ones would hold more cells of the rim than of their own.
 RIMS = 16
+#: If all rasters of a table have fewer places than this each way, what labels decide is found for whole rasters; else over bands.
+WHOLE = 1024
 #: Fixed value: classes with a lesser share of the cells are no class of a threshold.
 LEAST_SHARE = 1.1920929e-07
 PACK = 1 << 31
@@ -339,6 +344,96 @@ def filled(mask: DataFrame, most: int | None = None, enclosed: bool = False) ->
     return joined_runs(dealt(written(runs(mask).unionByName(holes(mask, most, enclosed).drop("label")), "filled"), "slide"))
 
 
+# The same for rasters that are worked on whole
+
+
+def _whole(cells: DataFrame) -> bool:
+    """Whether all rasters of a table have fewer than ``WHOLE`` places each way; nothing but the places is read for that."""
+    most = cells.agg(F.max("x"), F.max("y")).first()
+    return max((int(m) for m in most if m is not None), default=0) < WHOLE
+
+
+def _in_slides(mask: DataFrame, work: Callable[[pa.Table], pa.Table], *names: str, **more: str) -> DataFrame:
+    """``work`` over tables of whole slides: slide, y, x, on, sorted; with the fields that ``typed`` makes of ``names`` and ``more``."""
+    known = mask.filter("slide IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL")
+    each = known.select("slide", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.coalesce(F.col("on"), F.lit(False)).alias("on"))
+    return in_groups(each, ["slide"], ["y", "x"], work, typed(each, *names, **more))
+
+
+@dataclass(frozen=True)
+class _Runs:
+    """Runs of whole slides, sorted: the number of the slide in its table, the row of the table at which the run begins, and the run."""
+
+    group: np.ndarray
+    at: np.ndarray
+    y: np.ndarray
+    x0: np.ndarray
+    x1: np.ndarray
+
+    def take(self, which: np.ndarray) -> _Runs:
+        return _Runs(self.group[which], self.at[which], self.y[which], self.x0[which], self.x1[which])
+
+    def joined(self) -> _Runs:
+        """Runs that touch in their row made one."""
+        first = np.flatnonzero(np.r_[True, (self.group[1:] != self.group[:-1]) | (self.y[1:] != self.y[:-1]) | (self.x0[1:] > self.x1[:-1] + 1)][: len(self.y)])
+        return _Runs(self.group[first], self.at[first], self.y[first], self.x0[first], self.x1[np.r_[first[1:], len(self.y)][: len(first)] - 1])
+
+    def table(self, held: pa.Table) -> pa.Table:
+        return pa.table({"slide": held.column("slide").take(pa.array(self.at)), "y": self.y, "x0": self.x0, "x1": self.x1})
+
+
+def _both(held: pa.Table, on: np.ndarray) -> tuple[_Runs, np.ndarray]:
+    """The runs of what is on and of what is off, and which of them are on."""
+    y, x, first = held.column("y").to_numpy(), held.column("x").to_numpy(), starts(held, 1)
+    group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(y)]))
+    at = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (y[1:] != y[:-1]) | (x[1:] > x[:-1] + 1) | (on[1:] != on[:-1])])
+    return _Runs(group[at], at, y[at], x[at], x[np.r_[at[1:], len(y)] - 1]), on[at]
+
+
+def _on(held: pa.Table) -> np.ndarray:
+    return held.column("on").to_numpy().astype(bool)
+
+
+def _parts(some: _Runs, connectivity: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """The number of each run's component; of each component its first run and the columns of ``components`` behind slide."""
+    y, x0, x1 = some.y, some.x0, some.x1
+    root = _least(len(y), *_touching(some.group, y, x0, x1, {4: 0, 8: 1}[connectivity]))
+    first, number = np.unique(root, return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    begins = np.searchsorted(number[order], np.arange(len(first)))
+    over = lambda what, values: what.reduceat(values[order], begins) if len(first) else values[:0]
+    n = x1 - x0 + 1
+    left, right, bottom, area = over(np.minimum, x0), over(np.maximum, x1), over(np.maximum, y), over(np.add, n)
+    top = y[first]
+    return number, first, {
+        "label": top * PACK + x0[first], "bbox_x": left, "bbox_y": top, "bbox_w": right - left + 1, "bbox_h": bottom - top + 1,
+        "cx": over(np.add, (x0 + x1) * n) / (2 * area), "cy": over(np.add, y * n) / area, "area": area,
+    }
+
+
+def mask_components(mask: DataFrame, connectivity: tuple[int, ...] = (8,), least: int = 1, block: int = BLOCK, steps: list[tuple[str, Kernel | None]] | None = None) -> DataFrame:
+    """``components`` of the mask behind the ``steps`` (see ``morphed``), and by which connectivity of the given ones they are found."""
+    passes = _passes(steps or [])
+    if not _whole(mask):
+        some = runs(dealt(written(morphed(mask, steps) if steps else mask.select("slide", "x", "y", "on"), "mask"), "slide"))
+        return reduce(DataFrame.unionByName, [components(labelled(some, c, block), least).withColumn("connectivity", F.lit(c)) for c in connectivity])
+
+    def work(held: pa.Table) -> pa.Table:
+        on, made = _on(held), []
+        if passes:
+            first = starts(held, 1)
+            on = _worked(first, held.column("x").to_numpy(), held.column("y").to_numpy(), on, np.ones(len(first), bool), passes)
+        some = (both := _both(held, on))[0].take(both[1])
+        for c in connectivity:
+            _, first, found = _parts(some, c)
+            part = pa.table({"slide": held.column("slide").take(pa.array(some.at[first])), **found, "connectivity": np.full(len(first), c, np.int32)})
+            made.append(part.filter(pa.array(found["area"] >= least)))
+        return pa.concat_tables(made)
+
+    kinds = {c: "double" if c in ("cx", "cy") else "long" for c in ("label", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "cx", "cy", "area")}
+    return _in_slides(mask, work, "slide", **kinds, connectivity="int")
+
+
 def as_mask(cells: DataFrame, some: DataFrame) -> DataFrame:
     """The cells with ``on`` where a run is."""
     places = some.select("slide", "y", F.explode(F.sequence("x0", "x1")).alias("x")).withColumn("on", F.lit(True))

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 from .functions import colours
 from .operators import rasters as K
 from .operators import regions as R
-from .operators.groups import dealt
 from .plans import views as V
 from .plans.session import ship
-from .plans.storage import written
 from .registry import query
 
 
@@ -64,8 +62,8 @@ def _dark(spark, d):
     return _cells(spark, d).withColumn("on", F.col("grey") < 128)
 
 
-def _boxes(found):
-    return found.select("slide", "label", "bbox_x", "bbox_y", "bbox_w", "bbox_h", F.round("cx", 9).alias("cx"), F.round("cy", 9).alias("cy"), "area")
+def _boxes(found, *more):
+    return found.select("slide", "label", "bbox_x", "bbox_y", "bbox_w", "bbox_h", F.round("cx", 9).alias("cx"), F.round("cy", 9).alias("cy"), "area", *more)
 
 
 @query(_sql(_OTSU + " SELECT slide, threshold FROM otsu"))
@@ -86,9 +84,8 @@ def mask_uneven_kernels(spark, d):
 
 @query(_sql(_DARK + _labels("a", "dark WHERE cell", 1) + _labels("b", "dark WHERE cell", 0) + f" SELECT 8 AS connectivity, {_BOXES} FROM a_c UNION ALL SELECT 4, {_BOXES} FROM b_c"))
 def mask_components(spark, d):
-    some = K.runs(_dark(spark, d))
-    each = [_boxes(K.components(K.labelled(some, c, block=3))).withColumn("connectivity", F.lit(c)) for c in (8, 4)]
-    return each[0].unionByName(each[1])
+    found = K.mask_components(_dark(spark, d), (8, 4), block=3)
+    return _boxes(found, "connectivity")
 
 
 @query(_sql(_DARK + _morph("mask", "dark", [("close", K.rectangle(2)), ("open", K.rectangle(2))]) + _labels("a", "mask WHERE cell", 1) + """,
@@ -97,8 +94,8 @@ def mask_components(spark, d):
     p AS (SELECT *, row_number() OVER (PARTITION BY slide ORDER BY cx, component_rank) AS place FROM q WHERE component_rank <= 2)
     SELECT slide, label, bbox_w, area, component_rank, place, CASE place WHEN 1 THEN 'proximal' ELSE 'distal' END AS section_label FROM p"""))
 def sections_from_mask(spark, d):
-    mask = K.morphed(_dark(spark, d), [("close", K.rectangle(2)), ("open", K.rectangle(2))])
-    boxes = R.scaled(K.components(K.labelled(K.runs(dealt(written(mask, "mask"), "slide"))), least=3), F.lit(128.0))
+    steps = [("close", K.rectangle(2)), ("open", K.rectangle(2))]
+    boxes = R.scaled(K.mask_components(_dark(spark, d), least=3, steps=steps), F.lit(128.0))
     out = R.selected(R.ranked(boxes, [F.asc("label")]), "keep_n_left_to_right", 2, labels=["proximal", "distal"])
     return out.select("slide", "label", "bbox_w", "area", F.col("component_rank").cast("long").alias("component_rank"), F.col("place").cast("long").alias("place"), "section_label")
 
