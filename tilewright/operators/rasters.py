@@ -341,6 +341,8 @@ def holes(mask: DataFrame, most: int | None = None, enclosed: bool = False, conn
 
 def filled(mask: DataFrame, most: int | None = None, enclosed: bool = False) -> DataFrame:
     """The runs of the mask with its holes (see ``holes``) filled."""
+    if _whole(mask):
+        return _filled_whole(mask, most, enclosed)
     return joined_runs(dealt(written(runs(mask).unionByName(holes(mask, most, enclosed).drop("label")), "filled"), "slide"))
 
 
@@ -434,6 +436,26 @@ def mask_components(mask: DataFrame, connectivity: tuple[int, ...] = (8,), least
     return _in_slides(mask, work, "slide", **kinds, connectivity="int")
 
 
+def _filled_whole(mask: DataFrame, most: int | None, enclosed: bool, connectivity: int = 4) -> DataFrame:
+    """``filled`` for rasters that are worked on whole."""
+
+    def work(held: pa.Table) -> pa.Table:
+        both, on = _both(held, _on(held))
+        off = both.take(~on)
+        number, first, found = _parts(off, connectivity)
+        fits = np.ones(len(first), bool) if most is None else found["area"] <= most
+        if enclosed:
+            cut, of = starts(held, 1), off.group[first]
+            x, y = held.column("x").to_numpy(), held.column("y").to_numpy()
+            low, high = (lambda v: np.minimum.reduceat(v, cut)[of]), (lambda v: np.maximum.reduceat(v, cut)[of])
+            fits &= (found["bbox_x"] > low(x)) & (found["bbox_y"] > low(y)) & (found["bbox_x"] + found["bbox_w"] <= high(x)) & (found["bbox_y"] + found["bbox_h"] <= high(y))
+        keep = on.copy()
+        keep[~on] = fits[number]
+        return both.take(keep).joined().table(held)
+
+    return _in_slides(mask, work, "slide", "y", x0="long", x1="long")
+
+
 def as_mask(cells: DataFrame, some: DataFrame) -> DataFrame:
     """The cells with ``on`` where a run is."""
     places = some.select("slide", "y", F.explode(F.sequence("x0", "x1")).alias("x")).withColumn("on", F.lit(True))
