@@ -215,6 +215,7 @@ def test_small_blocks_are_raised_to_their_rim(spark, monkeypatch):
 WHOLE = {
     "components": lambda t: K.mask_components(t, (8, 4), block=5),
     "large components behind steps": lambda t: K.mask_components(t, (8,), 3, block=5, steps=[("close", K.rectangle(2)), ("open", K.rectangle(2))]),
+    "without small": lambda t: K.mask_without_small(t, 2),
     "filled": lambda t: K.filled(t, 3),
     "enclosed": lambda t: K.filled(t, enclosed=True),
     "small and enclosed": lambda t: K.filled(t, 2, True),

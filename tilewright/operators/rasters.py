@@ -436,6 +436,19 @@ def mask_components(mask: DataFrame, connectivity: tuple[int, ...] = (8,), least
     return _in_slides(mask, work, "slide", **kinds, connectivity="int")
 
 
+def mask_without_small(mask: DataFrame, most: int, connectivity: int = 4) -> DataFrame:
+    """The runs of a mask ``without_small`` components."""
+    if not _whole(mask):
+        return without_small(runs(mask), most, connectivity)
+
+    def work(held: pa.Table) -> pa.Table:
+        some = (both := _both(held, _on(held)))[0].take(both[1])
+        number, _, found = _parts(some, connectivity)
+        return some.take(found["area"][number] > most).table(held)
+
+    return _in_slides(mask, work, "slide", "y", x0="long", x1="long")
+
+
 def _filled_whole(mask: DataFrame, most: int | None, enclosed: bool, connectivity: int = 4) -> DataFrame:
     """``filled`` for rasters that are worked on whole."""
 
@@ -481,7 +494,7 @@ def tissue_mask_by_otsu(cells: DataFrame, least: int, kernel: int = 5) -> DataFr
     mask = written(below_otsu(cells).withColumn("on", F.col("on") | F.coalesce(coloured, F.lit(False))).select("slide", "x", "y", "on"), "mask")
     n = tasks(mask.sparkSession, mask.count())  # cells and runs are dealt alike, so what joins them moves neither
     mask = mask.repartition(n, "slide")
-    whole = written(as_mask(mask, without_small(runs(mask), max(16, least // 5)).repartition(n, "slide")), "mask").repartition(n, "slide")
+    whole = written(as_mask(mask, mask_without_small(mask, max(16, least // 5)).repartition(n, "slide")), "mask").repartition(n, "slide")
     whole = as_mask(whole, filled(whole, max(64, least // 3)).repartition(n, "slide"))
     side = max(3, kernel) | 1
     return morphed(whole, [("open", ellipse(side)), ("close", ellipse(side))])

@@ -102,7 +102,7 @@ def sections_from_mask(spark, d):
 
 @query(_sql(_DARK + _labels("a", "dark WHERE cell", 0) + " SELECT slide, y, x0, x1 FROM a_l JOIN a_c USING (slide, label) WHERE area > 2"))
 def mask_without_small(spark, d):
-    return K.without_small(K.runs(_dark(spark, d)), 2)
+    return K.mask_without_small(_dark(spark, d), 2)
 
 
 #: The cells that become on where holes are filled, then all runs of the mask.
