@@ -52,3 +52,28 @@ def test_near_duplicates_of_the_test_tables_by_all_pairs(spark):
             root = {d: low if r == high else r for d, r in root.items()}
     want = {d for d, t in rows if root[first[t]] != d}
     assert {r.doc_id for r in simhash.verified_copies(docs).collect()} == want and len(want) > 20
+
+
+@pytest.mark.parametrize("early", [4, 32])
+def test_rows_of_large_keys_are_pairs_only_if_they_can_share_enough(spark, monkeypatch, early):
+    monkeypatch.setattr(simhash, "EARLY", early)
+    monkeypatch.setattr(simhash, "LARGE", 12)
+    rng = np.random.default_rng(12)
+    n, size, least = 146, simhash._prefix_size(146, 0.8), 0.8
+    sets = {d: sorted(np.flatnonzero(rng.random(36) < (0.55 if d < 60 else 0.4)).tolist())[:size] for d in range(110)}
+    for d in range(0, 110, 9):
+        sets[d] = sorted({*sets[d], *range(36, 36 + d % 4)})[:size]  # small keys, too
+    root = {d: 0 if d < 60 else d for d in sets}
+    rows = [(k, d, n, d + 1000, size - len(keys) + i, root[d]) for d, keys in sets.items() for i, k in enumerate(keys)]  # keys that nobody else has come first
+    named = ship(spark).createDataFrame(rows, "key long, doc_id long, n long, tag long, at int, root long")
+    prefixes = spark.createDataFrame([(d, n, [1000 * (d + 1) + i for i in range(size - len(keys))] + keys) for d, keys in sets.items()], "doc_id long, n long, keys array<long>")
+    holders = {k: [d for d in sets if k in sets[d]] for k in range(40)}
+    large = {k: sum(root[d] == 0 for d in ds) for k, ds in holders.items() if len(ds) > simhash.LARGE}
+    mixed = spark.createDataFrame([(k, len(holders[k]), top, 0) for k, top in large.items()], "key long, g long, top long, main long")
+    met = [(a, b) for b in sets for a in sets if a < b and root[a] != root[b] and any(k in large for k in {*sets[a]} & {*sets[b]})]
+    need = np.ceil(least / (1 + least) * 2 * n - 1e-9) - np.ceil(least * n - 1e-9) + 1
+    want = {(b, a) for a, b in met if len({*sets[a]} & {*sets[b]}) >= need}
+    got = [tuple(r) for r in simhash._by_large_keys(named, mixed, prefixes, least).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    tried = simhash._in_large_keys(named, mixed, least).count()
+    assert len(want) <= tried and (tried < 0.2 * len(met) or early < 32)

@@ -54,7 +54,7 @@ SENT = 1_000_000
 PAIRS = 4
 #: Rows beyond which a key is large, and rows of its largest component that others are compared with in a round.
 LARGE, HEADS = 32, 4
-#: Large keys before a key that tell whether two rows had met earlier.
+#: Large keys that a row carries, the first of its own: they tell whether two rows had met earlier, and how many they can share.
 EARLY = 32
 #: Rows of a key that one part of its comparison has, about.
 HOT = 256
@@ -402,14 +402,30 @@ def _by_small_keys(named: DataFrame, mixed: DataFrame, least: float) -> DataFram
     return ordered.groupBy("doc_id", "leader", "n", "_n").count().filter(_enough(F.col("count"), least)).select("doc_id", "leader")
 
 
-def _by_large_keys(named: DataFrame, mixed: DataFrame, prefixes: DataFrame, least: float) -> DataFrame:
-    """doc_id, leader: pairs that share a large key and enough keys in all. They meet once, at the first large key that both have (or again behind the first ``EARLY``)."""
-    large = mixed.filter(F.col("g") > LARGE)
+def _in_large_keys(named: DataFrame, large: DataFrame, least: float) -> DataFrame:
+    """Rows that meet in large keys (see ``_met``): once, at the first that both have among their first ``EARLY`` (or again behind those), and only if they can share enough keys.
+
+    A row carries its first large keys (``own``), how many more it has (``more``)
+    and how many of its keys that other rows have are not large (``rest``). Two rows
+    can share no more keys than those in both of ``own``, all of ``more`` and the lesser ``rest``.
+    """
     rows = saved(named.join(large.select("key"), "key"), "large")
-    first = rows.groupBy("doc_id", "tag").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "key"))), 1, EARLY).alias("first"))
-    early = F.transform(F.filter("first", lambda x: x["at"] < F.col("at")), lambda x: x["key"]).alias("early")
-    rows = saved(rows.join(first, ["doc_id", "tag"]).select("key", "doc_id", "n", "root", early), "early")
-    met = _met(rows, large, ["early"], least).filter(~F.arrays_overlap("early", "_early"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "key"))), lambda x: x["key"])
+    first = rows.groupBy("doc_id", "tag").agg(in_order.alias("keys")).select("doc_id", "tag", F.slice("keys", 1, EARLY).alias("own"), F.size("keys").alias("held"))
+    first = saved(first, "first")
+    texts = first.select("doc_id", "tag")
+    every = named.join(F.broadcast(texts) if texts.count() <= SENT else texts, ["doc_id", "tag"], "left_semi").groupBy("doc_id", "tag").agg(F.count("*").alias("every"))
+    first = saved(first.join(every, ["doc_id", "tag"]).select("doc_id", "tag", "own", (F.col("held") - F.size("own")).alias("more"), (F.col("every") - F.col("held")).alias("rest")), "first")
+    rows = saved(rows.join(first, ["doc_id", "tag"]).select("key", "doc_id", "n", "root", "own", "more", "rest"), "early")
+    both = F.array_intersect("own", "_own")  # in the common order
+    most = F.col("more") + F.col("_more") + F.least("rest", "_rest")
+    can = _enough(F.least(F.size("own"), F.size("_own")) + most, least) & _enough(F.size(both) + most, least)
+    return _met(rows, large, ["own", "more", "rest"], least).filter(can & F.coalesce(F.get(both, 0) == F.col("key"), F.lit(True)))
+
+
+def _by_large_keys(named: DataFrame, mixed: DataFrame, prefixes: DataFrame, least: float) -> DataFrame:
+    """doc_id, leader: pairs that share a large key and enough keys in all."""
+    met = _in_large_keys(named, mixed.filter(F.col("g") > LARGE), least)
     pairs = met.select(F.greatest("doc_id", "_doc_id").alias("doc_id"), F.least("doc_id", "_doc_id").alias("leader")).distinct()
     both = pairs.join(prefixes, "doc_id").join(prefixes.select(F.col("doc_id").alias("leader"), F.col("n").alias("_n"), F.col("keys").alias("_keys")), "leader")
     return both.filter(_enough(F.size(F.array_intersect("keys", "_keys")), least)).select("doc_id", "leader")
@@ -425,7 +441,8 @@ def remaining_links(texts: DataFrame, links: DataFrame, shingle: int = 5, least:
     rounds compare such rows with ``HEADS`` rows of the largest component, those
     that most of their keys have, and join the alike, until a round finds none. So a large group of copies is compared along a star,
     and every link to another group is still found, whatever was joined before.
-    Two rows meet in large keys once, at the first that both have. Shingles outside both
+    Two rows meet in large keys once, at the first that both have, and are a pair
+    only if they can share enough keys. Shingles outside both
     prefixes can be shared by as many as the longer rest has, so pairs that have
     too few keys in common for that are left out before any text is fetched.
     """
